@@ -6,16 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chunkmill.llm import op4_warc, op6_tokens, op7_mixing
+from chunkmill.llm import op1_lz_fingerprint, op2_html, op3_decontaminate, op4_warc, op5_secrets, op6_tokens, op7_mixing, op10_language
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_lz_fingerprint": op1_lz_fingerprint.op1_lz_fingerprint,
+        "op2_html": op2_html.op2_html,
+        "op3_decontaminate": op3_decontaminate.op3_decontaminate,
         "op4_warc": op4_warc.op4_warc,
+        "op5_secrets": op5_secrets.op5_secrets,
         "op6_token_output": op6_tokens.op6_token_output,
         "op7_mixing": op7_mixing.op7_mixing,
+        "op10_language": op10_language.op10_language,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": op4_warc.SQL}
+    return {"op3_decontaminate": op3_decontaminate.SQL, "op4_warc": op4_warc.SQL}
