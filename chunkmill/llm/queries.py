@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chunkmill.llm import op1_lz_fingerprint, op2_html, op3_decontaminate, op4_warc, op5_secrets, op6_tokens, op7_mixing, op8_minhash, op10_language
+from chunkmill.llm import op1_lz_fingerprint, op2_html, op3_decontaminate, op4_warc, op5_secrets, op6_tokens, op7_mixing, op8_minhash, op9_suffix_dedup, op10_language
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_token_output": op6_tokens.op6_token_output,
         "op7_mixing": op7_mixing.op7_mixing,
         "op8_minhash": op8_minhash.op8_minhash,
+        "op9_suffix_dedup": op9_suffix_dedup.op9_suffix_dedup,
         "op10_language": op10_language.op10_language,
     }
 
