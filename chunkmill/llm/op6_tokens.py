@@ -18,6 +18,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ BITS, BLOCK = 8, 512
 #: Tokens after which a task starts the next file.
 FILE_TOKENS = 4_000_000
 #: Distinct pieces that a worker remembers.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 1_000_000
 END_ID = 2
 
 
@@ -115,11 +116,20 @@ class Reader:
         return out
 
 
+def byte_letters() -> dict[int, str]:
+    """Byte-level alphabet: printable Latin-1 stands for itself, the other bytes, in order, for U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)}
+
+
 class PieceEncoder:
     """The tokenizer with a memory of pieces.
 
-    A byte-level pre-tokenizer always breaks before a space that a non-space follows, so a text splits there into pieces
-    whose ids don't depend on their neighbours. Texts that may hold a special token's string are encoded whole.
+    A byte-level pre-tokenizer always breaks before a space that a non-space follows, and around a line feed between
+    non-spaces, so a text splits there into pieces whose ids don't depend on their neighbours; so does a comma or full
+    stop that ends a piece of letters. Texts with other white space are split at single spaces alone, and texts that may
+    hold a special token's string are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -127,40 +137,55 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = tuple(x.content for x in self.tokenizer.get_added_tokens_decoder().values())
-        self.spaced = re.compile(r" (?=\s|\Z)")
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
+        self.odd = ["  ", "\n\n", " \n", "\n ", *(chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n")]
         self.split = re.compile(r" (?=\S)")
         self.first: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
+        self.feed, *stops = self._ids(["\n", ",", "."])
+        self.stops = dict(zip(",.", stops, strict=True))
 
-    def pieces(self, text: str) -> list[str] | None:
+    def lines(self, text: str) -> list[list[str]] | None:
+        """Lines of pieces; None if the text is to be encoded whole."""
         if any(s in text for s in self.special):
             return None
-        return self.split.split(text) if self.spaced.search(text) else text.split(" ")
+        odd = text[:1].isspace() or text[-1:].isspace() or any(s in text for s in self.odd)
+        return [self.split.split(text)] if odd else [x.split(" ") for x in text.split("\n")]
 
     def _ids(self, strings: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
 
     def _learn(self, memo: dict[str, bytes], wanted: set[str], lead: str) -> None:
-        todo = list(wanted)
+        stops = self.stops
+        ended = {x: x[:-1] for x in wanted if x[-1:] in stops and x[:-1].isalpha()}
+        new = [x for x in wanted.difference(ended).union(ended.values()) if x not in memo]
+        todo, tokenize, letters = [x for x in new if not x.isalpha()], self.model.tokenize, self.letters
+        for x in new:
+            if x.isalpha():  # one pre-token: the model alone
+                memo[x] = array("I", [t.id for t in tokenize((lead + x).encode().decode("latin-1").translate(letters))]).tobytes()
         for k in range(0, len(todo), 4096):
             part = todo[k : k + 4096]
             memo.update(zip(part, self._ids([lead + x for x in part]), strict=True))
+        for x, start in ended.items():
+            memo[x] = memo[start] + stops[x[-1]]
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.known) + len(self.first) > CACHE_PIECES:
             self.known.clear()
             self.first.clear()
-        split = [self.pieces(t) for t in batch]
+        split = [self.lines(t) for t in batch]
+        first, known = self.first, self.known
         starts, rest = set(), set()
-        for p in split:
-            if p:
+        for lines in split:
+            for p in lines or ():
                 starts.add(p[0])
                 rest.update(p[1:])
-        self._learn(self.first, starts - self.first.keys(), "")
-        self._learn(self.known, rest - self.known.keys(), " ")
-        get = self.known.__getitem__
-        return [self._ids([t])[0] if p is None else self.first[p[0]] + b"".join(map(get, p[1:])) for t, p in zip(batch, split, strict=True)]
+        self._learn(first, {x for x in starts if x not in first}, "")
+        self._learn(known, {x for x in rest if x not in known}, " ")
+        get = known.__getitem__
+        return [self._ids([t])[0] if lines is None else self.feed.join([first[p[0]] + b"".join(map(get, p[1:])) for p in lines]) for t, lines in zip(batch, split, strict=True)]
 
 
 _encoders: dict[str, PieceEncoder] = {}
@@ -205,8 +230,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = END_ID, file_tok
 
         for batch in batches:
             ids, strings = batch.column("doc_id").to_pylist(), ["" if x is None else x for x in batch.column("text").to_pylist()]
-            for k in range(0, len(strings), 64):
-                for doc, got in zip(ids[k : k + 64], coder.encode(strings[k : k + 64]), strict=True):
+            for k in range(0, len(strings), 128):
+                for doc, got in zip(ids[k : k + 128], coder.encode(strings[k : k + 128]), strict=True):
                     held.append(got + end)
                     rows.append((doc, len(got) // 4 + 1))
                     tokens += rows[-1][1]
