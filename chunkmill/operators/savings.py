@@ -23,8 +23,7 @@ def per_query(hits: DataFrame, files: DataFrame) -> DataFrame:
 
 def parse_ledger(lines: DataFrame) -> DataFrame:
     """Lines (value) to events: the ledger's columns, corrupt (no JSON object, or no ts) and time (null where ts can't be read). Blank lines go."""
-    schema = LEDGER.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")
-    event = F.from_json("value", schema)
+    event = F.from_json("value", LEDGER)
     rows = lines.where(F.trim("value") != "").select(event.alias("e"))
     return rows.select("e.*", (F.col("e").isNull() | F.col("e.ts").isNull()).alias("corrupt"), F.try_to_timestamp("e.ts").alias("time"))
 

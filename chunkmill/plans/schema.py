@@ -30,14 +30,24 @@ OK, BAD_INPUT, NOT_A_REPO, UNAVAILABLE, NOT_INDEXED = 0, 2, 3, 4, 5
 METRICS = {"recall_at_k": True, "mrr": True, "noise_at_k": False, "definition_rank_pass_rate": True, "symbol_completeness": True}
 
 
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_KINDS = {"string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "binary": T.BinaryType()}
 
 
+def _struct(fields: str, **nested: T.DataType) -> T.StructType:
+    """A schema of "name kind" pairs, followed by the nested fields; it needs no session."""
+    flat = [T.StructField(n, _KINDS[k]) for n, k in (f.split() for f in fields.split(", "))]
+    return T.StructType(flat + [T.StructField(n, t) for n, t in nested.items()])
+
+
+_STRINGS = T.ArrayType(T.StringType())
 CHUNK = _struct("path string, language string, start_line int, end_line int, start_byte int, end_byte int, text string, symbol string")
-POINT = _struct("id string, repo_id string, path string, language string, start_line int, end_line int, code string, symbol string, vector array<float>")
-REGISTRY = _struct("repo_id string, indexed_sha string, indexed_at string, chunk_count bigint, file_count bigint, skipped_count bigint, languages array<struct<language: string, files: bigint, chunks: bigint>>")
+POINT = _struct("id string, repo_id string, path string, language string, start_line int, end_line int, code string, symbol string", vector=T.ArrayType(T.FloatType()))
+LANGUAGE_STAT = _struct("language string, files bigint, chunks bigint")
+REGISTRY = _struct("repo_id string, indexed_sha string, indexed_at string, chunk_count bigint, file_count bigint, skipped_count bigint", languages=T.ArrayType(LANGUAGE_STAT))
 HIT = _struct("path string, language string, start_line int, end_line int, code string, symbol string, score double")
 FILE = _struct("path string, size bigint, content binary, skipped string")
 LEDGER = _struct("ts string, repo_id string, query string, count int, returned_tokens bigint, baseline_tokens_upper bigint, saved_tokens_upper bigint, files_counted int, files_missing int")
-CASE = _struct("id string, query string, k int, mode string, expect_in_top_k array<string>, forbid_in_top_k array<string>, expect_all array<string>, expect_rank_above struct<above: string, below: string>, must_pass boolean, tags array<string>")
+CASE = _struct(
+    "id string, query string, k int, mode string, must_pass boolean", expect_in_top_k=_STRINGS, forbid_in_top_k=_STRINGS, expect_all=_STRINGS,
+    expect_rank_above=_struct("above string, below string"), tags=_STRINGS,
+)

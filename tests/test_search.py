@@ -2,7 +2,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from chunkmill.operators import evaluate, inspect, savings, search, staleness, store, symbol
-from chunkmill.plans import schema as C
 from chunkmill.plans import views
 
 SF = "/root/testdata/sf0.001"
@@ -58,7 +57,7 @@ def test_plans(spark):
     plan = search.knn(chunks.select("id", "vector"), views.queries(spark, SF), 5)._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan
     plan = inspect.stats_by_language(chunks)._jdf.queryExecution().executedPlan().toString()
-    assert "embedding" not in plan
+    assert "embedding:array" not in plan
 
 
 def test_symbol_search(spark):
@@ -110,7 +109,7 @@ def test_changes(spark):
 
 
 def test_eval_metrics(spark):
-    fields = "case_id bigint, " + C.CASE.simpleString()[7:-1].replace("id:string,query:string,", "").replace("mode:string,", "")
+    fields = "case_id bigint, k int, expect_in_top_k array<string>, forbid_in_top_k array<string>, expect_all array<string>, expect_rank_above struct<above: string, below: string>, must_pass boolean, tags array<string>"
     cases = spark.createDataFrame([
         (1, 2, ["b.py"], ["*/__init__.py"], ["a.py", "zz.py"], ("a.py", "b.py"), True, ["t", "u"]),
         (2, 5, None, ["*"], None, ("b.py", "nope"), True, ["t"]),
