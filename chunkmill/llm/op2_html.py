@@ -110,7 +110,9 @@ class Weights:
         if got is None:
             known = [self.word[f] for f in around if f in self.word]
             low = min(known, default=0.0)
-            got = low if low < -1 else self.plain + sum(max(0.0, x) for x in known)
+            high = max(known, default=0.0)
+            # Inside a container of main text the run may pass over what is left out of it.
+            got = self.plain + sum(max(0.0, x) for x in known) if low >= -1 else -0.01 if high > 1.4 else low
             if len(self.memo) > 10_000:
                 self.memo.clear()
             self.memo[around] = got
