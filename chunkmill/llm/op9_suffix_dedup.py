@@ -382,7 +382,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, hot: int = HOT) ->
     arrow_limits(spark)
     folder = scratch(spark, "shards")
     found = materialize(index(docs, folder), "stretches")
-    arrow_limits(spark, 20_000)
+    arrow_limits(spark, 4000)
     of_owner, of_content = W.partitionBy("owner"), W.partitionBy("owner", "content")
     dealt = found.where("owner is not null").repartition(partitions(spark), "owner")
     dealt = dealt.withColumn("total", F.sum("n").over(of_content)).withColumn("place", F.row_number().over(of_content.orderBy("shard")))
