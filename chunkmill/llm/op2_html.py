@@ -112,7 +112,7 @@ class Weights:
             low = min(known, default=0.0)
             high = max(known, default=0.0)
             # Inside a container of main text the run may pass over what is left out of it.
-            got = self.plain + sum(max(0.0, x) for x in known) if low >= -1 else -0.01 if high > 1.4 else low
+            got = self.plain + sum(max(0.0, x) for x in known) if low >= -1 else -0.01 if high > 1 else low
             if len(self.memo) > 10_000:
                 self.memo.clear()
             self.memo[around] = got
