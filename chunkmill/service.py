@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from dataclasses import dataclass, field
@@ -16,7 +17,7 @@ from chunkmill.operators import evaluate as E
 from chunkmill.operators import inspect, savings, search, store, symbol
 from chunkmill.operators.chunker import chunk_files
 from chunkmill.plans import schema as C
-from chunkmill.sources import git, ledger
+from chunkmill.sources import eval_inputs, git, ledger
 from chunkmill.sources.embed import Embedder, embed_chunks, embed_query
 from chunkmill.sources.repo_files import repo_files, walk
 
@@ -32,6 +33,10 @@ class Outcome:
     def ok(self) -> bool:
         return self.code == C.OK
 
+    def to_json(self) -> str:
+        """The result envelope: one object that always has ok and code."""
+        return json.dumps({"ok": self.ok, "code": self.code, **self.body}, default=str)
+
 
 def repo_id(path: str) -> dict:
     root = os.path.abspath(path)
@@ -202,13 +207,26 @@ class Service:
         moment = F.current_timestamp() if as_of is None else F.lit(as_of).cast("timestamp")
         return savings.rollup(ledger.read(self.spark, self._ledger(repo)), days, moment).first().asDict()
 
+    def run_evaluation(self, cases: DataFrame, path: str, baseline: dict | None = None, tolerance: float = C.EVAL_TOLERANCE, update: str | None = None) -> dict:
+        """Run every case (a hand-written list) against an indexed tree and evaluate; update names a baseline file to write."""
+        found = []
+        for case in cases.collect():
+            answer = self.smart_search(case["query"], path, min(C.MAX_LIMIT, max(case["k"], C.DEFAULT_LIMIT)), case["mode"], case["query"])
+            found += [(case["case_id"], k + 1, h["path"]) for k, h in enumerate(answer.body.get("results") or [])]
+        results = self.spark.createDataFrame(found, "case_id string, rank int, path string").withColumn("path", S.normal_path(F.col("path")))
+        frames = {} if baseline is None else eval_inputs.baseline_frames(self.spark, baseline)
+        report = self.evaluate(cases, results, tolerance=tolerance, **frames)
+        if update:
+            eval_inputs.write_baseline(update, report)
+        return report
+
     def evaluate(self, cases: DataFrame, results: DataFrame, baseline: DataFrame | None = None, baseline_cases: DataFrame | None = None, expected_failures: DataFrame | None = None, tolerance: float = C.EVAL_TOLERANCE) -> dict:
         """Metrics, rollups and the gate; code 1 on a regression or an unexpected failure."""
         metrics = E.case_metrics(cases, results)
         total = E.aggregate(metrics)
         worse = [] if baseline is None else [r.asDict() for r in E.metric_regressions(total, baseline, tolerance).collect()]
         worse += [] if baseline_cases is None else [r.asDict() for r in E.flips(metrics, baseline_cases).collect()]
-        none = self.spark.createDataFrame([], "case_id bigint") if expected_failures is None else expected_failures
+        none = cases.select("case_id").limit(0) if expected_failures is None else expected_failures
         failed = [r["case_id"] for r in E.unexpected_failures(metrics, none).collect()]
         return {"code": int(bool(worse or failed)), "cases": metrics, "aggregate": total, "by_tag": E.by_tag(metrics), "regressions": worse, "unexpected_must_pass_failures": failed}
 
