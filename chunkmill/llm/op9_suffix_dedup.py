@@ -336,7 +336,8 @@ def finish(shards: DataFrame, results: DataFrame, folder: str, with_text: bool =
             rows = rows.filter(rows["owner"].is_valid())
             keys = np.stack([rows["owner"].to_numpy(), rows["content"].to_numpy()], 1)
             whole = rows["offsets"].is_null().to_numpy()
-            part = {(int(a), int(b)): o for (a, b), o, w in zip(keys, rows["offsets"], whole, strict=True) if not w} if len(rows) else {}
+            offsets = rows["offsets"].filter(pa.array(~whole)).to_pylist()
+            part = {(int(a), int(b)): np.array(o, np.int64) for (a, b), o in zip(keys[~whole], offsets, strict=True)}
             mark = lambda x: x[:, 0] * np.int64(-7046029254386353131) ^ x[:, 1]
             full, some = np.sort(mark(keys[whole])), np.array(sorted(int(x) for x in mark(keys[~whole])), np.int64)
             inside = lambda a, x: a[np.minimum(np.searchsorted(a, x), len(a) - 1)] == x if len(a) else np.zeros(len(x), bool)
@@ -353,7 +354,7 @@ def finish(shards: DataFrame, results: DataFrame, folder: str, with_text: bool =
                         for k in np.flatnonzero(inside(some, m)).tolist():
                             got = part.get((int(own[k, 2]), int(own[k, 3])))
                             if got is not None:
-                                at = own[k, 0] + got.values.to_numpy()
+                                at = own[k, 0] + got
                                 windows = np.concatenate([windows, np.stack([at, at], 1)])
                     removed, runs, kept = cut_text(text, windows)
                     out.append((doc, len(text), removed, runs, hashlib.sha256(kept).hexdigest(), *([kept] * with_text)))
