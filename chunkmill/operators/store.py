@@ -1,22 +1,19 @@
 """Chunk and registry tables as versioned Parquet snapshots.
 
-A repository's data lie in <root>/<table>/repo_id=<id>/version=<n>; a pointer file, renamed into place, names the current
-version. A new version is complete before the pointer moves, so a crash leaves the old one, and rows can vanish for good,
-which overwriting partitions in place doesn't allow.
+A repository's data lie in <root>/<table>/repo_id=<id>/version=<n>. The current version is the largest one whose write has
+committed, which Spark marks by a _SUCCESS file; that works on any file system. A crash leaves the old version, and rows can
+vanish for good, which overwriting partitions in place doesn't allow.
 """
 
 from __future__ import annotations
 
-import json
-import os
-import shutil
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from chunkmill.plans.schema import POINT, REGISTRY
+from chunkmill.sources.files import Files
 
 
 def delete_by_paths(chunks: DataFrame, changed: DataFrame) -> DataFrame:
@@ -38,45 +35,39 @@ def incremental(old: DataFrame, new: DataFrame, changed: DataFrame) -> DataFrame
 
 class Table:
     def __init__(self, spark: SparkSession, root: str, name: str, schema: StructType):
-        self.spark, self.root, self.schema = spark, os.path.join(root, name), schema
+        self.spark, self.root, self.schema, self.files = spark, f"{root.rstrip('/')}/{name}", schema, Files(spark)
+
+    def _folder(self, repo_id: str, version: int | None = None) -> str:
+        return f"{self.root}/repo_id={repo_id}" + ("" if version is None else f"/version={version}")
 
-    def _folder(self, repo_id: str) -> str:
-        return os.path.join(self.root, f"repo_id={repo_id}")
+    def _versions(self, repo_id: str) -> list[int]:
+        return sorted(int(n.removeprefix("version=")) for n in self.files.names(self._folder(repo_id)) if n.startswith("version="))
 
     def version(self, repo_id: str) -> int:
-        try:
-            with open(os.path.join(self._folder(repo_id), "current.json"), encoding="utf-8") as source:
-                return json.load(source)["version"]
-        except FileNotFoundError:
-            return 0
+        """The latest committed version, 0 where there is none."""
+        return next((v for v in reversed(self._versions(repo_id)) if self.files.exists(f"{self._folder(repo_id, v)}/_SUCCESS")), 0)
 
     def repos(self) -> list[str]:
-        if not os.path.isdir(self.root):
-            return []
-        found = [d.removeprefix("repo_id=") for d in os.listdir(self.root) if d.startswith("repo_id=")]
+        found = [n.removeprefix("repo_id=") for n in self.files.names(self.root) if n.startswith("repo_id=")]
         return sorted(r for r in found if self.version(r))
 
     def read(self, repo_id: str) -> DataFrame:
         """The current snapshot; empty where there is none."""
         version = self.version(repo_id)
-        if not version:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(os.path.join(self._folder(repo_id), f"version={version}"))
+        return self.spark.read.schema(self.schema).parquet(self._folder(repo_id, version)) if version else self.spark.createDataFrame([], self.schema)
 
     def read_all(self) -> DataFrame:
-        paths = [os.path.join(self._folder(r), f"version={self.version(r)}") for r in self.repos()]
+        paths = [self._folder(r, self.version(r)) for r in self.repos()]
         return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
     def replace(self, repo_id: str, rows: DataFrame, keep: int = 2) -> int:
-        """Write rows as the next version, then move the pointer; older versions than the last few go."""
-        folder, version = self._folder(repo_id), self.version(repo_id) + 1
-        rows.select(*[F.col(f.name).cast(f.dataType) for f in self.schema]).write.mode("overwrite").parquet(os.path.join(folder, f"version={version}"))
-        temporary = os.path.join(folder, "current.json.tmp")
-        with open(temporary, "w", encoding="utf-8") as out:
-            json.dump({"version": version}, out)
-        os.replace(temporary, os.path.join(folder, "current.json"))
-        for old in range(1, version - keep + 1):
-            shutil.rmtree(os.path.join(folder, f"version={old}"), ignore_errors=True)
+        """Write rows as the next version; versions older than the last few go."""
+        before = self._versions(repo_id)
+        version = max(before, default=0) + 1
+        rows.select(*[F.col(f.name).cast(f.dataType) for f in self.schema]).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(self._folder(repo_id, version))
+        for old in before:
+            if old <= version - keep:
+                self.files.delete(self._folder(repo_id, old))
         return version
 
 

@@ -89,10 +89,10 @@ class Service:
     # Introspection
 
     def status(self) -> dict:
-        return {"status": "ok", "api_version": "1", "embed_model": getattr(self.embedder, "model", "hash"), "embed_dim": self.embedder.dim, "store_connected": os.path.isdir(self.root)}
+        return {"status": "ok", "api_version": "1", "embed_model": getattr(self.embedder, "model", "hash"), "embed_dim": self.embedder.dim, "store_connected": self.chunks.files.exists(self.root)}
 
     def health(self) -> Outcome:
-        return Outcome(C.OK if os.path.isdir(self.root) else C.UNAVAILABLE, self.status())
+        return Outcome(C.OK if self.chunks.files.exists(self.root) else C.UNAVAILABLE, self.status())
 
     def list_repos(self) -> DataFrame:
         return self.registry.read_all().select("repo_id", "indexed_sha", "indexed_at", "chunk_count").orderBy("repo_id")
@@ -153,7 +153,7 @@ class Service:
             return Outcome(C.NOT_INDEXED, {"repo_id": repo})
         hits = [r.asDict() for r in found.collect()]
         block = self._savings_of(hits, path)
-        ledger.append(self._ledger(repo), {"repo_id": repo, "query": q, "count": len(hits), **{k: block[k] for k in ("returned_tokens", "baseline_tokens_upper", "saved_tokens_upper", "files_counted", "files_missing")}})
+        ledger.append(self.spark, self._ledger(repo), {"repo_id": repo, "query": q, "count": len(hits), **{k: block[k] for k in ("returned_tokens", "baseline_tokens_upper", "saved_tokens_upper", "files_counted", "files_missing")}})
         return Outcome(C.OK, {"repo_id": repo, "query": q, "count": len(hits), "results": hits, "savings": block})
 
     def _savings_of(self, hits: list[dict], path: str) -> dict:
@@ -200,7 +200,7 @@ class Service:
     # Ledger and evaluation
 
     def _ledger(self, repo: str) -> str:
-        return os.path.join(self.root, "ledger", repo)
+        return f"{self.root.rstrip('/')}/ledger/{repo}"
 
     def savings(self, repo: str, days: int = C.DEFAULT_DAYS, as_of: datetime | None = None) -> dict:
         _between("days", days, 1, C.MAX_DAYS)

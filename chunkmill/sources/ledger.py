@@ -3,30 +3,27 @@
 from __future__ import annotations
 
 import json
-import os
 import uuid
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
 from chunkmill.operators.savings import parse_ledger
+from chunkmill.sources.files import Files
 
 
-def append(folder: str, event: dict) -> bool:
+def append(spark: SparkSession, folder: str, event: dict) -> bool:
     """Best effort: a failure never fails the search."""
     try:
-        os.makedirs(folder, exist_ok=True)
-        part = os.path.join(folder, f"{uuid.uuid4().hex}.jsonl")
-        with open(part + ".tmp", "w", encoding="utf-8") as out:
-            out.write(json.dumps({"ts": datetime.now(UTC).isoformat(), **event}) + "\n")
-        os.replace(part + ".tmp", part)
+        line = json.dumps({"ts": datetime.now(UTC).isoformat(), **event})
+        Files(spark).write(f"{folder}/{uuid.uuid4().hex}.jsonl", line + "\n")
         return True
-    except (OSError, TypeError):
+    except Exception:
         return False
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """Events of all files; none where the folder is missing."""
-    if "://" not in folder and not os.path.isdir(folder):
+    if not Files(spark).exists(folder):
         return parse_ledger(spark.createDataFrame([], "value string"))
     return parse_ledger(spark.read.option("pathGlobFilter", "*.jsonl").text(folder))
