@@ -177,13 +177,13 @@ class Service:
     def smart_search(self, q: str, path: str, limit: int = C.DEFAULT_LIMIT, mode: str = "semantic", identifier: str | None = None, may_index: bool = True) -> Outcome:
         """Search with fallbacks: without a store, an index or hits the caller is told to search the workspace; that is no failure."""
         repo = repo_id(path)["repo_id"]
-        out = {"repo_id": repo, "query": q, "mode": mode, "count": 0, "results": [], "savings": None, "used_vault": False, "fallback_reason": None, "fallback_message": None, "next_action": None, "indexed_this_run": False, "index_result": None, "index_stale": False, "changed_files_not_indexed": None}
+        out = {"repo_id": repo, "query": q, "mode": mode, "count": 0, "results": [], "savings": None, "used_index": False, "fallback_reason": None, "fallback_message": None, "next_action": None, "indexed_this_run": False, "index_result": None, "index_stale": False, "changed_files_not_indexed": None}
         if mode == "symbol":
             hits = [r.asDict() for r in self.symbol_search(path, identifier or q).orderBy("path", "start_line").collect()]
-            return Outcome(C.OK, out | {"count": len(hits), "results": hits, "used_vault": True, "savings": self._savings_of([], path)})
+            return Outcome(C.OK, out | {"count": len(hits), "results": hits, "used_index": True, "savings": self._savings_of([], path)})
         fall = lambda reason, text: Outcome(C.OK, out | {"fallback_reason": reason, "fallback_message": text, "next_action": "workspace_search"})
         if not self.health().ok:
-            return fall("vault_unavailable", "the store can't be reached")
+            return fall("store_unavailable", "the store can't be reached")
         status = self.repo_status(path)
         out |= {"index_stale": status["stale"], "changed_files_not_indexed": status["changed_files"]}
         if not status["registered"]:
@@ -195,7 +195,7 @@ class Service:
             return Outcome(answer.code, out | answer.body)
         if not answer.body["count"]:
             return fall("no_semantic_hits", "nothing was found")
-        return Outcome(C.OK, out | {k: answer.body[k] for k in ("count", "results", "savings")} | {"used_vault": True})
+        return Outcome(C.OK, out | {k: answer.body[k] for k in ("count", "results", "savings")} | {"used_index": True})
 
     # Ledger and evaluation
 
