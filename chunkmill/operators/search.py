@@ -11,12 +11,33 @@ from chunkmill.functions.vector import cosine, top_k_arrow
 from chunkmill.plans.schema import OVERFETCH, TRIVIAL_LINES
 
 
+#: Queries that one search may broadcast.
+MOST_QUERIES = 1000
+
+
+def stated(queries: DataFrame, most: int = MOST_QUERIES) -> DataFrame:
+    """queries, checked when the plan runs: an error where there are more than may be broadcast."""
+    count = F.count(F.lit(1)).over(W.partitionBy())
+    fits = F.when(F.col("_count") <= most, F.lit(True)).otherwise(F.raise_error(F.lit(f"more than {most} queries: use knn_blocks")).cast("boolean"))
+    return queries.withColumn("_count", count).where(fits).drop("_count")
+
+
+def knn_blocks(points: DataFrame, queries: DataFrame, k: int, block: int = MOST_QUERIES // 2) -> DataFrame:
+    """knn() for any number of queries: blocks by a hash of query_id, a scan of the points for each."""
+    n = -(-queries.count() // block) or 1
+    parts = [knn(points, queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b), k) for b in range(n)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def knn(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The k nearest points of each query with raw_rank; queries is a small stated set and is broadcast.
 
     Ranks are cut within each partition before the shuffle (WindowGroupLimit), so only k rows per query and partition move.
     """
-    scored = points.join(F.broadcast(queries)).withColumn("score", F.round(cosine(F.col("vector"), F.col("query_vector")), 6)).drop("vector", "query_vector")
+    scored = points.join(F.broadcast(stated(queries))).withColumn("score", F.round(cosine(F.col("vector"), F.col("query_vector")), 6)).drop("vector", "query_vector")
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return scored.withColumn("raw_rank", F.row_number().over(order)).where(F.col("raw_rank") <= k)
 

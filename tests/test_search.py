@@ -50,6 +50,14 @@ def test_paths_agree(spark):
     assert a.exceptAll(b).count() == b.exceptAll(a).count() == 0
 
 
+def test_queries_are_a_stated_set(spark):
+    points, queries = views.chunks(spark, SF).select("id", "vector"), views.queries(spark, SF).select("query_id", "query_vector")
+    a, b = search.knn(points, queries, 4), search.knn_blocks(points, queries, 4, 2)
+    assert a.exceptAll(b).count() == b.exceptAll(a).count() == 0
+    with pytest.raises(Exception, match="more than 3 queries"):
+        search.stated(queries, 3).collect()
+
+
 def test_plans(spark):
     chunks = views.chunks(spark, SF)
     plan = search.nearest(chunks, [0.1] * 64, 5)._jdf.queryExecution().toString()
