@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -77,6 +77,13 @@ def read_file(uri: str, offset: int = 0, length: int | None = None) -> bytes:
         return source.read() if length is None else source.read(length)
 
 
-def texts(batch, name: str) -> Iterator[str]:
-    """The strings of a column, null as the empty text."""
-    return ("" if x is None else x for x in batch.column(name).to_pylist())
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def use_cache(owner: str, clear: Callable[[], None]) -> None:
+    """Let one operator at a time keep things in a Python worker: what others have kept goes when this one starts."""
+    for name, drop in _caches.items():
+        if name != owner:
+            drop()
+    _caches.clear()
+    _caches[owner] = clear

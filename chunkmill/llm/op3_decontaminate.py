@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkmill.llm.common import arrow_limits, read_file, scratch, table, write_file
+from chunkmill.llm.common import arrow_limits, read_file, scratch, table, use_cache, write_file
 
 WINDOW = 10
 SHARD_BYTES, BLOCK_WORDS, SAMPLE = 6 << 20, 500_000, 16
@@ -216,6 +216,11 @@ def occurrences(ids: np.ndarray, block: Block) -> tuple[np.ndarray, np.ndarray]:
 _blocks: dict[str, Block] = {}
 
 
+def forget() -> None:
+    """Drop what this worker keeps; a function, so that tasks reach the module's own memory."""
+    _blocks.clear()
+
+
 def load(path: str) -> Block:
     if path not in _blocks:
         _blocks.clear()
@@ -265,6 +270,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, sha
                 columns = [[r[0] for r in rows], hits, [len(r[2]) for r in rows], [hashlib.sha256(",".join(r[2]).encode()).hexdigest() for r in rows], [h > 0 for h in hits], [",".join(f"{x}:{y}" for x, y in r[1]) for r in rows]]
                 yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, f.type) for c, f in zip(columns, added, strict=True))], names=[*b.schema.names, *added.names])
 
+        use_cache("benchmark", forget)
         held, size_held = [], 0
         for batch in batches:
             held.append(batch)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkmill.llm.common import arrow_limits, table
+from chunkmill.llm.common import arrow_limits, table, use_cache
 
 # The base patterns, least lengths and their order.
 KINDS = ("assign", "access", "hex")
@@ -38,6 +38,11 @@ PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _encodings: dict[str, object] = {}
 
 
+def forget() -> None:
+    """Drop what this worker keeps; a function, so that tasks reach the module's own memory."""
+    _encodings.clear()
+
+
 def encoding(path: str):
     if path not in _encodings:
         import base64
@@ -97,6 +102,7 @@ def scan(docs: DataFrame, vocabulary: str) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_cache("vocabulary", forget)
         ranks = encoding(vocabulary)
         for batch in batches:
             found = [scan_text("" if t is None else t, ranks) for t in batch.column("text").to_pylist()]

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chunkmill.llm.common import arrow_limits, materialize, partitions, read_file, scratch, table, write_file
+from chunkmill.llm.common import arrow_limits, materialize, partitions, read_file, scratch, table, use_cache, write_file
 
 MAGIC = b"DACTOK01"
 BITS, BLOCK = 8, 512
@@ -191,6 +191,11 @@ class PieceEncoder:
 _encoders: dict[str, PieceEncoder] = {}
 
 
+def forget() -> None:
+    """Drop what this worker keeps; a function, so that tasks reach the module's own memory."""
+    _encoders.clear()
+
+
 def encoder(path: str) -> PieceEncoder:
     if path not in _encoders:
         import os
@@ -214,6 +219,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = END_ID, file_tok
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        use_cache("tokens", forget)
         part, attempt, number = TaskContext.get().partitionId(), uuid.uuid4().hex, 0
         coder, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         rows: list[tuple[int | None, int]] = []

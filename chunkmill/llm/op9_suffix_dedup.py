@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chunkmill.llm.common import arrow_limits, filesystem, materialize, partitions, scratch, table
+from chunkmill.llm.common import arrow_limits, filesystem, materialize, partitions, scratch, table, use_cache
 
 LENGTH, K = 200, 40
 SPAN = LENGTH - K + 1
@@ -56,6 +56,11 @@ def _powers(base: int, n: int) -> np.ndarray:
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def forget() -> None:
+    """Drop what this worker keeps; a function, so that tasks reach the module's own memory."""
+    _tables.clear()
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(32))
@@ -135,6 +140,7 @@ def index(docs: DataFrame, folder: str) -> DataFrame:
     schema = pa.schema([("owner", pa.int64()), ("content", pa.int64()), ("n", pa.int64()), ("shard", pa.int64()), ("row", pa.int64()), ("lo", pa.int64()), ("size", pa.int64()), ("lead", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_cache("powers", forget)
         files, base = filesystem(folder)
         files.create_dir(base, recursive=True)
         ids: list[int | None] = []
