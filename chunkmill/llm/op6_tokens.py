@@ -40,14 +40,14 @@ END_ID = 2
 
 def encode(ids: np.ndarray) -> bytes:
     """The file image of an array of unsigned ids."""
-    rest, levels = np.asarray(ids, np.uint64), []
+    rest, levels = np.asarray(ids, np.uint32), []
     while True:
-        chunk = (rest & np.uint64(0xFF)).astype(np.uint8)
-        more = rest > np.uint64(0xFF)
+        chunk = (rest & np.uint32(0xFF)).astype(np.uint8)
+        more = rest > np.uint32(0xFF)
         levels.append((chunk, more))
         if not more.any():
             break
-        rest = rest[more] >> np.uint64(BITS)
+        rest = rest[more] >> np.uint32(BITS)
     head, parts, at = [], [], 0
     base = len(MAGIC) + 4 + 8 + len(levels) * 32
     for chunk, more in levels:
