@@ -5,8 +5,8 @@ space), weighed by 1 + log tf and idf and normalised. Each language has several
 of labelled rows; the prediction is the language of the centroid with the largest cosine. A text is rejected when that
 cosine lies far below what fitted texts of its length reach.
 
-Fitting takes at most about FIT_ROWS rows in all, shared evenly by languages and chosen by a hash of doc_id; rows whose
-crc32(doc_id) mod 4 is 2 are held out. Prediction covers every row, without a shuffle.
+Fitting takes at most about FIT_ROWS rows in all, shared evenly by languages (or, where the languages' names don't fit
+NAME_BYTES, drawn evenly from all rows) and chosen by a hash of doc_id; rows whose crc32(doc_id) mod 4 is 2 are held out. Prediction covers every row, without a shuffle.
 
 Defined results: a null text, or one without a letter, is "und" with score 0 and rejected; where nothing can be fitted
 every text is; repeated rows get equal results; other columns are ignored.
@@ -22,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkmill.llm.common import arrow_limits, table
+from chunkmill.llm.common import arrow_limits, table, use_cache
 
 DIMS = 8192
 #: Labelled rows to fit on, over all languages, and for one language at least and at most.
 FIT_ROWS, LEAST_ROWS, MOST_ROWS = 2000, 8, 400
+#: Bytes of language names that may be broadcast.
+NAME_BYTES = 1 << 20
 CENTROIDS, ROUNDS = 3, 8
 #: Share of fitted texts of a length below whose cosine the rejection starts, and the part of that cosine it allows.
 TAIL, SLACK = 0.01, 0.35
@@ -109,10 +111,10 @@ def fit(docs: DataFrame) -> Model | None:
     """The model of the labelled rows of docs (doc_id, text, lang)."""
     labelled = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("lang").cast("string").alias("lang"), "text").where("lang is not null and text is not null and not coalesce(pmod(crc32(cast(id as binary)), 4) = 2, false)")
     per = labelled.groupBy("lang").agg(F.count("*").alias("n"))
-    total = per.count()
-    if not total:
+    total = per.agg(F.count("*").alias("languages"), F.sum(F.octet_length("lang") + 16).alias("bytes"), F.sum("n").alias("rows")).first()
+    if not total["languages"]:
         return None
-    wanted = max(LEAST_ROWS, min(MOST_ROWS, FIT_ROWS // total))
+    wanted = max(LEAST_ROWS, min(MOST_ROWS, FIT_ROWS // total["languages"]))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,7 +123,10 @@ def fit(docs: DataFrame) -> Model | None:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([w.astype("<i4").tobytes() for w in where], pa.binary()), pa.array([r[1][w].astype("<i8").tobytes() for r, w in zip(rows, where, strict=True)], pa.binary())], names=["lang", "at", "n"])
 
     place = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    sample = labelled.join(per, "lang").where(place < F.lit(float(wanted)) / F.col("n")).select("lang", "text")
+    if total["bytes"] <= NAME_BYTES:
+        sample = labelled.join(F.broadcast(per), "lang").where(place < F.lit(float(wanted)) / F.col("n")).select("lang", "text")
+    else:
+        sample = labelled.where(place < FIT_ROWS / total["rows"]).select("lang", "text")
     rows = []
     for r in sample.mapInArrow(vectors, "lang string, at binary, n binary").orderBy("lang", F.xxhash64("at", "n")).collect():
         c = np.zeros(DIMS, np.float32)
@@ -138,6 +143,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     added = [("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_cache("model", int)
         m = shared.value
         for batch in batches:
             strings = batch.column("text").to_pylist()
