@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import string
 
 import pytest
 
@@ -153,6 +154,18 @@ def test_random_strings(spark):
     assert secret.scan(docs(spark, []), path).count() == 0
 
 
+def random_share(alphabet, length, n=300):
+    """The share of random strings of an alphabet that are findings."""
+    import public_tokenizers
+
+    r, vocabulary = random.Random(f"{alphabet}{length}"), secret.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return sum(secret.random_spans(f"key {s} end", [], vocabulary) == [(4, 4 + length)] for s in ("".join(r.choices(alphabet, k=length)) for _ in range(n))) / n
+
+
+def test_random_letters_without_digits():
+    assert all(random_share(string.ascii_letters, n) >= 0.85 for n in (16, 20, 32, 64))
+
+
 STEMS = {"aa": "the and ing tion er ly of".split(), "bb": "der und ung keit sch ein ö".split(), "cc": "que los ción mente ñ y el".split()}
 
 
