@@ -27,11 +27,12 @@ ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
-#: Candidates of the token-efficiency test, the most characters per token of a finding, and least mean part of an identifier.
+#: Candidates of the token-efficiency test, the most characters per token of a finding,.
 #: Candidates of 16 to 19 characters need a lower ratio: at 2.1, about one clean word in forty of that length is a finding.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 SHORT, SHORT_RATIO = 20, 1.7
-RATIO, PART = 2.1, 3.5
+#: A part of an identifier is a word by its least length and characters per token; WORDS is the least share of a string in words.
+RATIO, PART, PART_RATIO, WORDS = 2.1, 3, 2.5, 0.4
 PIECE = 2048
 DIGESTS = {32, 40, 48, 56, 64, 96, 128}
 HEXADECIMAL = re.compile(r"[0-9a-fA-F]+")
@@ -70,21 +71,26 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def is_known(string: str) -> bool:
-    """A digest, a UUID, a number or an identifier made of words."""
-    if string.isdigit() or UUID.fullmatch(string) or (len(string) in DIGESTS and HEXADECIMAL.fullmatch(string)):
+def is_known(string: str, vocabulary) -> bool:
+    """A digest, a UUID, a number, one repeated character or an identifier made of words that are cheap in the vocabulary."""
+    if string.isdigit() or len(set(string)) == 1 or UUID.fullmatch(string) or (len(string) in DIGESTS and HEXADECIMAL.fullmatch(string)):
         return True
-    return len(string) >= PART * max(1, len(PARTS.findall(string)))
+    parts = PARTS.findall(string)
+    words = sum(len(p) for p in parts if p.isalpha() and len(p) >= PART and len(p) >= PART_RATIO * count(p, vocabulary))
+    return words >= WORDS * max(1, sum(map(len, parts)))
+
+
+def count(string: str, vocabulary) -> int:
+    return sum(len(vocabulary.encode_ordinary(string[k : k + PIECE])) for k in range(0, len(string), PIECE))
 
 
 def random_spans(text: str, taken: list[tuple[int, int, int]], vocabulary) -> list[tuple[int, int]]:
     out = []
     for m in CANDIDATE.finditer(text):
         string = m.group()
-        if any(s < m.end() and m.start() < e for s, _, e in taken) or is_known(string):
+        if any(s < m.end() and m.start() < e for s, _, e in taken):
             continue
-        tokens = sum(len(vocabulary.encode_ordinary(string[k : k + PIECE])) for k in range(0, len(string), PIECE))
-        if len(string) < (SHORT_RATIO if len(string) < SHORT else RATIO) * tokens:
+        if len(string) < (SHORT_RATIO if len(string) < SHORT else RATIO) * count(string, vocabulary) and not is_known(string, vocabulary):
             out.append(m.span())
     return out
 

@@ -166,6 +166,17 @@ def test_random_letters_without_digits():
     assert all(random_share(string.ascii_letters, n) >= 0.85 for n in (16, 20, 32, 64))
 
 
+def test_random_strings_are_not_identifiers():
+    """Letters of one case, and base32, are words only where the vocabulary has them."""
+    import public_tokenizers
+
+    lower, upper = string.ascii_lowercase, string.ascii_uppercase
+    assert all(random_share(letters, n) >= 0.95 for letters in (lower, upper, upper + "234567", upper + string.digits, lower + string.digits) for n in (20, 32, 64))
+    vocabulary = secret.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    for name in ("MAX_RETRY_COUNT_FOR_V2_REQUESTS", "averyverylongidentifiername", "convertUtf8StringToInt64Array", "Donaudampfschifffahrtsgesellschaft", "=" * 40, "-" * 33, "Y" * 30):
+        assert secret.random_spans(name, [], vocabulary) == [], name
+
+
 STEMS = {"aa": "the and ing tion er ly of".split(), "bb": "der und ung keit sch ein ö".split(), "cc": "que los ción mente ñ y el".split()}
 
 
