@@ -58,6 +58,17 @@ def test_queries_are_a_stated_set(spark):
         search.stated(queries, 3).collect()
 
 
+def test_lsh_recall(spark):
+    """Approximate against exact search, for each of the points whose id is divisible by 20."""
+    from pyspark.sql import functions as F
+
+    points = views.chunks(spark, "/root/testdata/sf0.01").select("id", "vector")
+    queries = points.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+    pairs = lambda df: {(r["query_id"], r["id"]) for r in df.collect()}
+    exact, found = pairs(search.knn(points, queries, 15)), pairs(search.knn_lsh(points, queries, 15))
+    assert len(exact) == 15 * queries.count() and len(exact & found) >= 0.9 * len(exact)
+
+
 def test_plans(spark):
     chunks = views.chunks(spark, SF)
     plan = search.nearest(chunks, [0.1] * 64, 5)._jdf.queryExecution().toString()
