@@ -3,7 +3,8 @@
 A text becomes a vector of hashed byte 2- and 3-grams (letters in lower case, everything ASCII that is no letter as one
 space), weighed by 1 + log tf and idf and normalised. Each language has several centroids from spherical k-means over a bounded sample
 of labelled rows; the prediction is the language of the centroid with the largest cosine. A text is rejected when that
-cosine lies far below what fitted texts of its length reach.
+cosine lies far below what fitted texts of its length reach: halfway between that and what the centroids of the other
+languages reach on them, as they do on the texts of a language that isn't learned.
 
 Fitting takes at most about FIT_ROWS rows in all, shared evenly by languages (or, where the languages' names don't fit
 NAME_BYTES, drawn evenly from all rows) and chosen by a hash of doc_id; rows whose crc32(doc_id) mod 4 is 2 are held out. Prediction covers every row, without a shuffle.
@@ -30,8 +31,8 @@ FIT_ROWS, LEAST_ROWS, MOST_ROWS = 2000, 8, 400
 #: Bytes of language names that may be broadcast.
 NAME_BYTES = 1 << 20
 CENTROIDS, ROUNDS = 3, 8
-#: Share of fitted texts of a length below whose cosine the rejection starts, and the part of that cosine it allows.
-TAIL, SLACK = 0.01, 0.35
+#: Share of fitted texts of a length below whose cosine the rejection starts, and the least and the largest part of that cosine it allows.
+TAIL, SLACK, MOST_SLACK = 0.01, 0.35, 0.75
 UNKNOWN = "und"
 _LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -99,10 +100,15 @@ def train(rows: list[tuple[str, np.ndarray]]) -> Model | None:
     x = model.vectors(tf)
     parts = [cluster(x[label == k]) for k in range(len(languages))]
     model.centroids, model.of = np.concatenate(parts).astype(np.float32), np.repeat(np.arange(len(languages)), [len(p) for p in parts])
-    best, bins = (x @ model.centroids.T).max(1), length_bin(tf.sum(1))
+    cosines, bins = x @ model.centroids.T, length_bin(tf.sum(1))
+    best, foreign = cosines.max(1), np.where(label[:, None] == model.of, 0, cosines).max(1)
     floor = np.zeros(bins.max() + 1)
     for k in range(len(floor)):
-        floor[k] = SLACK * np.quantile(best[bins == k], TAIL) if (bins == k).sum() >= 5 else (floor[k - 1] if k else 0)
+        if (bins == k).sum() < 5:
+            floor[k] = floor[k - 1] if k else 0
+            continue
+        low, high = np.quantile(best[bins == k], TAIL), np.quantile(foreign[bins == k], 1 - TAIL)
+        floor[k] = np.clip((low + high) / 2, SLACK * low, MOST_SLACK * low)
     model.floor = np.minimum.accumulate(floor[::-1])[::-1]
     return model
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 import string
 
+import numpy as np
 import pytest
 
 from chunkmill.llm import op1_lz_fingerprint as lz
@@ -205,6 +206,20 @@ def test_language(spark):
     assert kept.columns == every.columns and {r["doc_id"] for r in kept.collect()} == set(truth) | {904}
 
 
+def test_language_that_was_not_fitted():
+    """Without one of the tables' four languages, its texts are rejected; no held-out text of the others is."""
+    import pyarrow.parquet as pq
+
+    rows = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["lang", "text"]).to_pylist()
+    rows = [(r["lang"], language.counts(r["text"])) for r in rows if r["lang"] and language.has_letter(r["text"])]
+    for out in sorted({lang for lang, _ in rows}):
+        learned = [r for r in rows if r[0] != out]
+        model = language.train([r for k, r in enumerate(learned) if k % 4])
+        rejected = lambda found: model.predict(np.array([c for _, c in found], np.float32))[2].mean()
+        assert rejected([r for r in rows if r[0] == out]) >= 0.9, out
+        assert rejected(learned[::4]) <= 0.01, out
+
+
 def test_language_of_nothing(spark):
     empty = spark.createDataFrame([], DOCS)
     assert language.fit(empty) is None and language.keep_identified(empty).count() == 0
