@@ -14,12 +14,12 @@ first, ties by text; repeated rows are separate documents; other columns are ign
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
 import zlib
-from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -66,31 +66,37 @@ def encode(ids: np.ndarray) -> bytes:
 
 
 class Reader:
-    """Random access to a file image: token(i) follows one chunk per level, slice(i, j) one range per level."""
+    """Random access: token(i) follows one chunk per level, slice(i, j) one range per level.
 
-    def __init__(self, data: bytes):
-        if data[: len(MAGIC)] != MAGIC:
+    source is a file image, or a function of (offset, length) that reads a range; then the header is read once and each
+    access reads a few short ranges of each level.
+    """
+
+    def __init__(self, source: bytes | Callable[[int, int], bytes]):
+        self.read = (lambda at, n: source[at : at + n]) if isinstance(source, bytes) else source
+        head = self.read(0, len(MAGIC) + 12)
+        if head[: len(MAGIC)] != MAGIC:
             raise ValueError("not a token file")
-        self.data = data
-        n, self.size = struct.unpack_from("<IQ", data, len(MAGIC))
-        self.levels = [struct.unpack_from("<4Q", data, len(MAGIC) + 12 + 32 * k) for k in range(n)]
+        n, self.size = struct.unpack_from("<IQ", head, len(MAGIC))
+        table = self.read(len(head), 32 * n)
+        self.levels = [struct.unpack_from("<4Q", table, 32 * k) for k in range(n)]
 
     def rank(self, level: int, i: int) -> int:
         """Ones in the level's bitmap before i."""
         _, _, bits, ranks = self.levels[level]
         block = i // BLOCK
-        (before,) = struct.unpack_from("<Q", self.data, ranks + 8 * block)
+        (before,) = struct.unpack("<Q", self.read(ranks + 8 * block, 8))
         left = i - block * BLOCK
         if not left:
             return before
-        part = int.from_bytes(self.data[bits + block * BLOCK // 8 : bits + block * BLOCK // 8 + (left + 7) // 8], "little")
+        part = int.from_bytes(self.read(bits + block * BLOCK // 8, (left + 7) // 8), "little")
         return before + (part & ((1 << left) - 1)).bit_count()
 
     def token(self, i: int) -> int:
         value = 0
         for level, (_, chunks, bits, _) in enumerate(self.levels):
-            value |= self.data[chunks + i] << (BITS * level)
-            if not self.data[bits + i // 8] >> (i % 8) & 1:
+            value |= self.read(chunks + i, 1)[0] << (BITS * level)
+            if not self.read(bits + i // 8, 1)[0] >> (i % 8) & 1:
                 break
             i = self.rank(level, i)
         return value
@@ -100,13 +106,13 @@ class Reader:
         out = None
         where: np.ndarray | None = None
         for level, (_, chunks, bits, _) in enumerate(self.levels):
-            got = np.frombuffer(self.data, np.uint8, end - start, chunks + start).astype(np.uint32) << np.uint32(BITS * level)
+            got = np.frombuffer(self.read(chunks + start, end - start), np.uint8).astype(np.uint32) << np.uint32(BITS * level)
             if out is None:
                 out, where = got, np.arange(end - start)
             else:
                 out[where] |= got
             first = start // 8
-            raw = np.frombuffer(self.data, np.uint8, (end + 7) // 8 - first, bits + first)
+            raw = np.frombuffer(self.read(bits + first, (end + 7) // 8 - first), np.uint8)
             more = np.unpackbits(raw, bitorder="little")[start - 8 * first : end - 8 * first].astype(bool)
             if not more.any():
                 break
@@ -116,6 +122,11 @@ class Reader:
         return out
 
 
+def open_tokens(uri: str) -> Reader:
+    """A reader of a token file that reads only the ranges it needs."""
+    return Reader(lambda at, n: read_file(uri, at, n))
+
+
 def byte_letters() -> dict[int, str]:
     """Byte-level alphabet: printable Latin-1 stands for itself, the other bytes, in order, for U+0100 on."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -123,69 +134,134 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)}
 
 
+# White space beyond ASCII by its UTF-8 lead byte; the second and third bytes that make it.
+_SPACES = {
+    0xC2: {b"\x85", b"\xa0"}, 0xE1: {b"\x9a\x80", b"\xa0\x8e"}, 0xE3: {b"\x80\x80"},
+    0xE2: {b"\x80" + bytes([c]) for c in (*range(0x80, 0x8C), 0xA8, 0xA9, 0xAF)} | {b"\x81\x9f"},
+}
+# Letters of one byte, and of two bytes in blocks that hold almost nothing else (the two marks are left out).
+LETTERS = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4\xc5\xd0\xd1][\x80-\xbf])+")
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK = np.zeros(256, bool)
+_MARK[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
+_LEAD = np.zeros(256, bool)
+_LEAD[[0xC3, 0xC4, 0xC5, 0xD0, 0xD1]] = True
+#: Bytes of texts that are cut and looked up at a time.
+PASS_BYTES = 8 << 20
+
+
+def cuts(data: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Positions before which a byte-level pre-tokenizer always breaks, whatever stands around: before a space or line feed
+    that something visible follows in the same text, after such a line feed, and between a letter and an ASCII mark. Texts
+    end at stop."""
+    here, after = data[:-1], data[1:]
+    visible = after > 32
+    visible[stop[(stop > 0) & (stop < len(data))] - 1] = False
+    space = np.flatnonzero(((here == 32) | (here == 10)) & visible)
+    high = space[data[space + 1] >= 0x80]
+    if len(high):
+        wide = np.concatenate([data, np.zeros(3, np.uint8)])
+        odd = np.zeros(len(high), bool)
+        for lead, rest in _SPACES.items():
+            at = np.flatnonzero(wide[high + 1] == lead)
+            for tail in rest:
+                same = np.ones(len(at), bool)
+                for k, c in enumerate(tail):
+                    same &= wide[high[at] + 2 + k] == c
+                odd[at[same]] = True
+        space = np.setdiff1d(space, high[odd], assume_unique=True)
+    feed = space[data[space] == 10]
+    mark = np.flatnonzero(_MARK[after] & ((here >= 0x80) | _LETTER[here]))
+    high = data[mark] >= 0x80
+    before = data[np.maximum(mark, 1) - 1]
+    mark = mark[~high | (_LEAD[before] & ~((before == 0xC3) & ((data[mark] == 0x97) | (data[mark] == 0xB7))))]
+    return np.concatenate([space, feed + 1, mark + 1])
+
+
 class PieceEncoder:
     """The tokenizer with a memory of pieces.
 
-    A byte-level pre-tokenizer always breaks before a space that a non-space follows, and around a line feed between
-    non-spaces, so a text splits there into pieces whose ids don't depend on their neighbours; so does a comma or full
-    stop that ends a piece of letters. Texts with other white space are split at single spaces alone, and texts that may
-    hold a special token's string are encoded whole.
+    A batch of texts is one byte array. It is cut where the pre-tokenizer breaks in any case, so a piece's ids don't depend
+    on its neighbours; distinct pieces are found by Arrow, the tokenizer sees those that are new, and the ids of all pieces
+    are gathered by position. Nothing is done in Python for each piece of a text. Texts that hold a special token's string
+    are encoded whole, and so is every text where the tokenizer isn't a plain byte-level one.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = tuple(x.content for x in self.tokenizer.get_added_tokens_decoder().values())
-        self.model = self.tokenizer.model
-        self.letters = byte_letters()
-        self.odd = ["  ", "\n\n", " \n", "\n ", *(chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n")]
-        self.split = re.compile(r" (?=\S)")
-        self.first: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
-        self.feed, *stops = self._ids(["\n", ",", "."])
-        self.stops = dict(zip(",.", stops, strict=True))
-
-    def lines(self, text: str) -> list[list[str]] | None:
-        """Lines of pieces; None if the text is to be encoded whole."""
-        if any(s in text for s in self.special):
-            return None
-        odd = text[:1].isspace() or text[-1:].isspace() or any(s in text for s in self.odd)
-        return [self.split.split(text)] if odd else [x.split(" ") for x in text.split("\n")]
-
-    def _ids(self, strings: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
-
-    def _learn(self, memo: dict[str, bytes], wanted: set[str], lead: str) -> None:
-        stops = self.stops
-        ended = {x: x[:-1] for x in wanted if x[-1:] in stops and x[:-1].isalpha()}
-        new = [x for x in wanted.difference(ended).union(ended.values()) if x not in memo]
-        todo, tokenize, letters = [x for x in new if not x.isalpha()], self.model.tokenize, self.letters
-        for x in new:
-            if x.isalpha():  # one pre-token: the model alone
-                memo[x] = array("I", [t.id for t in tokenize((lead + x).encode().decode("latin-1").translate(letters))]).tobytes()
-        for k in range(0, len(todo), 4096):
-            part = todo[k : k + 4096]
-            memo.update(zip(part, self._ids([lead + x for x in part]), strict=True))
-        for x, start in ended.items():
-            memo[x] = memo[start] + stops[x[-1]]
-
-    def encode(self, batch: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.known) + len(self.first) > CACHE_PIECES:
-            self.known.clear()
-            self.first.clear()
-        split = [self.lines(t) for t in batch]
-        first, known = self.first, self.known
-        starts, rest = set(), set()
-        for lines in split:
-            for p in lines or ():
-                starts.add(p[0])
-                rest.update(p[1:])
-        self._learn(first, {x for x in starts if x not in first}, "")
-        self._learn(known, {x for x in rest if x not in known}, " ")
-        get = known.__getitem__
-        return [self._ids([t])[0] if lines is None else self.feed.join([first[p[0]] + b"".join(map(get, p[1:])) for p in lines]) for t, lines in zip(batch, split, strict=True)]
+        self.special = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as source:
+            told = json.load(source)
+        before = told.get("pre_tokenizer") or {}
+        self.plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not told.get("normalizer") and not told["model"].get("dropout")
+        self.tokenize, self.letters = self.tokenizer.model.tokenize, byte_letters()
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place: dict[bytes, int] = {}
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.first, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def _encode(self, strings: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast([s.decode("utf-8", "surrogatepass") for s in strings], add_special_tokens=False)]
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        for k in range(0, len(pieces), 4096):
+            part = pieces[k : k + 4096]
+            found: list[list[int]] = [[]] * len(part)
+            rest = []
+            for i, piece in enumerate(part):
+                if self.plain and LETTERS.fullmatch(piece):  # one pre-token: the model alone
+                    found[i] = [t.id for t in self.tokenize(piece.decode("latin-1").translate(self.letters))]
+                else:
+                    rest.append(i)
+            for i, ids in zip(rest, self._encode([part[i] for i in rest]), strict=True):
+                found[i] = ids
+            n = np.array([len(f) for f in found])
+            known, total = len(self.place), int(n.sum())
+            while known + len(part) > len(self.first):
+                self.first, self.count = np.concatenate([self.first, self.first * 0]), np.concatenate([self.count, self.count * 0])
+            while self.used + total > len(self.ids):
+                self.ids = np.concatenate([self.ids, self.ids * 0])
+            self.first[known : known + len(part)] = self.used + np.cumsum(n) - n
+            self.count[known : known + len(part)] = n
+            self.ids[self.used : self.used + total] = [i for f in found for i in f]
+            self.used += total
+            self.place.update(zip(part, range(known, known + len(part)), strict=True))
+
+    def encode(self, texts: list[bytes], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, each with the end id, and how many each text has."""
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        size = np.array([len(t) for t in texts], np.int64)
+        stop = np.cumsum(size)
+        whole = [k for k, t in enumerate(texts) if not self.plain or any(s in t for s in self.special)]
+        is_start = np.zeros(len(data), bool)
+        is_start[(stop - size)[size > 0]] = True
+        if len(data) > 1:
+            is_start[cuts(data, stop)] = True
+        start = np.flatnonzero(is_start)
+        if whole:
+            inside = np.isin(np.searchsorted(stop, start, side="right"), whole)
+            start = start[~inside | np.isin(start, stop - size)]
+        if len(self.place) > CACHE_PIECES:
+            self._forget()
+        bounds = np.concatenate([start, [len(data)]]).astype(np.int64 if len(data) >> 31 else np.int32)
+        kind = pa.LargeBinaryArray if len(data) >> 31 else pa.BinaryArray
+        found = kind.from_buffers(pa.large_binary() if len(data) >> 31 else pa.binary(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
+        pieces = found.dictionary.to_pylist()
+        self._learn([p for p in pieces if p not in self.place])
+        which = np.array([self.place[p] for p in pieces], np.int64)[found.indices.to_numpy()] if len(start) else np.zeros(0, np.int64)
+        count, first = self.count[which], self.first[which]
+        ends = np.cumsum(count)
+        tokens = self.ids[np.repeat(first - (ends - count), count) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        upto = np.concatenate([[0], ends])[np.searchsorted(start, stop)]
+        each = np.diff(np.concatenate([[0], upto]))
+        if end is None:
+            return tokens, each
+        return np.insert(tokens, upto, end), each + 1
 
 
 _encoders: dict[str, PieceEncoder] = {}
@@ -205,6 +281,23 @@ def encoder(path: str) -> PieceEncoder:
     return _encoders[path]
 
 
+def passes(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[tuple[list[int | None], list[bytes]]]:
+    """doc_ids and texts of about most bytes at a time."""
+    ids: list[int | None] = []
+    texts: list[bytes] = []
+    size = 0
+    for batch in batches:
+        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+            ids.append(doc)
+            texts.append(text or b"")
+            size += len(texts[-1])
+            if size >= (PASS_BYTES if most is None else most):
+                yield ids, texts
+                ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts
+
+
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = END_ID, file_tokens: int = FILE_TOKENS) -> DataFrame:
     """Write the ids of docs.text in doc_id order. Returns the directory: doc_id, part, file_no, file, local_start, n_tokens.
 
@@ -221,30 +314,35 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = END_ID, file_tok
 
         use_cache("tokens", forget)
         part, attempt, number = TaskContext.get().partitionId(), uuid.uuid4().hex, 0
-        coder, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
-        rows: list[tuple[int | None, int]] = []
-        held: list[bytes] = []
+        coder = encoder(tokenizer)
+        docs_held: list[int | None] = []
+        counts: list[np.ndarray] = []
+        held: list[np.ndarray] = []
         tokens = 0
 
         def flush() -> pa.RecordBatch:
             name = f"{folder}/part-{part:06d}-{number:06d}-{attempt}.dac"
-            write_file(name, encode(np.frombuffer(b"".join(held), "<u4")))
-            n = np.array([k for _, k in rows], np.int64)
+            write_file(name, encode(np.concatenate(held)))
+            n = np.concatenate(counts)
             return pa.RecordBatch.from_arrays(
-                [pa.array([d for d, _ in rows], pa.int64()), pa.array([part] * len(rows), pa.int64()), pa.array([number] * len(rows), pa.int64()), pa.array([name] * len(rows)), pa.array(np.cumsum(n) - n), pa.array(n)], schema=schema
+                [pa.array(docs_held, pa.int64()), pa.array(np.full(len(n), part)), pa.array(np.full(len(n), number)), pa.array([name] * len(n)), pa.array(np.cumsum(n) - n), pa.array(n)], schema=schema
             )
 
-        for batch in batches:
-            ids, strings = batch.column("doc_id").to_pylist(), ["" if x is None else x for x in batch.column("text").to_pylist()]
-            for k in range(0, len(strings), 128):
-                for doc, got in zip(ids[k : k + 128], coder.encode(strings[k : k + 128]), strict=True):
-                    held.append(got + end)
-                    rows.append((doc, len(got) // 4 + 1))
-                    tokens += rows[-1][1]
-                    if tokens >= file_tokens:
-                        yield flush()
-                        rows, held, tokens, number = [], [], 0, number + 1
-        if rows:
+        for ids, texts in passes(batches):
+            got, n = coder.encode(texts, end_id)
+            stop = np.cumsum(n)
+            first = done = 0
+            while first < len(ids):  # a file ends with the document that fills it
+                last = min(len(ids), int(np.searchsorted(stop, done + file_tokens - tokens)) + 1)
+                docs_held += ids[first:last]
+                counts.append(n[first:last])
+                held.append(got[done : int(stop[last - 1])].copy())
+                tokens += int(stop[last - 1]) - done
+                first, done = last, int(stop[last - 1])
+                if tokens >= file_tokens:
+                    yield flush()
+                    docs_held, counts, held, tokens, number = [], [], [], 0, number + 1
+        if docs_held:
             yield flush()
 
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")

@@ -145,6 +145,44 @@ def test_token_files(spark, monkeypatch):
     assert tok.read_back(tok.write_tokens(docs(spark, []), path)).count() == 0
 
 
+def test_pieces_equal_the_tokenizer(monkeypatch):
+    """Odd white space, contractions, marks, special strings and text borders: the cut texts against whole ones."""
+    from tokenizers import Tokenizer
+
+    path = tok.tokenizer_path()
+    plain, coder, r = Tokenizer.from_file(path), tok.PieceEncoder(path), random.Random(6)
+    parts = [*"ab'sStTrRvVlLdDmM  \n\n\t,.!?-_()12é日äß×÷Öя\u0085\xa0\u3000\u2003\u200b\u180e\x1c\x1f\x0b\x0c\r\x00\x7f", "'s", "'re", " '", "<|endoftext|>", "<|", "ſ", " \n", "  ", "😀", "¿", "“"]
+    for k in range(150):
+        if k == 75:
+            monkeypatch.setattr(tok, "CACHE_PIECES", 50)
+        texts = ["".join(r.choice(parts) for _ in range(r.randrange(40))) for _ in range(60)]
+        got, n = coder.encode([t.encode() for t in texts], 2)
+        want = [[*plain.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+        assert n.tolist() == [len(w) for w in want] and got.tolist() == [i for w in want for i in w]
+    none, n = coder.encode([])
+    assert len(none) == len(n) == 0
+
+
+def test_other_tokenizers_see_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = tok.tokenizer_path("word_bpe_49k.json")
+    texts = ["It's  a test, é!", "", "b\nc"]
+    got, n = tok.PieceEncoder(path).encode([t.encode() for t in texts])
+    want = [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
+    assert n.tolist() == [len(w) for w in want] and got.tolist() == [i for w in want for i in w]
+
+
+def test_a_token_is_read_by_short_ranges(tmp_path):
+    ids = np.arange(200_000, dtype=np.uint32)
+    data, asked = tok.encode(ids), []
+    reader = tok.Reader(lambda at, n: asked.append(n) or data[at : at + n])
+    assert [reader.token(i) for i in (0, 255, 70_000, 199_999)] == [0, 255, 70_000, 199_999]
+    assert reader.slice(65_530, 65_540).tolist() == list(range(65_530, 65_540)) and max(asked) < 200
+    (tmp_path / "x.dac").write_bytes(data)
+    assert tok.open_tokens(str(tmp_path / "x.dac")).token(123_456) == 123_456
+
+
 # Mixing
 
 
