@@ -2,21 +2,26 @@
 
 Every window of LENGTH bytes has an owner: the least of its K-byte strings by hash, the leftmost of equals. Equal windows
 have equal owners at equal offsets, so windows need only meet those of the same owner string: a suffix bucket. A run of
-windows with one owner is a stretch of text around it, about 280 bytes.
-
-1. Texts are written to shard files with their stretches. A shard reports each distinct stretch once, as two hashes
-   (owner, content) and a count: groups of copies shrink before any shuffle.
-2. Stretches are dealt by owner. A content that occurs twice is repeated as a whole. Owners with several contents need
-   their text, once for each content.
-3. Buckets are sorted in blocks of bounded size. Stretches are laid out with owners at multiples of V, so the suffixes of
-   a bucket at one offset lie in one residue class, and a fixed shift takes all of them to positions of the difference
-   cover. Suffixes are ordered by their first 16 bytes and then by the precomputed rank of their cover sample; samples are
-   ranked by prefix doubling in steps of V. Neighbours are compared on all LENGTH bytes.
-   Owners with more than HOT contents would not fit a block: their windows are counted by 128-bit hashes instead.
-4. Results return to the shards, which cover, cut and digest their texts.
+windows with one owner is a stretch of text around it, about 280 bytes; its content is named by a 128-bit BLAKE2 digest.
+
+1. Texts are written to shard files with their stretches. A shard reports each distinct content once, with a count:
+   groups of copies shrink before any shuffle.
+2. Contents are range-partitioned in the order (owner, content), so an owner with very many contents spans as many
+   partitions as it fills. One pass over each partition finds contents that occur twice, which are repeated as a whole,
+   and lays the contents of owners that have several into blocks of at most BLOCK_BYTES of text.
+3. Blocks get their texts, once for each content, and each block's suffixes are sorted. Stretches are laid out with owners
+   at multiples of V, so the suffixes of a bucket at one offset lie in one residue class, and a fixed shift takes all of
+   them to positions of the difference cover. Suffixes are ordered by their first 16 bytes and then by the precomputed
+   rank of their cover sample; samples are ranked by prefix doubling in steps of V. Neighbours are compared on all LENGTH
+   bytes.
+4. Only the first and the last bucket of a block may go on in another one. Of these the block also reports each distinct
+   window once, by digest, and windows that several blocks report are repeated. So a bucket of any size is sorted block by
+   block, in bounded memory and in as many tasks as it has blocks.
+5. Results return to the shards, which cover, cut and digest their texts.
 
 Defined results: a null text is empty; texts shorter than LENGTH lose nothing; repeated rows repeat each other's strings
 and are removed like all copies; matches never cross documents; other columns are ignored; an empty table gives no rows.
+Strings in one block are compared byte by byte, contents and windows of different blocks by their digests.
 """
 
 from __future__ import annotations
@@ -27,9 +32,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chunkmill.llm.common import arrow_limits, filesystem, materialize, partitions, scratch, table, use_cache
@@ -38,7 +43,7 @@ LENGTH, K = 200, 40
 SPAN = LENGTH - K + 1
 #: A perfect difference set modulo 31: any two residues meet in it after one common shift.
 V, COVER = 31, (1, 5, 11, 24, 25, 27)
-SHARD_BYTES, PIECE_BYTES, BLOCK_BYTES, HOT = 8 << 20, 512 << 10, 1 << 20, 4096
+SHARD_BYTES, PIECE_BYTES, BLOCK_BYTES = 8 << 20, 512 << 10, 1 << 20
 _rng = np.random.default_rng(99)
 _T = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -67,7 +72,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def stretches(data: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Owner position, first and last window start, owner hash and content hash of each run of windows; valid marks window starts."""
+    """Owner position, first and last window start and owner hash of each run of windows; valid marks window starts."""
     size = -(-len(data) // (1 << 18)) << 18
     if size not in _tables:
         _tables.clear()
@@ -92,29 +97,38 @@ def stretches(data: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(new)
     last = np.concatenate([first[1:], [len(at)]]) - 1
     own, lo, hi = own[first], at[first], at[last]
-    content = (prefix[hi + LENGTH] - prefix[lo]) * down[lo] ^ _mix(((own - lo) << 16 | (hi - lo)).astype(np.uint64))
-    return own, lo, hi, gram[own].view(np.int64), _mix(content).view(np.int64)
+    return own, lo, hi, gram[own].view(np.int64)
+
+
+def digests(data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128-bit digests of data[start:end], as rows of two numbers."""
+    view, digest = memoryview(data), hashlib.blake2b
+    found = [digest(view[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+    return np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
 
 
 def text_stretches(texts: list[bytes]) -> list[np.ndarray]:
-    """Per text an array of rows (first window, last window, owner position, owner hash, content hash); short texts share a pass, long ones are cut with overlap."""
+    """Per text an array of rows (first window, last window, owner position, owner hash, content digest in two numbers); short texts share a pass, long ones are cut with overlap."""
     out: list[list[np.ndarray]] = [[] for _ in texts]
     held: list[tuple[int, int, bytes]] = []
 
     def flush() -> None:
-        data = np.frombuffer(b"".join(p for _, _, p in held), np.uint8)
+        joined = b"".join(p for _, _, p in held)
+        data = np.frombuffer(joined, np.uint8)
         size = np.array([len(p) for _, _, p in held])
         start = np.cumsum(size) - size
         valid = np.ones(len(data), bool)
         for s, n in zip(start.tolist(), size.tolist(), strict=True):
             valid[s + n - LENGTH + 1 : s + n] = False
-        own, lo, hi, gram, content = stretches(data, valid)
+        own, lo, hi, gram = stretches(data, valid)
+        content = digests(joined, lo, hi + LENGTH)
+        content = np.stack([content[:, 0] ^ (own - lo), content[:, 1]], 1)
         part = np.searchsorted(start, lo, side="right") - 1
         cut = np.searchsorted(part, np.arange(len(held) + 1))
         for k, (doc, offset, _) in enumerate(held):
             r = slice(cut[k], cut[k + 1])
             move = offset - start[k]
-            out[doc].append(np.stack([lo[r] + move, hi[r] + move, own[r] + move, gram[r], content[r]], 1))
+            out[doc].append(np.column_stack([lo[r] + move, hi[r] + move, own[r] + move, gram[r], content[r]]))
         held.clear()
 
     total = 0
@@ -128,16 +142,20 @@ def text_stretches(texts: list[bytes]) -> list[np.ndarray]:
                 total = 0
     if held:
         flush()
-    return [np.concatenate(x) if x else np.zeros((0, 5), np.int64) for x in out]
+    return [np.concatenate(x) if x else np.zeros((0, 6), np.int64) for x in out]
 
 
 def _path(base: str, shard: int) -> str:
     return f"{base}/{shard}.parquet"
 
 
+_STRETCH = "owner long, c1 long, c2 long, n long, shard long, row long, lo long, size long, lead long"
+_LONGS = [x.split()[0] for x in _STRETCH.split(", ")]
+
+
 def index(docs: DataFrame, folder: str) -> DataFrame:
-    """Write the shards; returns owner, content, n, shard, row, lo, size, lead for each distinct stretch of a shard, and a row of nulls per shard."""
-    schema = pa.schema([("owner", pa.int64()), ("content", pa.int64()), ("n", pa.int64()), ("shard", pa.int64()), ("row", pa.int64()), ("lo", pa.int64()), ("size", pa.int64()), ("lead", pa.int64())])
+    """Write the shards; returns owner, content (c1, c2), n, shard, row, lo, size, lead for each distinct content of a shard, and a row with only shard for each shard."""
+    schema = pa.schema([(c, pa.int64()) for c in _LONGS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use_cache("powers", forget)
@@ -150,17 +168,17 @@ def index(docs: DataFrame, folder: str) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             shard, found = uuid.uuid4().int >> 65, text_stretches(held)
             with files.open_output_stream(_path(base, shard), compression=None) as out:
-                columns = {"doc_id": pa.array(ids, pa.int64()), "text": pa.array(held, pa.large_binary()), "stretches": pa.array([x[:, [0, 1, 3, 4]].tobytes() for x in found], pa.large_binary())}
+                columns = {"doc_id": pa.array(ids, pa.int64()), "text": pa.array(held, pa.large_binary()), "stretches": pa.array([x[:, [0, 1, 4, 5]].tobytes() for x in found], pa.large_binary())}
                 pq.write_table(pa.table(columns), out, compression="zstd", use_dictionary=False, write_statistics=False)
             row = np.repeat(np.arange(len(found)), [len(x) for x in found])
             every = np.concatenate(found)
-            order = np.lexsort((every[:, 4], every[:, 3]))
+            order = np.lexsort((every[:, 5], every[:, 4]))
             every, row = every[order], row[order]
-            new = np.concatenate([[True], (every[1:, 3:] != every[:-1, 3:]).any(1)]) if len(every) else np.zeros(0, bool)
+            new = np.concatenate([[True], (every[1:, 4:] != every[:-1, 4:]).any(1)]) if len(every) else np.zeros(0, bool)
             first = np.flatnonzero(new)
             n = np.diff(np.concatenate([first, [len(every)]]))
             x = every[first]
-            columns = [x[:, 3], x[:, 4], n, np.full(len(x), shard), row[first], x[:, 0], x[:, 1] - x[:, 0], x[:, 2] - x[:, 0]]
+            columns = [x[:, 3], x[:, 4], x[:, 5], n, np.full(len(x), shard), row[first], x[:, 0], x[:, 1] - x[:, 0], x[:, 2] - x[:, 0]]
             for k in range(0, len(x), 20_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 20_000], pa.int64()) for c in columns], schema=schema)
             yield pa.RecordBatch.from_pylist([{"shard": shard}], schema=schema)
@@ -176,11 +194,62 @@ def index(docs: DataFrame, folder: str) -> DataFrame:
         if held:
             yield from flush()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "owner long, content long, n long, shard long, row long, lo long, size long, lead long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _STRETCH)
+
 
+def plan_blocks(found: DataFrame, block_bytes: int | None = None) -> DataFrame:
+    """Rows of found that matter, with whole (the content occurs twice) and block (null but for one row of each content whose owner has others).
 
-def repeated_windows(texts: list[bytes], leads: np.ndarray, counts: np.ndarray, buckets: np.ndarray) -> list[np.ndarray]:
-    """Sort the windows of all stretches (count windows from the first byte on, owner at lead; stretches of a bucket share an owner) and tell which equal another."""
+    Partitions are ranges of (owner, c1, c2). What lies in neighbouring partitions isn't known, so the first and the last
+    content of a partition count as contents whose owner has others.
+    """
+    most = block_bytes or BLOCK_BYTES
+    names = [*_LONGS, "whole", "block"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        block, size, before, seen = TaskContext.get().partitionId() << 32, 0, 0, False
+
+        def settle(rows: np.ndarray, after: int | None) -> pa.RecordBatch:
+            """rows: whole contents, in order; after: the owner that follows, None at the end."""
+            nonlocal block, size, before, seen
+            first = np.flatnonzero(np.concatenate([[True], (rows[1:, 1:3] != rows[:-1, 1:3]).any(1)]))
+            owner = rows[first, 0]
+            whole = np.add.reduceat(rows[:, 3], first) > 1
+            several = np.zeros(len(first), bool)
+            several[1:] = owner[1:] == owner[:-1]
+            several[:-1] |= several[1:]
+            several[0] |= not seen or before == owner[0]
+            several[-1] |= after is None or after == owner[-1]
+            at = size + np.cumsum(np.where(several, rows[first, 7] + LENGTH, 0))
+            number = np.where(several, block + at // most, -1)
+            block, size, before, seen = int(block + at[-1] // most), int(at[-1] % most), int(owner[-1]), True
+            of = np.repeat(np.arange(len(first)), np.diff(np.concatenate([first, [len(rows)]])))
+            place = np.full(len(rows), -1, np.int64)
+            place[first] = number
+            keep = np.flatnonzero(whole[of] | (place >= 0))
+            columns = [pa.array(rows[keep, k]) for k in range(len(_LONGS))]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(whole[of[keep]]), pa.array(place[keep], mask=place[keep] < 0)], names=names)
+
+        held = np.zeros((0, len(_LONGS)), np.int64)
+        for batch in batches:
+            held = np.concatenate([held, np.column_stack([batch.column(c).to_numpy() for c in _LONGS])])
+            last = np.flatnonzero((held[1:, 1:3] != held[:-1, 1:3]).any(1))
+            if len(last):  # the last content may go on
+                cut = int(last[-1]) + 1
+                yield settle(held[:cut], int(held[cut, 0]))
+                held = held[cut:]
+        if len(held):
+            yield settle(held, None)
+
+    key = ["owner", "c1", "c2"]
+    dealt = found.where("owner is not null").repartitionByRange(partitions(found.sparkSession), *key).sortWithinPartitions(*key, "shard")
+    return dealt.mapInArrow(run, f"{_STRETCH}, whole boolean, block long")
+
+
+def repeated_windows(texts: list[bytes], leads: np.ndarray, counts: np.ndarray, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sort the windows of all stretches (count windows from the first byte on, owner at lead; stretches of a bucket share an owner). Tells for each window whether it equals another, and whether it is the first of its equals."""
     pad = -leads % V
     room = pad + np.array([len(t) for t in texts]) + LENGTH
     start = np.cumsum(room + -room % V) - (room + -room % V)
@@ -226,12 +295,13 @@ def repeated_windows(texts: list[bytes], leads: np.ndarray, counts: np.ndarray,
     hit = np.zeros(len(at), bool)
     hit[order[near]] = True
     hit[order[near + 1]] = True
-    return np.split(hit, np.cumsum(counts)[:-1])
+    first = np.ones(len(at), bool)
+    first[order[near + 1]] = False
+    return hit, first
 
 
-_PART = pa.schema([("shard", pa.int64()), ("owner", pa.int64()), ("content", pa.int64()), ("offsets", pa.list_(pa.int32()))])
-_PART_DDL = "shard long, owner long, content long, offsets array<int>"
-_COLUMNS = ("owner", "content", "shard", "row", "lo", "size", "lead", "whole")
+_PART = pa.schema([("shard", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("offsets", pa.list_(pa.int32())), ("w1", pa.int64()), ("w2", pa.int64())])
+_PART_DDL = "shard long, c1 long, c2 long, offsets array<int>, w1 long, w2 long"
 
 
 def _texts(wanted: DataFrame, folder: str, make, schema: pa.Schema, ddl: str) -> DataFrame:
@@ -256,64 +326,54 @@ def _texts(wanted: DataFrame, folder: str, make, schema: pa.Schema, ddl: str) ->
                 size = own.column("size").to_numpy() + LENGTH
                 yield make(own, [raw.slice(int(s), int(n)).to_pybytes() for s, n in zip(begin, size, strict=True)])
 
-    rows = wanted.select(*_COLUMNS).repartition(partitions(wanted.sparkSession), "shard").sortWithinPartitions("shard", "row")
+    rows = wanted.select("block", "owner", "c1", "c2", "shard", "row", "lo", "size", "lead", "whole").repartition(partitions(wanted.sparkSession), "shard").sortWithinPartitions("shard", "row")
     return rows.mapInArrow(run, ddl)
 
 
-def sort_buckets(wanted: DataFrame, folder: str) -> DataFrame:
-    """Windows that another stretch of the same owner repeats, of stretches that aren't repeated as a whole."""
-    schema = pa.schema([("owner", pa.int64()), ("content", pa.int64()), ("shard", pa.int64()), ("size", pa.int64()), ("lead", pa.int64()), ("whole", pa.bool_()), ("text", pa.binary())])
+def sort_blocks(wanted: DataFrame, folder: str) -> DataFrame:
+    """Per content that isn't repeated as a whole, the offsets of its windows that its block repeats; and, with w1 and w2, a row for each distinct window of a block's first and last bucket, whose offset is given if the block has it once."""
+    schema = pa.schema([*((c, pa.int64()) for c in ("block", "owner", "c1", "c2", "shard", "size", "lead")), ("whole", pa.bool_()), ("text", pa.binary())])
     take = lambda own, got: pa.RecordBatch.from_arrays([*(own.column(c) for c in schema.names[:-1]), pa.array(got, pa.binary())], schema=schema)
-    found = _texts(wanted, folder, take, schema, "owner long, content long, shard long, size long, lead long, whole boolean, text binary")
+    found = _texts(wanted, folder, take, schema, "block long, owner long, c1 long, c2 long, shard long, size long, lead long, whole boolean, text binary")
+
+    def flush(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        owners, whole = rows["owner"].to_numpy(), rows["whole"].to_numpy(zero_copy_only=False)
+        buckets = np.cumsum(np.concatenate([[0], owners[1:] != owners[:-1]]))
+        texts, count = rows["text"].to_pylist(), rows["size"].to_numpy() + 1
+        hit, first = repeated_windows(texts, rows["lead"].to_numpy(), count, buckets)
+        start = np.cumsum(count) - count
+        names = [rows[c].to_numpy() for c in ("shard", "c1", "c2")]
+        some = np.flatnonzero(~whole & np.logical_or.reduceat(hit, start))
+        offsets = [np.flatnonzero(hit[start[k] : start[k] + count[k]]).astype(np.int32) for k in some.tolist()]
+        empty = pa.nulls(len(some), pa.int64())
+        yield pa.RecordBatch.from_arrays([*(pa.array(c[some]) for c in names), pa.array(offsets, pa.list_(pa.int32())), empty, empty], schema=_PART)
+        of = np.repeat(np.arange(len(count)), count)
+        edge = np.flatnonzero(first & np.isin(owners, owners[[0, -1]])[of])
+        joined = b"".join(texts)
+        length = count + LENGTH - 1
+        at = (np.cumsum(length) - length)[of[edge]] + edge - start[of[edge]]
+        windows = digests(joined, at, at + LENGTH)
+        alone = ~hit[edge] & ~whole[of[edge]]
+        single = pa.ListArray.from_arrays(np.arange(len(edge) + 1, dtype=np.int32), pa.array((edge - start[of[edge]]).astype(np.int32)))
+        single = pc.if_else(pa.array(alone), single, None)
+        yield pa.RecordBatch.from_arrays([*(pa.array(c[of[edge]]) for c in names), single, pa.array(windows[:, 0]), pa.array(windows[:, 1])], schema=_PART)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        size = 0
-
-        def flush(rows: pa.Table) -> pa.RecordBatch:
-            owners, whole = rows["owner"].to_numpy(), rows["whole"].to_numpy(zero_copy_only=False)
-            buckets = np.cumsum(np.concatenate([[0], owners[1:] != owners[:-1]]))
-            hits = repeated_windows(rows["text"].to_pylist(), rows["lead"].to_numpy(), rows["size"].to_numpy() + 1, buckets)
-            some = [k for k, h in enumerate(hits) if not whole[k] and h.any()]
-            part = rows.take(pa.array(some, pa.int64()))
-            columns = [part[c].combine_chunks() for c in ("shard", "owner", "content")]
-            return pa.RecordBatch.from_arrays([*columns, pa.array([np.flatnonzero(hits[k]).astype(np.int32) for k in some], pa.list_(pa.int32()))], schema=_PART)
-
+        block = None
         for batch in batches:
-            held.append(batch)
-            size += batch.nbytes
-            if size >= BLOCK_BYTES:
-                rows = pa.Table.from_batches(held)
-                owners = rows["owner"].to_numpy()
-                cut = int(np.searchsorted(owners, owners[-1]))  # the last bucket may go on
-                if cut:
-                    yield flush(rows.slice(0, cut))
-                held = rows.slice(cut).to_batches()
-                size = sum(b.nbytes for b in held)
+            names = batch.column("block").to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero(names[1:] != names[:-1]) + 1, [len(names)]])
+            for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if held and names[start] != block:
+                    yield from flush(pa.Table.from_batches(held))
+                    held = []
+                block = names[start]
+                held.append(batch.slice(start, end - start))
         if held:
-            yield flush(pa.Table.from_batches(held))
-
-    return found.repartition(partitions(wanted.sparkSession), "owner").sortWithinPartitions("owner", "content").mapInArrow(run, _PART_DDL)
-
+            yield from flush(pa.Table.from_batches(held))
 
-def count_windows(wanted: DataFrame, folder: str) -> DataFrame:
-    """The same for owners with very many contents: windows are counted by hash, a row for each."""
-    names = ["shard", "owner", "content", "whole", "offset", "a", "b"]
-
-    def hashes(own: pa.RecordBatch, got: list[bytes]) -> pa.RecordBatch:
-        import xxhash
-
-        rows = []
-        for shard, owner, content, whole, lead, text in zip(*(own.column(c).to_pylist() for c in ("shard", "owner", "content", "whole", "lead")), got, strict=True):
-            for k in range(len(text) - LENGTH + 1):
-                a, b = np.frombuffer(xxhash.xxh3_128_digest(text[k : k + LENGTH], seed=lead - k), np.int64).tolist()
-                rows.append((shard, owner, content, whole, k, a, b))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
-    windows = materialize(_texts(wanted, folder, hashes, None, "shard long, owner long, content long, whole boolean, offset int, a long, b long"), "windows")
-    twice = windows.groupBy("owner", "a", "b").agg(F.count("*").alias("n")).where("n > 1").select("owner", "a", "b")
-    return windows.where("not whole").join(twice, ["owner", "a", "b"]).groupBy("shard", "owner", "content").agg(F.sort_array(F.collect_list("offset")).alias("offsets"))
+    return found.repartition(partitions(wanted.sparkSession), "block").sortWithinPartitions("block", "owner", "c1", "c2").mapInArrow(run, _PART_DDL)
 
 
 def cut_text(text: bytes, windows: np.ndarray) -> tuple[int, int, bytes]:
@@ -328,8 +388,21 @@ def cut_text(text: bytes, windows: np.ndarray) -> tuple[int, int, bytes]:
     return int(gone.sum()), runs, np.frombuffer(text, np.uint8)[~gone].tobytes()
 
 
+def inside(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which rows (two numbers) of x are among keys, which are sorted."""
+    found, at, live = np.zeros(len(x), bool), np.searchsorted(keys[:, 0], x[:, 0]), np.arange(len(x))
+    while len(live):
+        live = live[at[live] < len(keys)]
+        live = live[keys[at[live], 0] == x[live, 0]]
+        same = keys[at[live], 1] == x[live, 1]
+        found[live[same]] = True
+        live = live[~same]
+        at[live] += 1
+    return found
+
+
 def finish(shards: DataFrame, results: DataFrame, folder: str, with_text: bool = False) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if wanted, the kept bytes."""
+    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if wanted, the kept bytes. results: contents of a shard with the offsets of repeated windows, null for all."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("kept", pa.binary())] * with_text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,30 +412,32 @@ def finish(shards: DataFrame, results: DataFrame, folder: str, with_text: bool =
 
         def flush() -> Iterator[pa.RecordBatch]:
             rows = pa.Table.from_batches(held)
-            rows = rows.filter(rows["owner"].is_valid())
-            keys = np.stack([rows["owner"].to_numpy(), rows["content"].to_numpy()], 1)
+            rows = rows.filter(rows["c1"].is_valid())
+            keys = np.column_stack([rows["c1"].to_numpy(), rows["c2"].to_numpy()])
             whole = rows["offsets"].is_null().to_numpy()
-            offsets = rows["offsets"].filter(pa.array(~whole)).to_pylist()
-            part = {(int(a), int(b)): np.array(o, np.int64) for (a, b), o in zip(keys[~whole], offsets, strict=True)}
-            mark = lambda x: x[:, 0] * np.int64(-7046029254386353131) ^ x[:, 1]
-            full, some = np.sort(mark(keys[whole])), np.array(sorted(int(x) for x in mark(keys[~whole])), np.int64)
-            inside = lambda a, x: a[np.minimum(np.searchsorted(a, x), len(a) - 1)] == x if len(a) else np.zeros(len(x), bool)
+            part: dict[tuple[int, int], list[np.ndarray]] = {}
+            for (a, b), o in zip(keys[~whole].tolist(), rows["offsets"].filter(pa.array(~whole)).to_pylist(), strict=True):
+                part.setdefault((a, b), []).append(np.array(o, np.int64))
+            full, some = keys[whole], np.array(list(part), np.int64).reshape(-1, 2)
+            full, some = (k[np.lexsort((k[:, 1], k[:, 0]))] for k in (full, some))
             with files.open_input_file(_path(base, shard)) as source:
                 docs = pq.read_table(source, use_threads=False)
             for chunk in docs.to_batches(max_chunksize=500):
+                packed = chunk.column("stretches").to_pylist()
+                own = np.frombuffer(b"".join(packed), np.int64).reshape(-1, 4)
+                of = np.repeat(np.arange(len(packed)), [len(x) // 32 for x in packed])
+                every = np.flatnonzero(inside(full, own[:, 2:]))
+                found: dict[int, list[np.ndarray]] = {}
+                cuts = np.flatnonzero(np.diff(of[every])) + 1
+                for rows_of in np.split(every, cuts) if len(every) else ():
+                    found[int(of[rows_of[0]])] = [own[rows_of, :2]]
+                for k in np.flatnonzero(inside(some, own[:, 2:])).tolist():
+                    for got in part[int(own[k, 2]), int(own[k, 3])]:
+                        at = own[k, 0] + got
+                        found.setdefault(int(of[k]), []).append(np.column_stack([at, at]))
                 out = []
-                for doc, text, packed in zip(*(chunk.column(c).to_pylist() for c in ("doc_id", "text", "stretches")), strict=True):
-                    own = np.frombuffer(packed, np.int64).reshape(-1, 4)
-                    windows = own[:0, :2]
-                    if len(own) and len(rows):
-                        m = mark(own[:, 2:])
-                        windows = own[inside(full, m), :2]
-                        for k in np.flatnonzero(inside(some, m)).tolist():
-                            got = part.get((int(own[k, 2]), int(own[k, 3])))
-                            if got is not None:
-                                at = own[k, 0] + got
-                                windows = np.concatenate([windows, np.stack([at, at], 1)])
-                    removed, runs, kept = cut_text(text, windows)
+                for k, (doc, text) in enumerate(zip(chunk.column("doc_id").to_pylist(), chunk.column("text").to_pylist(), strict=True)):
+                    removed, runs, kept = cut_text(text, np.concatenate(found[k])) if k in found else (0, 0, text)
                     out.append((doc, len(text), removed, runs, hashlib.sha256(kept).hexdigest(), *([kept] * with_text)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
@@ -378,29 +453,26 @@ def finish(shards: DataFrame, results: DataFrame, folder: str, with_text: bool =
         if held:
             yield from flush()
 
-    rows = shards.select("shard", F.lit(None).cast("long").alias("owner"), F.lit(None).cast("long").alias("content"), F.lit(None).cast("array<int>").alias("offsets")).unionByName(results)
+    none = F.lit(None)
+    rows = shards.select("shard", none.cast("long").alias("c1"), none.cast("long").alias("c2"), none.cast("array<int>").alias("offsets")).unionByName(results)
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     return rows.repartition(partitions(shards.sparkSession), "shard").sortWithinPartitions("shard").mapInArrow(run, ddl)
 
 
-def remove_repeats(docs: DataFrame, with_text: bool = False, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """Per document what is removed and kept."""
     spark = docs.sparkSession
     arrow_limits(spark)
     folder = scratch(spark, "shards")
     found = materialize(index(docs, folder), "stretches")
     arrow_limits(spark, 4000)
-    of_owner, of_content = W.partitionBy("owner"), W.partitionBy("owner", "content")
-    dealt = found.where("owner is not null").repartition(partitions(spark), "owner")
-    dealt = dealt.withColumn("total", F.sum("n").over(of_content)).withColumn("place", F.row_number().over(of_content.orderBy("shard")))
-    dealt = dealt.withColumn("contents", F.sum((F.col("place") == 1).cast("int")).over(of_owner)).where("total > 1 or contents > 1").withColumn("whole", F.col("total") > 1)
-    dealt = materialize(dealt, "repeated")
-    wanted = dealt.where("contents > 1 and place = 1")
-    results = dealt.where("whole").select("shard", "owner", "content", F.lit(None).cast("array<int>").alias("offsets"))
-    results = results.unionByName(sort_buckets(wanted.where(F.col("contents") <= hot), folder))
-    crowded = wanted.where(F.col("contents") > hot)
-    if not crowded.isEmpty():
-        results = results.unionByName(count_windows(crowded, folder))
+    planned = materialize(plan_blocks(found), "block-plan")
+    parts = materialize(sort_blocks(planned.where("block is not null"), folder), "blocks")
+    windows = parts.where("w1 is not null")
+    twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
+    across = windows.where("offsets is not null").join(twice, ["w1", "w2"]).select("shard", "c1", "c2", "offsets")
+    results = planned.where("whole").select("shard", "c1", "c2", F.lit(None).cast("array<int>").alias("offsets"))
+    results = results.unionByName(parts.where("w1 is null").select("shard", "c1", "c2", "offsets")).unionByName(across)
     return finish(found.where("owner is null").select("shard"), results, folder, with_text)
 
 

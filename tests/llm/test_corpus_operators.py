@@ -344,21 +344,34 @@ def removed(texts, length=200):
     return out
 
 
-@pytest.mark.parametrize(("hot", "shard", "piece", "block"), [(suffix.HOT, suffix.SHARD_BYTES, suffix.PIECE_BYTES, suffix.BLOCK_BYTES), (1, 3000, 1000, 2000), (suffix.HOT, 2000, 700, 100)])
-def test_repeats(spark, monkeypatch, hot, shard, piece, block):
+@pytest.mark.parametrize(("shard", "piece", "block"), [(suffix.SHARD_BYTES, suffix.PIECE_BYTES, suffix.BLOCK_BYTES), (3000, 1000, 2000), (2000, 700, 100)])
+def test_repeats(spark, monkeypatch, shard, piece, block):
     monkeypatch.setattr(suffix, "SHARD_BYTES", shard)
     monkeypatch.setattr(suffix, "PIECE_BYTES", piece)
     monkeypatch.setattr(suffix, "BLOCK_BYTES", block)
     base, passage = prose(1, 300, 5000), prose(2, 70, 5000)
     exact = prose(3, 100, 5000)[:200]
     texts = [base, None, "", "short", base, base[:500] + "x" + base[501:], passage + prose(4, 40), prose(5, 40) + passage, "ab" * 400, "c" * 199, "d" * 200, "d" * 201, "é" * 150, prose(6, 30) + exact + "!", exact + "?", exact[:199], prose(7, 500, 5000), passage[:300] + "é" + passage]
-    got = {r["doc_id"]: r for r in suffix.remove_repeats(docs(spark, texts), with_text=True, hot=hot).collect()}
+    got = {r["doc_id"]: r for r in suffix.remove_repeats(docs(spark, texts), with_text=True).collect()}
     for k, want in enumerate(removed(texts)):
         r = got[k]
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want, (k, texts[k] and texts[k][:30])
         assert hashlib.sha256(r["kept"]).hexdigest() == want[3]
 
 
+def test_bucket_over_many_blocks(spark, monkeypatch):
+    """One passage in 1500 different surroundings: its owners' buckets span blocks and partitions, and only what repeats goes."""
+    monkeypatch.setattr(suffix, "BLOCK_BYTES", 20_000)
+    r, passage = random.Random(5), prose(8, 60, 5000)
+    texts = ["".join(r.choice("abc") for _ in range(r.randrange(30))) + passage + "".join(r.choice("abc") for _ in range(r.randrange(200))) for _ in range(1500)]
+    frame = docs(spark, texts, parts=12)
+    planned = suffix.plan_blocks(suffix.index(frame, suffix.scratch(spark, "shards")))
+    sizes = planned.where("block is not null").groupBy("block").agg(F.sum(F.col("size") + suffix.LENGTH).alias("n")).collect()
+    assert len(sizes) > 20 and max(x["n"] for x in sizes) <= 20_000 + 600
+    got = {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in suffix.remove_repeats(frame).collect()}
+    assert [got[k] for k in range(len(texts))] == removed(texts)
+
+
 def test_cover_meets_every_shift():
     assert {(a - b) % suffix.V for a in suffix.COVER for b in suffix.COVER} == set(range(suffix.V))
     assert suffix._SHIFT.max() <= 16
