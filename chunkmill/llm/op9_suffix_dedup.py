@@ -8,15 +8,16 @@ windows with one owner is a stretch of text around it, about 280 bytes; its cont
    groups of copies shrink before any shuffle.
 2. Contents are range-partitioned in the order (owner, content), so an owner with very many contents spans as many
    partitions as it fills. One pass over each partition finds contents that occur twice, which are repeated as a whole,
-   and lays the contents of owners that have several into blocks of at most BLOCK_BYTES of text.
+   and lays the contents of owners that have several into blocks: a bucket lies in one block unless it has more than
+   BUCKET_BYTES of text. The blocks at the borders of partitions are joined where a bucket goes on and both fit.
 3. Blocks get their texts, once for each content, and each block's suffixes are sorted. Stretches are laid out with owners
    at multiples of V, so the suffixes of a bucket at one offset lie in one residue class, and a fixed shift takes all of
    them to positions of the difference cover. Suffixes are ordered by their first 16 bytes and then by the precomputed
    rank of their cover sample; samples are ranked by prefix doubling in steps of V. Neighbours are compared on all LENGTH
    bytes.
-4. Only the first and the last bucket of a block may go on in another one. Of these the block also reports each distinct
-   window once, by digest, and windows that several blocks report are repeated. So a bucket of any size is sorted block by
-   block, in bounded memory and in as many tasks as it has blocks.
+4. Of a bucket that is cut, each of its blocks also reports each distinct window once, by digest, and windows that several
+   blocks report are repeated. So a bucket of any size is sorted block by block, in bounded memory and in as many tasks as
+   it has blocks.
 5. Results return to the shards, which cover, cut and digest their texts.
 
 Defined results: a null text is empty; texts shorter than LENGTH lose nothing; repeated rows repeat each other's strings
@@ -43,7 +44,9 @@ LENGTH, K = 200, 40
 SPAN = LENGTH - K + 1
 #: A perfect difference set modulo 31: any two residues meet in it after one common shift.
 V, COVER = 31, (1, 5, 11, 24, 25, 27)
-SHARD_BYTES, PIECE_BYTES, BLOCK_BYTES = 8 << 20, 512 << 10, 1 << 20
+SHARD_BYTES, PIECE_BYTES = 8 << 20, 512 << 10
+#: Text of a block, and of a bucket that is not cut.
+BLOCK_BYTES, BUCKET_BYTES = 1 << 20, 4 << 20
 _rng = np.random.default_rng(99)
 _T = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -197,40 +200,52 @@ def index(docs: DataFrame, folder: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _STRETCH)
 
 
-def plan_blocks(found: DataFrame, block_bytes: int | None = None) -> DataFrame:
-    """Rows of found that matter, with whole (the content occurs twice) and block (null but for one row of each content whose owner has others).
+def plan_blocks(found: DataFrame) -> DataFrame:
+    """Rows of found that matter, with whole (the content occurs twice) and block (null but for one row of each content whose owner has others); and rows with only owner and block for buckets that are cut.
 
     Partitions are ranges of (owner, c1, c2). What lies in neighbouring partitions isn't known, so the first and the last
     content of a partition count as contents whose owner has others.
     """
-    most = block_bytes or BLOCK_BYTES
+    least, most = BLOCK_BYTES, BUCKET_BYTES
     names = [*_LONGS, "whole", "block"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        block, size, before, seen = TaskContext.get().partitionId() << 32, 0, 0, False
+        part = TaskContext.get().partitionId() << 32
+        before: int | None = None  # owner of the content before
+        run_owner, run_start, number, total = None, 0, 0, 0  # of the last bucket that was laid out
 
-        def settle(rows: np.ndarray, after: int | None) -> pa.RecordBatch:
+        def settle(rows: np.ndarray, after: int | None) -> Iterator[pa.RecordBatch]:
             """rows: whole contents, in order; after: the owner that follows, None at the end."""
-            nonlocal block, size, before, seen
+            nonlocal before, run_owner, run_start, number, total
             first = np.flatnonzero(np.concatenate([[True], (rows[1:, 1:3] != rows[:-1, 1:3]).any(1)]))
             owner = rows[first, 0]
             whole = np.add.reduceat(rows[:, 3], first) > 1
-            several = np.zeros(len(first), bool)
-            several[1:] = owner[1:] == owner[:-1]
-            several[:-1] |= several[1:]
-            several[0] |= not seen or before == owner[0]
-            several[-1] |= after is None or after == owner[-1]
-            at = size + np.cumsum(np.where(several, rows[first, 7] + LENGTH, 0))
-            number = np.where(several, block + at // most, -1)
-            block, size, before, seen = int(block + at[-1] // most), int(at[-1] % most), int(owner[-1]), True
+            same = owner[1:] == owner[:-1]
+            several = np.concatenate([[before is None or before == owner[0]], same]) | np.concatenate([same, [after is None or after == owner[-1]]])
+            before = int(owner[-1])
             of = np.repeat(np.arange(len(first)), np.diff(np.concatenate([first, [len(rows)]])))
             place = np.full(len(rows), -1, np.int64)
-            place[first] = number
+            laid = np.flatnonzero(several)
+            if len(laid):
+                size, own = rows[first[laid], 7] + LENGTH, owner[laid]
+                at = total + np.cumsum(size) - size
+                opens = np.flatnonzero(np.concatenate([[own[0] != run_owner], own[1:] != own[:-1]]))
+                start = np.full(len(laid), run_start, np.int64)
+                start[opens] = at[opens]
+                start = np.maximum.accumulate(start)
+                block = start // least + (at - start) // most
+                cut = np.flatnonzero((np.concatenate([[number], block[:-1]]) != block) & np.concatenate([[own[0] == run_owner], own[1:] == own[:-1]]))
+                if len(cut):
+                    both = np.concatenate([np.concatenate([[number], block[:-1]])[cut], block[cut]]) | part
+                    none = pa.nulls(len(both), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.tile(own[cut], 2)), *[none] * (len(_LONGS) - 1), pa.nulls(len(both), pa.bool_()), pa.array(both)], names=names)
+                run_owner, run_start, number, total = int(own[-1]), int(start[-1]), int(block[-1]), total + int(size.sum())
+                place[first[laid]] = block | part
             keep = np.flatnonzero(whole[of] | (place >= 0))
             columns = [pa.array(rows[keep, k]) for k in range(len(_LONGS))]
-            return pa.RecordBatch.from_arrays([*columns, pa.array(whole[of[keep]]), pa.array(place[keep], mask=place[keep] < 0)], names=names)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(whole[of[keep]]), pa.array(place[keep], mask=place[keep] < 0)], names=names)
 
         held = np.zeros((0, len(_LONGS)), np.int64)
         for batch in batches:
@@ -238,16 +253,46 @@ def plan_blocks(found: DataFrame, block_bytes: int | None = None) -> DataFrame:
             last = np.flatnonzero((held[1:, 1:3] != held[:-1, 1:3]).any(1))
             if len(last):  # the last content may go on
                 cut = int(last[-1]) + 1
-                yield settle(held[:cut], int(held[cut, 0]))
+                yield from settle(held[:cut], int(held[cut, 0]))
                 held = held[cut:]
         if len(held):
-            yield settle(held, None)
+            yield from settle(held, None)
 
     key = ["owner", "c1", "c2"]
     dealt = found.where("owner is not null").repartitionByRange(partitions(found.sparkSession), *key).sortWithinPartitions(*key, "shard")
     return dealt.mapInArrow(run, f"{_STRETCH}, whole boolean, block long")
 
 
+def join_borders(planned: DataFrame) -> DataFrame:
+    """planned with the blocks at partition borders joined where a bucket goes on, or marked as cut where they don't fit together.
+
+    The driver sees the first and the last block of each partition alone.
+    """
+    spark = planned.sparkSession
+    blocks = planned.where("block is not null and c1 is not null").groupBy("block").agg(F.sum(F.col("size") + LENGTH).alias("bytes"), F.min("owner").alias("low"), F.max("owner").alias("high"))
+    one = F.struct("block", "bytes", "low", "high")
+    edges = blocks.groupBy(F.shiftright("block", 32).alias("part")).agg(F.min_by(one, "block").alias("first"), F.max_by(one, "block").alias("last")).collect()
+    moved: list[tuple[int, int]] = []
+    marks: list[tuple[int, int]] = []
+    block, size, owner = None, 0, None  # the last block so far
+    for edge in sorted(edges, key=lambda e: e["part"]):
+        first, last = edge["first"], edge["last"]
+        target = first["block"]
+        if block is not None and first["low"] == owner:
+            if size + first["bytes"] <= BLOCK_BYTES + BUCKET_BYTES:
+                target = block
+                moved.append((first["block"], target))
+            else:
+                marks += [(owner, block), (owner, first["block"])]
+        alone = first["block"] == last["block"]
+        block, owner = (target if alone else last["block"]), last["high"]
+        size = (size if target != first["block"] else 0) + first["bytes"] if alone else last["bytes"]
+    to = spark.createDataFrame(moved, "block long, target long")
+    out = planned.join(F.broadcast(to), "block", "left").withColumn("block", F.coalesce("target", "block")).select(*planned.columns)
+    marked = spark.createDataFrame(marks, "owner long, block long")
+    return out.unionByName(marked, allowMissingColumns=True)
+
+
 def repeated_windows(texts: list[bytes], leads: np.ndarray, counts: np.ndarray, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sort the windows of all stretches (count windows from the first byte on, owner at lead; stretches of a bucket share an owner). Tells for each window whether it equals another, and whether it is the first of its equals."""
     pad = -leads % V
@@ -330,13 +375,15 @@ def _texts(wanted: DataFrame, folder: str, make, schema: pa.Schema, ddl: str) ->
     return rows.mapInArrow(run, ddl)
 
 
-def sort_blocks(wanted: DataFrame, folder: str) -> DataFrame:
-    """Per content that isn't repeated as a whole, the offsets of its windows that its block repeats; and, with w1 and w2, a row for each distinct window of a block's first and last bucket, whose offset is given if the block has it once."""
+def sort_blocks(planned: DataFrame, folder: str) -> DataFrame:
+    """Per content that isn't repeated as a whole, the offsets of its windows that its block repeats; and, with w1 and w2, a row for each distinct window of a block's share of a cut bucket, whose offset is given if the block has it once."""
     schema = pa.schema([*((c, pa.int64()) for c in ("block", "owner", "c1", "c2", "shard", "size", "lead")), ("whole", pa.bool_()), ("text", pa.binary())])
     take = lambda own, got: pa.RecordBatch.from_arrays([*(own.column(c) for c in schema.names[:-1]), pa.array(got, pa.binary())], schema=schema)
-    found = _texts(wanted, folder, take, schema, "block long, owner long, c1 long, c2 long, shard long, size long, lead long, whole boolean, text binary")
+    wanted = planned.where("block is not null")
+    found = _texts(wanted.where("c1 is not null"), folder, take, schema, "block long, owner long, c1 long, c2 long, shard long, size long, lead long, whole boolean, text binary")
+    found = found.unionByName(wanted.where("c1 is null").select("block", "owner"), allowMissingColumns=True)
 
-    def flush(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    def sort(rows: pa.Table, cut: np.ndarray) -> Iterator[pa.RecordBatch]:
         owners, whole = rows["owner"].to_numpy(), rows["whole"].to_numpy(zero_copy_only=False)
         buckets = np.cumsum(np.concatenate([[0], owners[1:] != owners[:-1]]))
         texts, count = rows["text"].to_pylist(), rows["size"].to_numpy() + 1
@@ -348,15 +395,30 @@ def sort_blocks(wanted: DataFrame, folder: str) -> DataFrame:
         empty = pa.nulls(len(some), pa.int64())
         yield pa.RecordBatch.from_arrays([*(pa.array(c[some]) for c in names), pa.array(offsets, pa.list_(pa.int32())), empty, empty], schema=_PART)
         of = np.repeat(np.arange(len(count)), count)
-        edge = np.flatnonzero(first & np.isin(owners, owners[[0, -1]])[of])
-        joined = b"".join(texts)
-        length = count + LENGTH - 1
-        at = (np.cumsum(length) - length)[of[edge]] + edge - start[of[edge]]
-        windows = digests(joined, at, at + LENGTH)
-        alone = ~hit[edge] & ~whole[of[edge]]
-        single = pa.ListArray.from_arrays(np.arange(len(edge) + 1, dtype=np.int32), pa.array((edge - start[of[edge]]).astype(np.int32)))
-        single = pc.if_else(pa.array(alone), single, None)
-        yield pa.RecordBatch.from_arrays([*(pa.array(c[of[edge]]) for c in names), single, pa.array(windows[:, 0]), pa.array(windows[:, 1])], schema=_PART)
+        edge = np.flatnonzero(first & np.isin(owners, cut)[of])
+        if len(edge):
+            length = count + LENGTH - 1
+            at = (np.cumsum(length) - length)[of[edge]] + edge - start[of[edge]]
+            windows = digests(b"".join(texts), at, at + LENGTH)
+            alone = ~hit[edge] & ~whole[of[edge]]
+            single = pa.ListArray.from_arrays(np.arange(len(edge) + 1, dtype=np.int32), pa.array((edge - start[of[edge]]).astype(np.int32)))
+            single = pc.if_else(pa.array(alone), single, None)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[of[edge]]) for c in names), single, pa.array(windows[:, 0]), pa.array(windows[:, 1])], schema=_PART)
+
+    def flush(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Sort a block, a few buckets at a time."""
+        cut = rows.filter(rows["c1"].is_null())["owner"].to_numpy()
+        rows = rows.filter(rows["c1"].is_valid())
+        owners = rows["owner"].to_numpy()
+        ends = np.concatenate([np.flatnonzero(owners[1:] != owners[:-1]) + 1, [len(owners)]])
+        upto = np.cumsum(rows["size"].to_numpy() + LENGTH)
+        first = 0
+        while first < len(owners):
+            room = upto[first - 1] + BLOCK_BYTES if first else BLOCK_BYTES
+            fits = ends[(ends > first) & (upto[ends - 1] <= room)]
+            end = int(fits[-1] if len(fits) else ends[ends > first][0])
+            yield from sort(rows.slice(first, end - first), cut)
+            first = end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -373,7 +435,7 @@ def sort_blocks(wanted: DataFrame, folder: str) -> DataFrame:
         if held:
             yield from flush(pa.Table.from_batches(held))
 
-    return found.repartition(partitions(wanted.sparkSession), "block").sortWithinPartitions("block", "owner", "c1", "c2").mapInArrow(run, _PART_DDL)
+    return found.repartition(partitions(planned.sparkSession), "block").sortWithinPartitions("block", "owner", "c1", "c2").mapInArrow(run, _PART_DDL)
 
 
 def cut_text(text: bytes, windows: np.ndarray) -> tuple[int, int, bytes]:
@@ -467,7 +529,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     found = materialize(index(docs, folder), "stretches")
     arrow_limits(spark, 4000)
     planned = materialize(plan_blocks(found), "block-plan")
-    parts = materialize(sort_blocks(planned.where("block is not null"), folder), "blocks")
+    parts = materialize(sort_blocks(join_borders(planned), folder), "blocks")
     windows = parts.where("w1 is not null")
     twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
     across = windows.where("offsets is not null").join(twice, ["w1", "w2"]).select("shard", "c1", "c2", "offsets")
@@ -478,3 +540,18 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+SQL = f"""
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+c AS (SELECT doc_id, j, substr(x, 2000 * j + 1, 2000 + 2 * {LENGTH} - 2) AS y
+      FROM (SELECT doc_id, x, unnest(generate_series(0, (len(x) // 2 - {LENGTH}) // 1000)) AS j FROM h WHERE len(x) >= 2 * {LENGTH})),
+w AS (SELECT doc_id, 1000 * j + i AS p, md5(substr(y, 2 * i + 1, 2 * {LENGTH})) AS m FROM (SELECT doc_id, j, y, unnest(generate_series(0, len(y) // 2 - {LENGTH})) AS i FROM c)),
+r AS (SELECT doc_id, p FROM w JOIN (SELECT m FROM w GROUP BY m HAVING count(*) > 1) USING (m)),
+g AS (SELECT doc_id, p, sum(CASE WHEN p <= q + {LENGTH} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS q FROM r)),
+s AS (SELECT doc_id, min(p) AS a, max(p) + {LENGTH} AS z FROM g GROUP BY doc_id, k),
+e AS (SELECT doc_id, count(*) AS n_spans, CAST(sum(z - a) AS BIGINT) AS n_removed, max(z) AS z FROM s GROUP BY doc_id),
+o AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS z FROM s UNION ALL SELECT doc_id, coalesce(z, 0), len(x) // 2 FROM h LEFT JOIN e USING (doc_id)),
+t AS (SELECT doc_id, sha256(unhex(string_agg(substr(x, 2 * a + 1, 2 * (z - a)), '' ORDER BY a))) AS kept_sha256 FROM o JOIN h USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, kept_sha256 FROM h JOIN t USING (doc_id) LEFT JOIN e USING (doc_id)
+"""

@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": op3_decontaminate.SQL, "op4_warc": op4_warc.SQL, "op8_minhash": op8_minhash.SQL}
+    return {"op3_decontaminate": op3_decontaminate.SQL, "op4_warc": op4_warc.SQL, "op8_minhash": op8_minhash.SQL, "op9_suffix_dedup": op9_suffix_dedup.SQL}
