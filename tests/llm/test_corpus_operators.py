@@ -306,6 +306,30 @@ def test_near_duplicates_odd_rows(spark):
     assert near.keep_one(odd).count() == 4
 
 
+def test_a_passage_in_many_texts(spark, monkeypatch):
+    """120 different texts share a passage and so buckets; a few near copies are among them. Split buckets find the links, with few rows."""
+    monkeypatch.setattr(near, "BLOCK_ROWS", 4)
+    passage = prose(1, 120, 5000)
+    texts = [passage + " " + prose(100 + k, 60, 10**6) for k in range(120)]
+    texts += [edited(texts[k], k, 0.02) for k in (3, 40, 77)]
+    frame = docs(spark, texts)
+    rows, plain = [], near._open_rows
+    monkeypatch.setattr(near, "_open_rows", lambda *a: rows.append(plain(*a)) or rows[-1])
+    got = {r["doc_id"]: r["component_id"] for r in near.near_duplicates(frame).collect()}
+    assert [got[k] for k in range(len(texts))] == groups(texts)[1]
+    assert rows[0].agg(F.max("depth")).first()[0] > 1
+    dealt = rows[0].count()
+    monkeypatch.setattr(near, "DEPTH", 1)
+    assert {r["doc_id"]: r["component_id"] for r in near.near_duplicates(frame).collect()} == got
+    assert dealt < rows[1].count() / 2
+
+
+def test_one_doc_id_with_two_texts(spark):
+    """Rows that differ stay, rows that repeat go."""
+    frame = docs(spark, ["a b c d e f", "g h i j k l", "a b c d e f"]).withColumn("doc_id", F.lit(1).cast("long"))
+    assert sorted(r["text"] for r in near.keep_one(frame).collect()) == ["a b c d e f", "g h i j k l"]
+
+
 def test_sequential_test():
     assert near.least_matches(128) < 96 and near.least_matches(32) <= 16
     x = np.arange(near.HASHES, dtype=np.uint16)[None].repeat(3, 0)
@@ -349,6 +373,7 @@ def test_repeats(spark, monkeypatch, shard, piece, block):
     monkeypatch.setattr(suffix, "SHARD_BYTES", shard)
     monkeypatch.setattr(suffix, "PIECE_BYTES", piece)
     monkeypatch.setattr(suffix, "BLOCK_BYTES", block)
+    monkeypatch.setattr(suffix, "BUCKET_BYTES", 4 * block)
     base, passage = prose(1, 300, 5000), prose(2, 70, 5000)
     exact = prose(3, 100, 5000)[:200]
     texts = [base, None, "", "short", base, base[:500] + "x" + base[501:], passage + prose(4, 40), prose(5, 40) + passage, "ab" * 400, "c" * 199, "d" * 200, "d" * 201, "é" * 150, prose(6, 30) + exact + "!", exact + "?", exact[:199], prose(7, 500, 5000), passage[:300] + "é" + passage]
@@ -359,15 +384,18 @@ def test_repeats(spark, monkeypatch, shard, piece, block):
         assert hashlib.sha256(r["kept"]).hexdigest() == want[3]
 
 
-def test_bucket_over_many_blocks(spark, monkeypatch):
+@pytest.mark.parametrize(("bucket", "cut"), [(20_000, True), (2_000_000, False)])
+def test_bucket_over_many_blocks(spark, monkeypatch, bucket, cut):
     """One passage in 1500 different surroundings: its owners' buckets span blocks and partitions, and only what repeats goes."""
-    monkeypatch.setattr(suffix, "BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(suffix, "BLOCK_BYTES", bucket // 4)
+    monkeypatch.setattr(suffix, "BUCKET_BYTES", bucket)
     r, passage = random.Random(5), prose(8, 60, 5000)
     texts = ["".join(r.choice("abc") for _ in range(r.randrange(30))) + passage + "".join(r.choice("abc") for _ in range(r.randrange(200))) for _ in range(1500)]
     frame = docs(spark, texts, parts=12)
-    planned = suffix.plan_blocks(suffix.index(frame, suffix.scratch(spark, "shards")))
-    sizes = planned.where("block is not null").groupBy("block").agg(F.sum(F.col("size") + suffix.LENGTH).alias("n")).collect()
-    assert len(sizes) > 20 and max(x["n"] for x in sizes) <= 20_000 + 600
+    planned = suffix.join_borders(suffix.materialize(suffix.plan_blocks(suffix.index(frame, suffix.scratch(spark, "shards"))), "plan"))
+    sizes = planned.where("block is not null and c1 is not null").groupBy("block").agg(F.sum(F.col("size") + suffix.LENGTH).alias("n"), F.countDistinct("owner").alias("k")).collect()
+    assert max(x["n"] for x in sizes) <= bucket * 5 / 4 + 600 and (len(sizes) > 3) == cut
+    assert (planned.where("c1 is null and block is not null").count() > 0) == cut
     got = {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in suffix.remove_repeats(frame).collect()}
     assert [got[k] for k in range(len(texts))] == removed(texts)
 

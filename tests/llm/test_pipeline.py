@@ -7,7 +7,7 @@ from chunkmill.llm import queries as llm
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["op3_decontaminate", "op4_warc", "op8_minhash"])
+@pytest.mark.parametrize("name", ["op3_decontaminate", "op4_warc", "op8_minhash", "op9_suffix_dedup"])
 def test_query_equals_its_sql(spark, name):
     import duckdb
 
