@@ -2,7 +2,9 @@
 
 A text is parsed left to right into LZ78 phrases, each the longest known phrase and one more code point. The phrases'
 hashes are min-hashed; a fingerprint holds one byte of each minimum, and likeness is the share of equal bytes without
-those that are equal by chance. The dictionary starts anew every RESET code points, which bounds memory for any length.
+those that are equal by chance. Whole texts have one dictionary, whatever their length. Code points are read PIECE at a
+time and minima are taken as phrases come, so beside the text itself only the dictionary is held: about 150 bytes a phrase,
+and phrases grow with the text's length (at a million code points of prose they have 6 to 8 code points each).
 
 For documents in ascending doc_id order, each is also compared with its successor and with an edited text: its last
 quarter replaced by the successor's beginning. Texts move once, in a range shuffle; the last document of a partition is
@@ -15,7 +17,8 @@ first; equal doc_ids are ordered by text; a single document is its own successor
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +28,8 @@ from pyspark.sql import functions as F
 
 from chunkmill.llm.common import arrow_limits, materialize, partitions, table
 
-#: Bytes of a fingerprint; code points after which the dictionary starts anew.
-COMPONENTS, RESET = 128, 1 << 20
+#: Bytes of a fingerprint; code points read at a time.
+COMPONENTS, PIECE = 128, 1 << 16
 _rng = np.random.default_rng(20240501)
 _A = (_rng.integers(0, 1 << 32, COMPONENTS, dtype=np.uint32) | np.uint32(1))[:, None]
 _B = _rng.integers(0, 1 << 32, COMPONENTS, dtype=np.uint32)[:, None]
@@ -34,9 +37,9 @@ _EMPTY = np.full(COMPONENTS, 0xFFFFFFFF, np.uint32)
 _MASK = (1 << 48) - 1
 
 
-def minima(hashes: list[int]) -> np.ndarray:
+def minima(hashes: Sequence[int]) -> np.ndarray:
     """Minimum of each component's hash over the phrases."""
-    if not hashes:
+    if not len(hashes):
         return _EMPTY
     x = np.array(hashes, np.uint64)
     x ^= x >> np.uint64(29)
@@ -52,49 +55,45 @@ class Parser:
     """LZ78 over code points. run() goes on from the last state; mark() and back() undo what came between."""
 
     def __init__(self):
-        self._new()
-        self.saved = None
-
-    def _new(self) -> None:
-        self.known, self.hashes, self.node, self.used = {}, [0x2545F491], 0, 0
+        self.known: dict[int, int] = {}
+        self.hashes = array("Q", [0x2545F491])
+        self.node = 0
+        self.saved: tuple[int, int] | None = None
 
     def mark(self) -> None:
-        self.saved = (self.known, self.hashes, self.node, self.used, len(self.hashes))
-        self.log: list[int] = []
+        self.saved, self.log = (self.node, len(self.hashes)), array("Q")
 
     def back(self) -> None:
-        self.known, self.hashes, self.node, self.used, n = self.saved
         for key in self.log:
             del self.known[key]
+        self.node, n = self.saved
         del self.hashes[n:]
         self.saved = None
 
-    def run(self, points: list[int]) -> list[int]:
+    def run(self, points: list[int]) -> Sequence[int]:
         """Hashes of the phrases that end in these code points."""
-        out: list[int] = []
-        at = 0
-        while at < len(points):
-            if self.used == RESET:
-                self._new()
-            part = points[at : at + RESET - self.used]
-            at += len(part)
-            self.used += len(part)
-            known, hashes, node = self.known, self.hashes, self.node
-            get, n, keys = known.get, len(hashes), []
-            for c in part:
-                key = node << 21 | c
-                to = get(key)
-                if to is None:
-                    known[key] = len(hashes)
-                    hashes.append((hashes[node] * 0x5851F42D ^ c * 0x9E3779B1) & _MASK)
-                    keys.append(key)
-                    node = 0
-                else:
-                    node = to
-            self.node = node
-            out += hashes[n:]
-            if self.saved and known is self.saved[0]:
-                self.log += keys
+        known, hashes, node = self.known, self.hashes, self.node
+        get, n, keys = known.get, len(hashes), []
+        for c in points:
+            key = node << 21 | c
+            to = get(key)
+            if to is None:
+                known[key] = len(hashes)
+                hashes.append((hashes[node] * 0x5851F42D ^ c * 0x9E3779B1) & _MASK)
+                keys.append(key)
+                node = 0
+            else:
+                node = to
+        self.node = node
+        if self.saved:
+            self.log.extend(keys)
+        return hashes[n:]
+
+    def parse(self, text: str) -> np.ndarray:
+        """Minima over the phrases that end in this text."""
+        out = _EMPTY
+        for k in range(0, len(text), PIECE):
+            out = np.minimum(out, minima(self.run(points_of(text[k : k + PIECE]))))
         return out
 
 
@@ -103,7 +102,7 @@ def points_of(text: str) -> list[int]:
 
 
 def signature(text: str) -> np.ndarray:
-    return minima(Parser().run(points_of(text)))
+    return Parser().parse(text)
 
 
 def fingerprint(sig: np.ndarray) -> bytes:
@@ -121,11 +120,11 @@ def compare(text: str, following: str) -> tuple[int, str, bytes, bytes]:
     tail, other = text[len(text) - quarter :], following[:quarter]
     kept = text[: len(text) - quarter]
     parser = Parser()
-    base = minima(parser.run(points_of(kept)))
+    base = parser.parse(kept)
     parser.mark()
-    edited = np.minimum(base, minima(parser.run(points_of(other))))
+    edited = np.minimum(base, parser.parse(other))
     parser.back()
-    own = np.minimum(base, minima(parser.run(points_of(tail))))
+    own = np.minimum(base, parser.parse(tail))
     return len(text), hashlib.sha256((kept + other).encode("utf-8", "surrogatepass")).hexdigest(), fingerprint(own), fingerprint(edited)
 
 
