@@ -1,12 +1,13 @@
 """Secret scan by token efficiency.
 
 Random strings break into many short vocabulary pieces, so a string whose characters-per-token ratio under a byte-pair
-vocabulary is low, and that is neither a digest of known length, a UUID nor an identifier made of words, is a finding of
-kind "random". Three patterns of known shape (assign, access, hex) are always reported; the method's spans come besides
+vocabulary is low, and that is neither a known digest, a UUID nor an identifier made of words, is a finding of kind
+"random". A digest is known if it's in a given list, or if it has a digest's length in hexadecimal (or starts as a
+subresource hash) and the words before it say that it is one. Three patterns of known shape (assign, access, hex) are always reported; the method's spans come besides
 and never overlap them.
 
 Defined results: a null text is empty and has no spans; repeated rows give repeated results; other columns are ignored;
-offsets are code points with exclusive ends; strings longer than PIECE characters are tokenised in pieces of that length.
+offsets are code points with exclusive ends; strings of any length are tokenised whole.
 """
 
 from __future__ import annotations
@@ -27,15 +28,17 @@ ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
-#: Candidates of the token-efficiency test, the most characters per token of a finding,.
+#: Candidates of the token-efficiency test.
 #: Candidates of 16 to 19 characters need a lower ratio: at 2.1, about one clean word in forty of that length is a finding.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 SHORT, SHORT_RATIO = 20, 1.7
 #: A part of an identifier is a word by its least length and characters per token; WORDS is the least share of a string in words.
 RATIO, PART, PART_RATIO, WORDS = 2.1, 3, 2.5, 0.4
-PIECE = 2048
+# Hexadecimal digits of common digests, and what stands before one.
 DIGESTS = {32, 40, 48, 56, 64, 96, 128}
 HEXADECIMAL = re.compile(r"[0-9a-fA-F]+")
+DIGEST_WORD = re.compile(r"""(?:md5|sha-?\d*|sum|digest|hash|etag|fingerprint)["']?\s*[:=(]?\s*["']?\Z""", re.I)
+SUBRESOURCE = re.compile(r"sha(?:256|384|512)-[A-Za-z0-9+/]+=*")
 UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _encodings: dict[str, object] = {}
@@ -71,41 +74,50 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def is_digest(string: str, before: str, digests: frozenset[str]) -> bool:
+    """In the given list (lower case), or of a digest's form where the words before it say so."""
+    if string.lower() in digests or SUBRESOURCE.fullmatch(string):
+        return True
+    return len(string) in DIGESTS and bool(HEXADECIMAL.fullmatch(string)) and bool(DIGEST_WORD.search(before))
+
+
 def is_known(string: str, vocabulary) -> bool:
-    """A digest, a UUID, a number, one repeated character or an identifier made of words that are cheap in the vocabulary."""
-    if string.isdigit() or len(set(string)) == 1 or UUID.fullmatch(string) or (len(string) in DIGESTS and HEXADECIMAL.fullmatch(string)):
+    """A UUID, a number, one repeated character or an identifier made of words that are cheap in the vocabulary."""
+    if string.isdigit() or len(set(string)) == 1 or UUID.fullmatch(string):
         return True
     parts = PARTS.findall(string)
-    words = sum(len(p) for p in parts if p.isalpha() and len(p) >= PART and len(p) >= PART_RATIO * count(p, vocabulary))
+    words = sum(len(p) for p in parts if p.isalpha() and len(p) >= PART and len(p) >= PART_RATIO * len(vocabulary.encode_ordinary(p)))
     return words >= WORDS * max(1, sum(map(len, parts)))
 
 
-def count(string: str, vocabulary) -> int:
-    return sum(len(vocabulary.encode_ordinary(string[k : k + PIECE])) for k in range(0, len(string), PIECE))
-
-
-def random_spans(text: str, taken: list[tuple[int, int, int]], vocabulary) -> list[tuple[int, int]]:
+def random_spans(text: str, taken: list[tuple[int, int, int]], vocabulary, digests: frozenset[str] = frozenset()) -> list[tuple[int, int]]:
+    """Findings that overlap none of the taken spans, which are in order of their starts."""
     out = []
+    at = reach = 0  # the taken spans that start before this candidate ends reach up to here
     for m in CANDIDATE.finditer(text):
-        string = m.group()
-        if any(s < m.end() and m.start() < e for s, _, e in taken):
+        while at < len(taken) and taken[at][0] < m.end():
+            reach = max(reach, taken[at][2])
+            at += 1
+        if reach > m.start():
             continue
-        if len(string) < (SHORT_RATIO if len(string) < SHORT else RATIO) * count(string, vocabulary) and not is_known(string, vocabulary):
+        string = m.group()
+        ratio = SHORT_RATIO if len(string) < SHORT else RATIO
+        if len(string) < ratio * len(vocabulary.encode_ordinary(string)) and not is_known(string, vocabulary) and not is_digest(string, text[max(0, m.start() - 24) : m.start()], digests):
             out.append(m.span())
     return out
 
 
-def scan_text(text: str, vocabulary) -> tuple[int, int, int, str, str]:
+def scan_text(text: str, vocabulary, digests: frozenset[str] = frozenset()) -> tuple[int, int, int, str, str]:
     base = base_spans(text)
     spans = [(s, k, e, KINDS[k]) for s, k, e in base]
     joined = lambda rows: ",".join(f"{kind}:{s}:{e}" for s, _, e, kind in rows)
-    every = sorted(spans + [(s, 3, e, "random") for s, e in random_spans(text, base, vocabulary)])
+    every = sorted(spans + [(s, 3, e, "random") for s, e in random_spans(text, base, vocabulary, digests)])
     count = [sum(k == n for _, n, _ in base) for k in range(3)]
     return *count, hashlib.sha256(joined(spans).encode()).hexdigest(), joined(every)
 
 
-def scan(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """Per document: counts and digest of the base spans, and all spans. No shuffle."""
+def scan(docs: DataFrame, vocabulary: str, digests: frozenset[str] = frozenset()) -> DataFrame:
+    """Per document: counts and digest of the base spans, and all spans. digests is a stated list of known ones, which goes to every task. No shuffle."""
     arrow_limits(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string())])
 
@@ -113,7 +125,7 @@ def scan(docs: DataFrame, vocabulary: str) -> DataFrame:
         use_cache("vocabulary", forget)
         ranks = encoding(vocabulary)
         for batch in batches:
-            found = [scan_text("" if t is None else t, ranks) for t in batch.column("text").to_pylist()]
+            found = [scan_text("" if t is None else t, ranks, digests) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([f[k] for f in found], schema.field(k + 1).type) for k in range(5))], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
