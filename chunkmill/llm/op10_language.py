@@ -6,8 +6,10 @@ of labelled rows; the prediction is the language of the centroid with the larges
 cosine lies far below what fitted texts of its length reach: halfway between that and what the centroids of the other
 languages reach on them, as they do on the texts of a language that isn't learned.
 
-Fitting takes at most about FIT_ROWS rows in all, shared evenly by languages (or, where the languages' names don't fit
-NAME_BYTES, drawn evenly from all rows) and chosen by a hash of doc_id; rows whose crc32(doc_id) mod 4 is 2 are held out. Prediction covers every row, without a shuffle.
+Fitting takes about FIT_ROWS labelled rows in all, whatever the table's size: the FIT_ROWS / LEAST_ROWS most frequent
+languages (250; ties by name) are learned, each from an equal share of at most MOST_ROWS rows, chosen by a hash of doc_id.
+Rows whose crc32(doc_id) mod 4 is 2 are held out. Languages are counted over all labelled rows, in one narrow scan; a second
+scan takes the sample, without a shuffle. Prediction covers every row, in one scan.
 
 Defined results: a null text, or one without a letter, is "und" with score 0 and rejected; where nothing can be fitted
 every text is; repeated rows get equal results; other columns are ignored.
@@ -28,8 +30,6 @@ from chunkmill.llm.common import arrow_limits, table, use_cache
 DIMS = 8192
 #: Labelled rows to fit on, over all languages, and for one language at least and at most.
 FIT_ROWS, LEAST_ROWS, MOST_ROWS = 2000, 8, 400
-#: Bytes of language names that may be broadcast.
-NAME_BYTES = 1 << 20
 CENTROIDS, ROUNDS = 3, 8
 #: Share of fitted texts of a length below whose cosine the rejection starts, and the least and the largest part of that cosine it allows.
 TAIL, SLACK, MOST_SLACK = 0.01, 0.35, 0.75
@@ -115,12 +115,12 @@ def train(rows: list[tuple[str, np.ndarray]]) -> Model | None:
 
 def fit(docs: DataFrame) -> Model | None:
     """The model of the labelled rows of docs (doc_id, text, lang)."""
+    spark = docs.sparkSession
     labelled = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("lang").cast("string").alias("lang"), "text").where("lang is not null and text is not null and not coalesce(pmod(crc32(cast(id as binary)), 4) = 2, false)")
-    per = labelled.groupBy("lang").agg(F.count("*").alias("n"))
-    total = per.agg(F.count("*").alias("languages"), F.sum(F.octet_length("lang") + 16).alias("bytes"), F.sum("n").alias("rows")).first()
-    if not total["languages"]:
+    learned = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(FIT_ROWS // LEAST_ROWS).collect()
+    if not learned:
         return None
-    wanted = max(LEAST_ROWS, min(MOST_ROWS, FIT_ROWS // total["languages"]))
+    wanted = min(MOST_ROWS, FIT_ROWS // len(learned))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,12 +129,10 @@ def fit(docs: DataFrame) -> Model | None:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([w.astype("<i4").tobytes() for w in where], pa.binary()), pa.array([r[1][w].astype("<i8").tobytes() for r, w in zip(rows, where, strict=True)], pa.binary())], names=["lang", "at", "n"])
 
     place = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    if total["bytes"] <= NAME_BYTES:
-        sample = labelled.join(F.broadcast(per), "lang").where(place < F.lit(float(wanted)) / F.col("n")).select("lang", "text")
-    else:
-        sample = labelled.where(place < FIT_ROWS / total["rows"]).select("lang", "text")
+    shares = spark.createDataFrame([(r["lang"], wanted / r["n"]) for r in learned], "lang string, share double")
+    sample = labelled.join(F.broadcast(shares), "lang").where(place < F.col("share")).select("lang", "text")
     rows = []
-    for r in sample.mapInArrow(vectors, "lang string, at binary, n binary").orderBy("lang", F.xxhash64("at", "n")).collect():
+    for r in sorted(sample.mapInArrow(vectors, "lang string, at binary, n binary").collect(), key=lambda r: (r["lang"], bytes(r["at"]), bytes(r["n"]))):
         c = np.zeros(DIMS, np.float32)
         c[np.frombuffer(r["at"], "<i4")] = np.frombuffer(r["n"], "<i8")
         rows.append((r["lang"], c))
@@ -180,5 +178,3 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text")
     return predict(rows, fit(docs)).drop("text")
-
-
