@@ -19,18 +19,15 @@ def docs(spark, texts, parts=3):
     return spark.createDataFrame([(k, t, "en", "s", "x", "p") for k, t in enumerate(texts)], DOCS).repartition(parts)
 
 
-def phrases(text, reset=lz.RESET):
+def phrases(text):
     """Plain LZ78."""
-    out = set()
-    for at in range(0, len(text), reset):
-        known, phrase = set(), ""
-        for c in text[at : at + reset]:
-            phrase += c
-            if phrase not in known:
-                known.add(phrase)
-                out.add(phrase)
-                phrase = ""
-    return out
+    known, phrase = set(), ""
+    for c in text:
+        phrase += c
+        if phrase not in known:
+            known.add(phrase)
+            phrase = ""
+    return known
 
 
 def words(seed, n, alphabet="abcdefgh"):
@@ -38,22 +35,33 @@ def words(seed, n, alphabet="abcdefgh"):
     return " ".join("".join(r.choice(alphabet) for _ in range(r.randrange(1, 8))) for _ in range(n))
 
 
-def test_parser_finds_the_phrases(monkeypatch):
+def test_parser_finds_the_phrases():
     text = words(1, 300) + "é😀" * 20
     assert len(set(lz.Parser().run(lz.points_of(text)))) == len(phrases(text))
-    monkeypatch.setattr(lz, "RESET", 100)
     parser = lz.Parser()
-    assert len(set(parser.run(lz.points_of(text)[:150]) + parser.run(lz.points_of(text)[150:]))) == len(phrases(text, 100))
+    parts = [set(parser.run(lz.points_of(text[k : k + 100]))) for k in range(0, len(text), 100)]
+    assert len(set().union(*parts)) == len(phrases(text))
 
 
-@pytest.mark.parametrize("reset", [lz.RESET, 64])
-def test_common_beginning_is_parsed_once(monkeypatch, reset):
-    monkeypatch.setattr(lz, "RESET", reset)
+@pytest.mark.parametrize("piece", [lz.PIECE, 7])
+def test_common_beginning_is_parsed_once(monkeypatch, piece):
+    monkeypatch.setattr(lz, "PIECE", piece)
     a, b = words(2, 120), words(3, 90)
     n, sha, own, edited = lz.compare(a, b)
     new = a[: len(a) - len(a) // 4] + b[: len(a) // 4]
+    plain = lambda t: lz.fingerprint(lz.minima(lz.Parser().run(lz.points_of(t))))
     assert (n, sha) == (len(a), hashlib.sha256(new.encode()).hexdigest())
-    assert (own, edited) == (lz.fingerprint(lz.signature(a)), lz.fingerprint(lz.signature(new)))
+    assert (own, edited) == (plain(a), plain(new))
+
+
+def test_long_texts_have_one_dictionary():
+    """Beyond a million code points too: as many phrases as plain LZ78 finds, and equal texts have equal fingerprints."""
+    text = words(6, 260_000)
+    assert len(text) > 1_100_000
+    parser = lz.Parser()
+    sig = parser.parse(text)
+    assert len(parser.known) == len(phrases(text)) and (sig == lz.signature(text)).all()
+    assert lz.compare(text, "")[2] == lz.fingerprint(sig)
 
 
 def test_likeness_follows_the_phrases():
@@ -81,7 +89,7 @@ def test_fingerprints_over_partitions(spark):
     assert lz.fingerprints(docs(spark, ["only one"])).first()["near_next"] == 1.0
 
 
-W = page.Weights()
+W = page.weights()
 
 
 @pytest.mark.parametrize(("html", "text"), [
@@ -98,12 +106,52 @@ def test_main_text(html, text):
     assert page.main_text(html, W) == text
 
 
-def test_labelled_pages_are_reproduced():
+@pytest.mark.parametrize(("html", "text"), [
+    ("<div id=hdr><a>Home</a> <a>News</a></div><div class=story-body><h1>Title of it</h1><p>One two three four five six.</p><p>" + "More words here. " * 10 + "</p></div><div class=disq-thread><div><b>Ann</b><p>I like it a lot, thank you.</p></div></div><div class=lnks><ul><li><a>one two</a></li><li><a>three four</a></li></ul></div>", "Title of it\n\nOne two three four five six.\n\n" + " ".join(["More words here."] * 10)),
+    ("<article><h1>Energy</h1><p>We know <math><mi>E</mi><mo>=</mo><mi>m</mi></math> well.</p><p>The thing.</p></article>", "Energy\n\nWe know E=m well.\n\nThe thing."),
+    ("<div class='page has-sidebar with-comments'><div class=main><h1>A title here</h1><p>First paragraph, quite long one.</p><p>Second paragraph of it.</p></div><div class=sidebar><p>Some side text of the page.</p></div></div>", "A title here\n\nFirst paragraph, quite long one.\n\nSecond paragraph of it."),
+    ("<article><header><h1>The title</h1><p class=byline>By Ann, 3 May</p></header><p>Text is here and long enough.</p><ul><li>one</li><li>two</li></ul><p>Short.</p></article>", "The title\n\nText is here and long enough.\n\none\n\ntwo\n\nShort."),
+    ("<article><p>See <a href=x>the long list of things</a> for more.</p><p>End</p></article>", "See the long list of things for more.\n\nEnd"),
+])
+def test_pages_with_other_names_and_elements(html, text):
+    assert page.main_text(html, W) == text
+
+
+def test_held_out_labelled_pages():
+    """Precision and recall of words on labelled pages that the weights weren't fitted on."""
+    import re
+    from collections import Counter
+
+    right = got = wanted = 0
+    for html in page.labelled_pages(150, 99):
+        want = Counter(" ".join(re.findall("«(.*?)»", re.sub("</?a[^>]*>", "", html))).split())
+        found = Counter(page.main_text(html.translate(page.MARKS), W).split())
+        right, got, wanted = right + (want & found).total(), got + found.total(), wanted + want.total()
+    assert right / got >= 0.97 and right / wanted >= 0.97
+
+
+def test_whole_table_against_a_plain_reading(spark):
+    """The tables' pages have one article each; a plain reading of it gives every page's text."""
+    import html as entities
     import re
 
-    for html in page.LABELLED:
-        want = [" ".join(x.split()) for x in re.findall("«(.*?)»", html)]
-        assert page.main_text(html.replace("«", "").replace("»", ""), W).replace("\n\n", " ") == " ".join(want)
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in page.op2_html(spark, "/root/testdata/sf0.01").collect()}
+    for r in pages.collect():
+        article = re.search(r"<article>(.*?)(?:</article>|\Z)", r["html"] or "", re.S)
+        parts = re.split(r"</?(?:p|h1)>", article[1].replace("<br>", " ")) if article else []
+        blocks = (" ".join(entities.unescape(re.sub("<[^>]*>", "", x)).split()) for x in parts)
+        assert got[r["page_id"]] == "\n\n".join(filter(None, blocks))
+
+
+def test_deep_and_broken_pages_take_linear_time():
+    import time
+
+    began = time.process_time()
+    assert page.main_text("<div>" * 200_000 + "<p>Hello there, you.</p>" + "</section>" * 10, W) in ("Hello there, you.", "")
+    page.main_text("<p" * 200_000, W)
+    page.main_text("<p>a" * 100_000 + "</div>" * 100_000, W)
+    assert time.process_time() - began < 20
 
 
 def test_best_run_is_the_best():
@@ -155,6 +203,35 @@ def test_random_strings(spark):
     assert secret.scan(docs(spark, []), path).count() == 0
 
 
+def test_digests_are_known_by_context(spark):
+    """Upper-case hexadecimal of a digest's length is a digest where the text says so, or where it's in the given list; else a finding."""
+    import public_tokenizers
+
+    vocabulary = secret.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    r = random.Random(8)
+    shares = []
+    for n in (32, 40, 64):
+        found = 0
+        for _ in range(200):
+            x = "".join(r.choices("0123456789ABCDEF", k=n))
+            found += secret.random_spans(f"key {x} end", [], vocabulary) == [(4, 4 + n)]
+            for told in (f"md5: {x}", f"SHA-256 = {x}", f"checksum {x}", f'etag: "{x}"'):
+                assert secret.random_spans(told, [], vocabulary) == []
+            assert secret.random_spans(f"key {x} end", [], vocabulary, frozenset([x.lower()])) == []
+        shares.append(found / 200)
+    assert min(shares) >= 0.95
+
+
+def test_very_long_strings_are_tokenised_whole():
+    import public_tokenizers
+
+    vocabulary = secret.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    r = random.Random(9)
+    long = "".join(r.choices(string.ascii_letters + string.digits, k=300_000))
+    assert secret.random_spans(f"x {long} y", [], vocabulary) == [(2, 300_002)]
+    assert secret.random_spans("x " + "word" * 50_000, [], vocabulary) == []
+
+
 def random_share(alphabet, length, n=300):
     """The share of random strings of an alphabet that are findings."""
     import public_tokenizers
@@ -206,6 +283,58 @@ def test_language(spark):
     assert kept.columns == every.columns and {r["doc_id"] for r in kept.collect()} == set(truth) | {904}
 
 
+def plain_model(rows):
+    """TF-IDF of hashed 2- and 3-grams as dictionaries, by the definition."""
+    import math
+    from collections import Counter
+
+    def grams(text):
+        kept = "".join(c if ord(c) > 127 or "a" <= c <= "z" else " " for c in text.lower())
+        b = (" " + " ".join(kept.split(" ")).strip() + " ").encode()
+        b = b" " + b" ".join(b.split()) + b" "
+        bucket = lambda g: (g * 2654435761 % 2**32) >> 19
+        return Counter([bucket(int.from_bytes(b[k : k + 2]) ^ 0x5BD10000) for k in range(len(b) - 1)] + [bucket(int.from_bytes(b[k : k + 3])) for k in range(len(b) - 2)])
+
+    df = Counter(g for t in rows for g in grams(t))
+    weight = {g: math.log((1 + len(rows)) / (1 + n)) + 1 for g, n in df.items()}
+
+    def vector(text):
+        v = {g: (1 + math.log(n)) * weight.get(g, math.log(1 + len(rows)) + 1) for g, n in grams(text).items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {g: x / norm for g, x in v.items()}
+
+    return vector
+
+
+def test_scores_equal_plain_cosines():
+    """Vectors and nearest centroids against dictionaries and plain cosines."""
+    texts = [sentence(list(STEMS)[k % 3], k, 5 + k) for k in range(40)]
+    model = language.train([(list(STEMS)[k % 3], language.counts(t)) for k, t in enumerate(texts)])
+    vector = plain_model(texts)
+    for k in range(30):
+        text = sentence(list(STEMS)[k % 3], 1000 + k, 3 + k) + (" Ärger, 12!" if k % 4 else "")
+        v = vector(text)
+        cosines = [sum(x * float(c[g]) for g, x in v.items()) for c in model.centroids]
+        (lang,), (score,), _ = model.predict(np.array([language.counts(text)], np.float32))
+        assert lang == model.of[int(np.argmax(cosines))] and abs(score - max(cosines)) < 1e-4
+
+
+def test_held_out_accuracy(spark):
+    """The query fits on the rows that aren't held out; this is the share of held-out ones it gets right."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
+    got = language.op10_language(spark, "/root/testdata/sf0.01").where("held_out").join(docs, "doc_id").where("lang is not null and lang_pred <> 'und'")
+    rows = got.select("lang", "lang_pred").collect()
+    assert len(rows) > 150 and sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.98 * len(rows)
+
+
+def test_many_languages_share_a_bounded_sample(spark, monkeypatch):
+    """The most frequent labels are learned, by the same rule at any number of them."""
+    monkeypatch.setattr(language, "FIT_ROWS", 24)
+    rows = [(k, sentence("aa", k), f"l{k % 50:02d}" if k < 200 else "top", "s", "x", "p") for k in range(400)]
+    model = language.fit(spark.createDataFrame(rows, DOCS))
+    assert "top" in model.languages and len(model.languages) <= 3
+
+
 def test_language_that_was_not_fitted():
     """Without one of the tables' four languages, its texts are rejected; no held-out text of the others is."""
     import pyarrow.parquet as pq
