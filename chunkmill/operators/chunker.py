@@ -9,6 +9,7 @@ namespace) is a chunk and is searched. A file without declarations that isn't bl
 from __future__ import annotations
 
 import ast
+import bisect
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -40,17 +41,23 @@ def python_spans(text: str) -> list[Span]:
         tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError):
         return indented_spans(text)
+    lines = re.findall(r"[^\n]*\n|[^\n]+$", text)
     starts = [0]
-    for line in re.findall(r"[^\n]*\n|[^\n]+$", text):
-        starts.append(starts[-1] + len(line.encode("utf-8", "surrogatepass")))
-    data = text.encode("utf-8", "surrogatepass")
+    for line in lines:
+        starts.append(starts[-1] + len(line))
+
+    def place(line: int, column: int) -> int:
+        """Character of a line and a column in bytes."""
+        own = lines[line - 1]
+        return starts[line - 1] + (column if own.isascii() else len(own.encode("utf-8", "surrogatepass")[:column].decode("utf-8", "surrogatepass")))
+
     found: list[Span] = []
 
     def visit(node: ast.AST) -> None:
         for child in ast.iter_child_nodes(node):
             is_function = isinstance(child, ast.FunctionDef | ast.AsyncFunctionDef)
             if is_function or isinstance(child, ast.ClassDef):
-                found.append((len(data[: starts[child.lineno - 1] + child.col_offset].decode()), len(data[: starts[child.end_lineno - 1] + child.end_col_offset].decode()), child.name))
+                found.append((place(child.lineno, child.col_offset), place(child.end_lineno, child.end_col_offset), child.name))
             if not is_function:
                 visit(child)
 
@@ -153,37 +160,45 @@ def brace_spans(text: str, language: str) -> list[Span]:
     csharp = language == "csharp"
     bodies: set[int] = set()
     found: list[Span] = []
-    functions: list[tuple[int, int]] = []
+    starts: list[int] = []  # functions, in order; they don't overlap
+    ends: list[int] = []
     containers = [_CS_CONTAINER] if csharp else [_JS_CLASS] + [_TS_INTERFACE] * (language in ("typescript", "tsx"))
     heads = sorted((m.start(), m.end(), m[1]) for p in containers for m in p.finditer(code))
     for start, end, name in heads:
         body = _body(code, end)
-        if csharp and body is None and re.match(r"\s*;", code[end:]) and re.search(r"\bnamespace\b", code[start:end]):
-            found.append((start, end + code[end:].index(";") + 1, name))
-            continue
         if csharp and body is None:
             stop = code.find(";", end)
             found.append((start, stop + 1 if stop >= 0 else len(code), name))
-            continue
-        if body:
+        elif body:
             bodies.add(body[0])
             found.append((start, body[1], name))
     candidates: list[tuple[int, int, str]] = []
     if not csharp:
         candidates += [(m.start(), m.end() - 1, m[1]) for m in _JS_FUNCTION.finditer(code)]
     for m in (_CS_METHOD if csharp else _JS_METHOD).finditer(code):
-        inside = owner[m.end() - 1] in bodies
-        before = code[: m.start()].rstrip()[-1:]
-        if inside and m[1] not in _NOT_NAMES and before in ("{", "}", ";", "", "]", ","):
-            candidates.append((m.start(), m.end() - 1, m[1]))
+        if owner[m.end() - 1] not in bodies or m[1] in _NOT_NAMES:
+            continue
+        k = m.start() - 1
+        while k >= 0 and code[k].isspace():
+            k -= 1
+        if k < 0 or code[k] in "{};],":
+            candidates.append((m.start() + len(m[0]) - len(m[0].lstrip()), m.end() - 1, m[1]))
+
+    def inside(at: int) -> bool:
+        """Whether a position lies in a function."""
+        k = bisect.bisect_left(starts, at) - 1
+        return k >= 0 and at < ends[k]
+
     for start, end, name in sorted(candidates):
-        start += len(code[start:end]) - len(code[start:end].lstrip())
+        if inside(start):
+            continue
         body = _body(code, end)
-        if body is None or any(a < start < b for a, b in functions):
+        if body is None:
             continue
-        functions.append((start, body[1]))
+        starts.append(start)
+        ends.append(body[1])
         found.append((start, body[1], name))
-    return sorted(s for s in found if not any(a < s[0] < b for a, b in functions))
+    return sorted(s for s in found if not inside(s[0]))
 
 
 #: Scanner of each language; replace one to plug in another parser.
@@ -193,15 +208,24 @@ SCANNERS: dict[str, Callable[[str], list[Span]]] = {"python": python_spans, **{x
 def chunk_source(path: str, content: bytes, language: str) -> list[Chunk]:
     text = content.decode("utf-8", "replace")
     exact = text.encode("utf-8") == content
-    size = lambda a, b: len(text[a:b].encode("utf-8"))
-    out = []
-    for start, end, symbol in SCANNERS[language](text):
-        first = text.count("\n", 0, start) + 1
-        last = first + text.count("\n", start, max(start, end - 1))
-        begin = size(0, start)
-        out.append(Chunk(path, language, first, last, begin, begin + size(start, end), text[start:end], symbol))
+    spans = SCANNERS[language](text)
+    feeds = [m.start() for m in re.finditer("\n", text)] if spans else []
+    line = lambda at: bisect.bisect_left(feeds, at) + 1
+    byte = _bytes_at(text, {p for start, end, _ in spans for p in (start, end)})
+    out = [Chunk(path, language, line(start), line(max(start, end - 1)), byte[start], byte[end], text[start:end], symbol) for start, end, symbol in spans]
     if not out and text.strip():
-        out.append(Chunk(path, language, 1, text.count("\n") + 1, 0, len(content) if exact else size(0, len(text)), text, None))
+        out.append(Chunk(path, language, 1, text.count("\n") + 1, 0, len(content) if exact else len(text.encode("utf-8")), text, None))
+    return out
+
+
+def _bytes_at(text: str, places: set[int]) -> dict[int, int]:
+    """Bytes before each of the character positions, in one pass."""
+    if text.isascii():
+        return {p: p for p in places}
+    out, before, total = {}, 0, 0
+    for p in sorted(places):
+        total += len(text[before:p].encode("utf-8"))
+        before, out[p] = p, total
     return out
 
 
