@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from chunkmill.plans.schema import CHARS_PER_TOKEN, DEFINITION_BOOST, LANGUAGES, TRIVIAL_BASENAME
+from chunkmill.plans.schema import BINARY_SNIFF_BYTES, CHARS_PER_TOKEN, DEFINITION_BOOST, LANGUAGES, TRIVIAL_BASENAME
 
 #: The URL namespace of name-based UUIDs (RFC 4122).
 NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
@@ -49,8 +49,8 @@ def language_for(path: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Distinct lower-case word tokens of ASCII word characters."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^A-Za-z0-9_]+"), lambda t: t != ""))
+    """Distinct lower-case word tokens: runs of letters, digits (both of any script) and underscores."""
+    return F.array_distinct(F.transform(F.filter(F.split(text, r"[^\p{L}\p{N}_]+"), lambda t: t != ""), F.lower))
 
 
 def query_tokens(text: str) -> list[str]:
@@ -71,8 +71,12 @@ def newlines(text: Column) -> Column:
     return (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).cast("int")
 
 
+def tokens_of(n_chars: Column) -> Column:
+    return F.coalesce(F.ceil(n_chars / F.lit(float(CHARS_PER_TOKEN))), F.lit(0)).cast("bigint")
+
+
 def token_estimate(text: Column) -> Column:
-    return F.coalesce(F.ceil(F.length(text) / F.lit(float(CHARS_PER_TOKEN))), F.lit(0)).cast("bigint")
+    return tokens_of(F.length(text))
 
 
 def saved_percent(saved: Column, baseline: Column) -> Column:
@@ -108,11 +112,12 @@ def matches_any(path: Column, patterns: Column) -> Column:
     return F.exists(patterns, lambda p: (F.trim(p) != "") & F.regexp(path, glob_regex(p)))
 
 
-def is_binary(content: Column, sniff: int) -> Column:
+def is_binary(content: Column, sniff: int = BINARY_SNIFF_BYTES) -> Column:
     """A NUL byte among the first bytes; over a hex string, where every byte is two digits."""
     return F.hex(F.substring(content, 1, sniff)).rlike("^(..)*?00")
 
 
 def word_pattern(identifier: str) -> str:
     """The identifier as a whole word, taken literally."""
-    return rf"(?<![A-Za-z0-9_])\Q{identifier}\E(?![A-Za-z0-9_])"
+    literal = re.sub(r"([^A-Za-z0-9_\s\u0080-\U0010ffff])", r"\\\1", identifier)
+    return rf"(?<![A-Za-z0-9_]){literal}(?![A-Za-z0-9_])"

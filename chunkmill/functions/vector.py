@@ -14,8 +14,13 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    return _dot(a, b) / (F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b)))
+def norm(a: Column) -> Column:
+    return F.sqrt(_dot(a, a))
+
+
+def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column | None = None) -> Column:
+    """Cosine similarity; norms that are known aren't computed again."""
+    return _dot(a, b) / ((norm(a) if norm_a is None else norm_a) * (norm(b) if norm_b is None else norm_b))
 
 
 def require_dim(vector: Column, dim: int) -> Column:
@@ -29,7 +34,7 @@ def top_k_arrow(points: DataFrame, queries: list[tuple[int, list[float]]], k: in
     queries is a stated set of a size that the caller bounds; points are scanned once and not shuffled.
     """
     ids = np.array([q for q, _ in queries], np.int64)
-    wanted = np.array([v for _, v in queries], np.float64)
+    wanted = np.array([v for _, v in queries], np.float64).reshape(len(queries), -1)
     wanted /= np.linalg.norm(wanted, axis=1, keepdims=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chunkmill.functions.scalar import saved_percent, token_estimate
+from chunkmill.functions.scalar import saved_percent, token_estimate, tokens_of
 from chunkmill.plans.schema import LEDGER
 
 
 def per_query(hits: DataFrame, files: DataFrame) -> DataFrame:
-    """Per query_id: tokens of the hits against those of their whole files (path, text), each file counted once; absent files are missing."""
+    """Per query_id: tokens of the hits against those of their whole files (path, n_chars), each file counted once; absent files are missing."""
     returned = hits.groupBy("query_id").agg(F.sum(token_estimate(F.col("code"))).alias("returned_tokens"))
     wanted = hits.where(F.trim("path") != "").select("query_id", "path").distinct()
-    sizes = files.select("path", token_estimate(F.col("text")).alias("tokens"))
+    sizes = files.select("path", tokens_of(F.col("n_chars")).alias("tokens"))
     found = wanted.join(sizes, "path", "left").groupBy("query_id").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("baseline_tokens_upper"), F.count("tokens").alias("files_counted"), F.count_if(F.col("tokens").isNull()).alias("files_missing"))
     rows = returned.join(found, "query_id", "left").fillna(0)
     saved = F.greatest(F.lit(0).cast("bigint"), F.col("baseline_tokens_upper") - F.col("returned_tokens"))

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chunkmill.functions import scalar as S
-from chunkmill.functions.vector import cosine, top_k_arrow
+from chunkmill.functions.vector import cosine, norm, top_k_arrow
 from chunkmill.plans.schema import OVERFETCH, TRIVIAL_LINES
 
 
@@ -24,30 +24,60 @@ def stated(queries: DataFrame, most: int = MOST_QUERIES) -> DataFrame:
 
 def knn_blocks(points: DataFrame, queries: DataFrame, k: int, block: int = MOST_QUERIES // 2) -> DataFrame:
     """knn() for any number of queries: blocks by a hash of query_id, a scan of the points for each."""
-    n = -(-queries.count() // block) or 1
-    parts = [knn(points, queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b), k) for b in range(n)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    out = None
+    for part in _blocks(points, queries, k, block):
+        out = part if out is None else out.unionByName(part)
     return out
 
 
+def _blocks(points: DataFrame, queries: DataFrame, k: int, block: int = MOST_QUERIES // 2) -> list[DataFrame]:
+    n = -(-queries.count() // block) or 1
+    return [knn(points, queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b), k) for b in range(n)]
+
+
 def knn(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The k nearest points of each query with raw_rank; queries is a small stated set and is broadcast.
 
     Ranks are cut within each partition before the shuffle (WindowGroupLimit), so only k rows per query and partition move.
     """
-    scored = points.join(F.broadcast(stated(queries))).withColumn("score", F.round(cosine(F.col("vector"), F.col("query_vector")), 6)).drop("vector", "query_vector")
+    left = points.withColumn("_norm", norm(F.col("vector")))
+    right = stated(queries).withColumn("_query_norm", norm(F.col("query_vector")))
+    score = cosine(F.col("vector"), F.col("query_vector"), F.col("_norm"), F.col("_query_norm"))
+    scored = left.join(F.broadcast(right)).withColumn("score", F.round(score, 6)).drop("vector", "query_vector", "_norm", "_query_norm")
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return scored.withColumn("raw_rank", F.row_number().over(order)).where(F.col("raw_rank") <= k)
 
 
+def candidates(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The k nearest points of each query with all their columns: ranked by id and vector alone, a block of queries at a time, and then looked up.
+
+    The rows of a block's ranks are k times MOST_QUERIES / 2 at most, so they are broadcast to the points.
+    """
+    payload, asked = points.drop("vector"), queries.drop("query_vector")
+    out = None
+    for top in _blocks(points.select("id", "vector"), queries.select("query_id", "query_vector"), k):
+        found = payload.join(F.broadcast(top), "id")
+        out = found if out is None else out.unionByName(found)
+    return out.join(asked, "query_id")
+
+
 def knn_arrow(points: DataFrame, queries: list[tuple[int, list[float]]], k: int) -> DataFrame:
     """The same ranking (query_id, id, score, raw_rank) by matrix products over Arrow batches."""
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return top_k_arrow(points, queries, k).withColumn("raw_rank", F.row_number().over(order)).where(F.col("raw_rank") <= k)
 
 
+def knn_arrow_blocks(points: DataFrame, queries: DataFrame, k: int, block: int = MOST_QUERIES // 2) -> DataFrame:
+    """knn_arrow() for a query table: the driver holds a block of query vectors at a time."""
+    n = -(-queries.count() // block) or 1
+    out = None
+    for b in range(n):
+        own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b).select("query_id", "query_vector").collect()
+        part = knn_arrow(points, [(r["query_id"], list(r["query_vector"])) for r in own], k)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def nearest(points: DataFrame, vector: list[float], k: int) -> DataFrame:
     """The k nearest points of one vector: TakeOrderedAndProject, no join."""
     literal = F.array(*[F.lit(float(x)) for x in vector])
@@ -87,8 +117,8 @@ def limit(hits: DataFrame, n: int) -> DataFrame:
 
 
 def semantic_search(points: DataFrame, queries: DataFrame, n: int) -> DataFrame:
-    """The whole search for a stated set of queries (query_id, query_vector, query_tokens)."""
-    return rank_candidates(knn(points, queries, max(n, n * OVERFETCH)), n)
+    """The whole search for any number of queries (query_id, query_vector, query_tokens)."""
+    return rank_candidates(candidates(points, queries, max(n, n * OVERFETCH)), n)
 
 
 def rank_candidates(candidates: DataFrame, n: int) -> DataFrame:

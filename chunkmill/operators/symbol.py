@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkmill.functions.scalar import language_for, word_pattern
-from chunkmill.plans.schema import BINARY_SNIFF_BYTES
+from chunkmill.functions.scalar import is_binary, language_for, word_pattern
 
 
 def symbol_search(files: DataFrame, identifier: str, text: str = "text") -> DataFrame:
@@ -22,7 +21,7 @@ def symbol_search(files: DataFrame, identifier: str, text: str = "text") -> Data
 
 def symbol_hits(files: DataFrame, identifier: str) -> DataFrame:
     """symbol_search() over (path, content) files as search hits with score 1 and one-line ranges; binary files are left out."""
-    readable = files.where("content is not null").where(~F.hex(F.substring("content", 1, BINARY_SNIFF_BYTES)).rlike("^(..)*?00")).select("path", F.decode("content", "UTF-8").alias("text"))
+    readable = files.where("content is not null").where(~is_binary(F.col("content"))).select("path", F.decode("content", "UTF-8").alias("text"))
     found = symbol_search(readable, identifier)
     line = F.col("line_no").cast("int")
     return found.select("path", language_for(F.col("path")).alias("language"), line.alias("start_line"), line.alias("end_line"), F.regexp_replace("line", "\r$", "").alias("code"), F.lit(identifier).alias("symbol"), F.lit(1.0).alias("score"))

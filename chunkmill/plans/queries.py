@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chunkmill.functions import scalar as S
 from chunkmill.operators import evaluate as E
-from chunkmill.operators import inspect, savings, search, staleness, store, symbol
+from chunkmill.operators import chunker, inspect, savings, search, staleness, store, symbol
 from chunkmill.plans import views as V
 
 LIMIT, WIDE = 10, 15
@@ -44,13 +44,12 @@ def _rank(name: str) -> F.Column:
 
 @query(f"{KNN_SQL} SELECT query_id, id, score, raw_rank FROM knn WHERE raw_rank <= {WIDE}")
 def knn_topk(spark: SparkSession, d: str) -> DataFrame:
-    return search.knn(V.chunks(spark, d).select("id", "vector"), V.queries(spark, d), WIDE).select("query_id", "id", "score", _rank("raw_rank"))
+    return search.knn_blocks(V.chunks(spark, d).select("id", "vector"), V.queries(spark, d).drop("query_tokens"), WIDE).select("query_id", "id", "score", _rank("raw_rank"))
 
 
 @query(_SQL["knn_topk"])
 def knn_topk_arrow(spark: SparkSession, d: str) -> DataFrame:
-    wanted = [(r["query_id"], list(r["query_vector"])) for r in V.queries(spark, d).collect()]
-    return search.knn_arrow(V.chunks(spark, d), wanted, WIDE).select("query_id", "id", "score", _rank("raw_rank"))
+    return search.knn_arrow_blocks(V.chunks(spark, d), V.queries(spark, d), WIDE).select("query_id", "id", "score", _rank("raw_rank"))
 
 
 @query(f"""{WITH}, {V.QUERIES_SQL.strip()}
@@ -59,7 +58,7 @@ SELECT * FROM (SELECT query_id, id, round(list_cosine_similarity(vector::DOUBLE[
 FROM chunks, queries WHERE repo_id = 'src0') WHERE raw_rank <= {WIDE}""")
 def knn_filtered_by_repo(spark: SparkSession, d: str) -> DataFrame:
     points = V.chunks(spark, d).where(F.col("repo_id") == "src0").select("id", "vector")
-    return search.knn(points, V.queries(spark, d), WIDE).select("query_id", "id", "score", _rank("raw_rank"))
+    return search.knn_blocks(points, V.queries(spark, d).drop("query_tokens"), WIDE).select("query_id", "id", "score", _rank("raw_rank"))
 
 
 @query()
@@ -75,7 +74,7 @@ boosted AS (
 
 @query(f"{BOOST_SQL} SELECT query_id, id, symbol, score, raw_rank, rank FROM boosted")
 def definition_boost(spark: SparkSession, d: str) -> DataFrame:
-    return search.boost(search.knn(V.chunks(spark, d), V.queries(spark, d), 3 * LIMIT), F.col("query_tokens")).select("query_id", "id", "symbol", "score", _rank("raw_rank"), _rank("rank"))
+    return search.boost(search.candidates(V.chunks(spark, d), V.queries(spark, d), 3 * LIMIT), F.col("query_tokens")).select("query_id", "id", "symbol", "score", _rank("raw_rank"), _rank("rank"))
 
 
 LINES_SQL = r"len(list_filter(regexp_split_to_array(code, '\r\n|[\n\r\x0B\f\x1c-\x1e]'), lambda x: trim(x) <> ''))"
@@ -85,7 +84,7 @@ kept AS (SELECT * FROM (SELECT *, max({LINES_SQL}) OVER (PARTITION BY query_id,
 
 @query(f"{TRIVIAL_SQL} SELECT query_id, id, path, rank FROM kept")
 def trivial_filter(spark: SparkSession, d: str) -> DataFrame:
-    hits = search.boost(search.knn(V.chunks(spark, d), V.queries(spark, d), 3 * LIMIT), F.col("query_tokens"))
+    hits = search.boost(search.candidates(V.chunks(spark, d), V.queries(spark, d), 3 * LIMIT), F.col("query_tokens"))
     return search.drop_trivial(hits).select("query_id", "id", "path", _rank("rank"))
 
 
@@ -102,10 +101,10 @@ fold AS (
   FROM fold f JOIN ordered o ON {on} AND o.n = f.n + 1)"""
 
 
-@query(f"{WITH}, src AS (SELECT *, id AS rank FROM chunks), {_fold('src', 'path', 'id, path, start_line, end_line').strip()} SELECT id, path, start_line, end_line FROM fold WHERE stays")
+@query(f"{BOOST_SQL}, {_fold('boosted', 'query_id, path', 'query_id, id, path, start_line, end_line').strip()} SELECT query_id, id, path, start_line, end_line FROM fold WHERE stays")
 def overlap_collapse(spark: SparkSession, d: str) -> DataFrame:
-    rows = V.chunks(spark, d).select("id", "path", "start_line", "end_line", F.col("id").alias("rank"))
-    return search.collapse(rows, ("path",)).select("id", "path", "start_line", "end_line")
+    hits = search.boost(search.candidates(V.chunks(spark, d), V.queries(spark, d), 3 * LIMIT), F.col("query_tokens"))
+    return search.collapse(hits.select("query_id", "id", "path", "start_line", "end_line", "rank")).select("query_id", "id", "path", "start_line", "end_line")
 
 
 @query(f"""{TRIVIAL_SQL}, {_fold('kept', 'query_id, path', 'query_id, id, path, language, start_line, end_line, symbol, score, rank').strip()}
@@ -198,8 +197,36 @@ def language_for(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT doc_id, 1 AS start_line, CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS INTEGER) AS end_line, CAST(0 AS BIGINT) AS start_byte, CAST(octet_length(encode(text)) AS BIGINT) AS end_byte
 FROM documents WHERE regexp_matches(text, '\\S')""")
 def whole_file_chunks(spark: SparkSession, d: str) -> DataFrame:
-    rows = V.read(spark, d, "documents").where(F.col("text").rlike(r"\S"))
-    return rows.select("doc_id", F.lit(1).alias("start_line"), (S.newlines(F.col("text")) + 1).alias("end_line"), F.lit(0).cast("bigint").alias("start_byte"), F.octet_length("text").cast("bigint").alias("end_byte"))
+    rows = V.read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "UTF-8").alias("content"), F.lit("javascript").alias("language"))
+    whole = chunker.chunk_files(rows).where("symbol is null")
+    return whole.select(F.col("path").cast("bigint").alias("doc_id"), "start_line", "end_line", F.col("start_byte").cast("bigint").alias("start_byte"), F.col("end_byte").cast("bigint").alias("end_byte"))
+
+
+#: A source file of each language for every part, with the lines, bytes and name that its chunks have.
+SOURCES = {
+    "python": ("import os\n\n\n@wrap\ndef run_@(ü):\n    return ü\n\n\nclass Part@:\n    def size(self):\n        def inner():\n            pass\n        return @\n", (("run_", 5, 6), ("Part", 9, 13), ("size", 10, 13))),
+    "csharp": ("// Part {\nnamespace Parts\n{\n    class Part@\n    {\n        int Size(int n) { return n + @; }\n        string Name() => \"}\";\n    }\n}\n", (("Parts", 2, 9), ("Part", 4, 8), ("Size", 6, 6), ("Name", 7, 7))),
+    "typescript": ("interface Sized@ { size(): number }\nexport function total@(n: number) { return n; }\nclass Part@ {\n  size() { return `{${@}`; }\n}\n", (("Sized", 1, 1), ("total", 2, 2), ("Part", 3, 5), ("size", 4, 4))),
+    "javascript": ("const x@ = 1;\n", ()),
+}
+
+
+def _source_sql() -> str:
+    """What the chunks of SOURCES must be; a name that ends in the part's key is given without it."""
+    rows = []
+    for language, (_, chunks) in SOURCES.items():
+        rows += [f"('{language}', '{name}', {first}, {last})" for name, first, last in chunks] or [f"('{language}', NULL, 1, 2)"]
+    return f"SELECT p_partkey, language, name, CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line FROM part, (VALUES {', '.join(rows)}) AS v(language, name, start_line, end_line)"
+
+
+@query(_source_sql())
+def chunk_source(spark: SparkSession, d: str) -> DataFrame:
+    sources = F.explode(F.create_map(*[F.lit(x) for language, (text, _) in SOURCES.items() for x in (language, text)]))
+    rows = V.read(spark, d, "part").select("p_partkey", sources.alias("language", "text"))
+    content = F.encode(F.replace("text", F.lit("@"), F.col("p_partkey").cast("string")), "UTF-8")
+    found = chunker.chunk_files(rows.select(F.col("p_partkey").cast("string").alias("path"), content.alias("content"), "language"))
+    key = F.col("path").cast("bigint").alias("p_partkey")
+    return found.select(key, "language", F.regexp_replace("symbol", "[0-9]+$", "").alias("name"), "start_line", "end_line")
 
 
 UUID_SQL = "substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12)"
@@ -229,19 +256,21 @@ SELECT query_id, returned_tokens, baseline_tokens_upper, files_counted, files_mi
   CAST(CASE WHEN baseline_tokens_upper > 0 THEN round_even(greatest(0, baseline_tokens_upper - returned_tokens) / baseline_tokens_upper::DOUBLE * 100, 0) ELSE 0 END AS INTEGER) AS pct_upper FROM r JOIN b USING (query_id)""")
 def savings_per_query(spark: SparkSession, d: str) -> DataFrame:
     c = V.chunks(spark, d)
-    hits = search.knn(c, V.queries(spark, d), LIMIT)
-    files = c.where("id % 40 <> 3").groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "code"))), lambda x: x["code"]), "\n").alias("text"))
+    hits = search.candidates(c, V.queries(spark, d), LIMIT)
+    files = c.where("id % 40 <> 3").groupBy("path").agg((F.sum(F.length("code")) + F.count("code") - 1).alias("n_chars"))
     return savings.per_query(hits, files)
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
-    """Events as ledger rows: every 50th line is corrupt and every 77th has a time that can't be read."""
+    """Events as lines of a ledger, parsed: every 50th line is corrupt and every 77th has a time that can't be read."""
     e = V.read(spark, d, "events")
     corrupt, unread = F.col("event_id") % 50 == 0, F.col("event_id") % 77 == 5
-    return e.select(
-        (100 + F.col("user_id") % 900).alias("baseline_tokens_upper"), (F.col("event_id") % 100).alias("returned_tokens"), (100 + F.col("user_id") % 900 - F.col("event_id") % 100).alias("saved_tokens_upper"),
-        corrupt.alias("corrupt"), F.when(~corrupt & ~unread, F.col("ts").cast("timestamp")).alias("time"),
+    event = F.struct(
+        F.when(unread, "yesterday").otherwise(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")).alias("ts"), (100 + F.col("user_id") % 900).alias("baseline_tokens_upper"),
+        (F.col("event_id") % 100).alias("returned_tokens"), (100 + F.col("user_id") % 900 - F.col("event_id") % 100).alias("saved_tokens_upper"),
     )
+    broken = F.when(F.col("event_id") % 100 == 0, '{"ts": ').otherwise('{"returned_tokens": 1}')
+    return savings.parse_ledger(e.select(F.when(corrupt, broken).otherwise(F.to_json(event)).alias("value")))
 
 
 EVENTS_SQL = """WITH e AS (SELECT 100 + user_id % 900 AS b, event_id % 100 AS r, 100 + user_id % 900 - event_id % 100 AS s, event_id % 50 = 0 AS corrupt,
@@ -306,6 +335,24 @@ def staleness_report(spark: SparkSession, d: str) -> DataFrame:
     return staleness.changes(staleness.manifest(rows.where("doc_id % 10 <> 1")), staleness.manifest(now))
 
 
+@query("""SELECT s_suppkey, registered AND indexed IS NOT NULL AND head IS NOT NULL AND indexed <> head AS stale
+FROM (SELECT s_suppkey, s_suppkey % 3 <> 0 AS registered, CASE WHEN s_suppkey % 7 <> 0 THEN sha1(s_name) END AS indexed, CASE WHEN s_suppkey % 5 <> 0 THEN sha1(CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE concat(s_name, '!') END) END AS head FROM supplier)""")
+def stale_flags(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("s_suppkey")
+    indexed, head = F.when(key % 7 != 0, F.sha1("s_name")), F.when(key % 5 != 0, F.sha1(F.when(key % 2 == 0, F.col("s_name")).otherwise(F.concat("s_name", F.lit("!")))))
+    return V.read(spark, d, "supplier").select(key, staleness.is_stale(key % 3 != 0, indexed, head).alias("stale"))
+
+
+PATH_PARTS = ["", "./", "././", " .\\", "../", "a\\b/", " "]
+
+
+@query(rf"""SELECT p_partkey, trim(regexp_replace(replace(path, '\', '/'), '^(\./)+', '')) AS path
+FROM (SELECT p_partkey, concat((['', './', '././', ' .\', '../', 'a\b/', ' '])[p_partkey % {len(PATH_PARTS)} + 1], p_name, '\x.py ') AS path FROM part)""")
+def path_normal(spark: SparkSession, d: str) -> DataFrame:
+    start = F.element_at(F.array(*[F.lit(x) for x in PATH_PARTS]), (F.col("p_partkey") % len(PATH_PARTS) + 1).cast("int"))
+    return V.read(spark, d, "part").select("p_partkey", S.normal_path(F.concat(start, "p_name", F.lit("\\x.py "))).alias("path"))
+
+
 EVAL_SQL = f"{WITH}, {V.CASES_SQL.strip()}"
 MEANS_SQL = """count(*) AS case_count, count(*) FILTER (passed) AS passed_count, round_even(avg(passed::INT), 6)::DOUBLE AS pass_rate, round_even(avg(recall_at_k), 6)::DOUBLE AS recall_at_k, round_even(avg(mrr), 6)::DOUBLE AS mrr,
   round_even(avg(noise_at_k), 6)::DOUBLE AS noise_at_k, round_even(avg(definition_rank_pass::INT), 6)::DOUBLE AS definition_rank_pass_rate, round_even(avg(symbol_completeness), 6)::DOUBLE AS symbol_completeness"""
@@ -354,7 +401,7 @@ def eval_flips(spark: SparkSession, d: str) -> DataFrame:
     return E.flips(_metrics(spark, d), before)
 
 
-@query(r"SELECT item_id, unnest(list_filter(list_distinct(regexp_split_to_array(lower(text), '[^A-Za-z0-9_]+')), lambda t: t <> '')) AS token FROM benchmark")
+@query(r"SELECT item_id, unnest(list_filter(list_distinct(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+')), lambda t: t <> '')) AS token FROM benchmark")
 def query_tokens(spark: SparkSession, d: str) -> DataFrame:
     return V.read(spark, d, "benchmark").select("item_id", F.explode(S.tokens(F.col("text"))).alias("token"))
 

@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkmill.functions.scalar import newlines, tokens
-from chunkmill.functions.vector import cosine
+from chunkmill.functions.session import python_path
+from chunkmill.operators import search
 
-QUERIES, CASES = 5, 10
+#: Queries and evaluation cases are the rows whose id is divisible by this.
+EVERY = 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    python_path(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -28,9 +31,9 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five query texts and vectors; the number is fixed."""
-    q = chunks(spark, sf_dir).where((F.col("id") % 7 == 0) & (F.col("id") < 7 * QUERIES))
-    return q.select((F.col("id") / 7).cast("bigint").alias("query_id"), F.col("vector").alias("query_vector"), tokens(F.substring("code", 1, 200)).alias("query_tokens"))
+    """The query set: every chunk whose id is divisible by EVERY, with its vector and the words of its whole text."""
+    q = chunks(spark, sf_dir).where(F.col("id") % EVERY == 0)
+    return q.select((F.col("id") / EVERY).cast("bigint").alias("query_id"), F.col("vector").alias("query_vector"), tokens(F.col("code")).alias("query_tokens"))
 
 
 CHUNKS_SQL = r"""
@@ -43,26 +46,23 @@ chunks AS (
   FROM documents JOIN embeddings ON vec_id = doc_id)"""
 QUERIES_SQL = rf"""
 queries AS (
-  SELECT id // 7 AS query_id, vector AS query_vector, list_filter(list_distinct(regexp_split_to_array(lower(substr(code, 1, 200)), '[^A-Za-z0-9_]+')), lambda t: t <> '') AS query_tokens
-  FROM chunks WHERE id % 7 = 0 AND id < {7 * QUERIES})"""
+  SELECT id // {EVERY} AS query_id, vector AS query_vector, list_filter(list_distinct(regexp_split_to_array(lower(code), '[^\p{{L}}\p{{N}}_]+')), lambda t: t <> '') AS query_tokens
+  FROM chunks WHERE id % {EVERY} = 0)"""
 
 
 def case_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten labelled cases and their ten nearest chunks: case_id, rank, path, label, query_label."""
-    from pyspark.sql import Window as W
-
+    """The ten nearest chunks of each case: case_id, rank, path."""
     c = chunks(spark, sf_dir)
-    q = c.where((F.col("id") % 11 == 0) & (F.col("id") < 11 * CASES)).select((F.col("id") / 11).cast("bigint").alias("case_id"), F.col("vector").alias("case_vector"), F.col("label").alias("case_label"))
-    scored = c.select("id", "path", "vector").join(F.broadcast(q)).withColumn("score", F.round(cosine(F.col("vector"), F.col("case_vector")), 6))
-    ranked = scored.withColumn("rank", F.row_number().over(W.partitionBy("case_id").orderBy(F.col("score").desc(), "id"))).where("rank <= 10")
-    return ranked.select("case_id", "rank", "path")
+    found = search.candidates(c.select("id", "path", "vector"), queries(spark, sf_dir).drop("query_tokens"), 10)
+    return found.select(F.col("query_id").alias("case_id"), F.col("raw_rank").alias("rank"), "path")
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cases' expectations: files that hold a chunk of the query's label."""
     c = chunks(spark, sf_dir)
-    q = c.where((F.col("id") % 11 == 0) & (F.col("id") < 11 * CASES)).select((F.col("id") / 11).cast("bigint").alias("case_id"), F.col("label"))
-    expected = c.select("path", "label").distinct().join(F.broadcast(q), "label").groupBy("case_id").agg(F.array_sort(F.collect_set("path")).alias("paths"))
+    q = c.where(F.col("id") % EVERY == 0).select((F.col("id") / EVERY).cast("bigint").alias("case_id"), F.col("label"))
+    paths = c.select("path", "label").distinct().groupBy("label").agg(F.array_sort(F.collect_list("path")).alias("paths"))
+    expected = q.join(paths, "label").select("case_id", "paths")
     number = F.col("case_id")
     return expected.select(
         "case_id", F.lit(5).alias("k"), F.when(number % 5 != 4, F.filter("paths", lambda p: ~p.endswith("__init__.py"))).alias("expect_in_top_k"),
@@ -73,7 +73,7 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CASES_SQL = rf"""
-case_query AS (SELECT id // 11 AS case_id, vector AS case_vector, label FROM chunks WHERE id % 11 = 0 AND id < {11 * CASES}),
+case_query AS (SELECT id // {EVERY} AS case_id, vector AS case_vector, label FROM chunks WHERE id % {EVERY} = 0),
 results AS (
   SELECT * FROM (SELECT case_id, path, row_number() OVER (PARTITION BY case_id ORDER BY round(list_cosine_similarity(vector::DOUBLE[], case_vector::DOUBLE[]), 6) DESC, id) AS rank
   FROM chunks, case_query) WHERE rank <= 10),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 
 def windowed(events: DataFrame, every: str = "7 days", late: str = "1 day") -> DataFrame:
@@ -13,8 +14,13 @@ def windowed(events: DataFrame, every: str = "7 days", late: str = "1 day") -> D
     return rows.groupBy(F.window("time", every).alias("w")).agg(F.count("*").alias("queries"), *sums).select(F.col("w.start").alias("window_start"), "queries", "returned_tokens", "baseline_tokens_upper", "saved_tokens_upper")
 
 
+def append_windows(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append windows to Parquet files once the watermark has passed them; state holds open windows alone. For unbounded ledgers."""
+    return stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
+
+
 def run_available(stream: DataFrame, name: str) -> DataFrame:
-    """Process all that is there and return the finished windows from memory."""
+    """Process all that is there and return all windows, open ones too, from the driver's memory: for small ledgers and tests."""
     query = stream.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.table(name)

@@ -28,9 +28,9 @@ def test_chunk_id_is_uuid5(spark):
 def test_slug_and_repo_id(spark):
     assert one(spark, S.slug(F.col("n")), n="My Repo!!") == "my-repo"
     assert one(spark, S.slug(F.col("n")), n="___") == "repo"
-    from chunkmill.service import repo_id
+    from chunkmill.service import id_of_root
 
-    assert one(spark, S.repo_id(F.col("n")), n="/srv/My Repo/") == repo_id("/srv/My Repo")["repo_id"]
+    assert one(spark, S.repo_id(F.col("n")), n="/srv/My Repo/") == id_of_root("/srv/My Repo")["repo_id"]
 
 
 def test_query_tokens():

@@ -86,6 +86,41 @@ def test_symbol_search(spark):
     assert got == [("consumer.py", 1), ("consumer.py", 3), ("service.py", 1)]
 
 
+def test_file_stands_in_for_a_blank_path(spark):
+    df = spark.createDataFrame([(1, " ", "a.py", "python"), (2, "b.py", "x", "python"), (3, None, "", "python")], "id int, path string, file string, language string")
+    assert sorted(r["path"] for r in inspect.inventory(df).collect()) == ["a.py", "b.py"]
+
+
+def test_tokens_are_words_of_any_script(spark):
+    from chunkmill.functions import scalar
+
+    text = "Où est_ce, Straße-42? 日本 x²"
+    got = spark.createDataFrame([(text,)], "t string").select(scalar.tokens(F.col("t")).alias("t")).first()["t"]
+    assert sorted(got) == scalar.query_tokens(text)
+
+
+def test_candidates_carry_the_points(spark):
+    points, queries = views.chunks(spark, SF), views.queries(spark, SF)
+    a = search.candidates(points, queries, 4).select("query_id", "id", "score", "raw_rank")
+    b = search.knn(points.select("id", "vector"), queries.drop("query_tokens"), 4).select("query_id", "id", "score", "raw_rank")
+    assert a.exceptAll(b).count() == b.exceptAll(a).count() == 0 and a.count() == 4 * queries.count()
+
+
+def test_windows_are_appended(spark, tmp_path):
+    """Windows leave the state for files once the watermark has passed them."""
+    from chunkmill.streaming import ledger
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    schema = "time timestamp, returned_tokens bigint, baseline_tokens_upper bigint, saved_tokens_upper bigint"
+    rows = [("2024-01-02 00:00:00", 1, 2, 1), ("2024-01-03 00:00:00", 1, 2, 1), ("2024-02-20 00:00:00", 5, 6, 1)]
+    spark.createDataFrame(rows, "time string, returned_tokens bigint, baseline_tokens_upper bigint, saved_tokens_upper bigint").write.json(str(folder / "part"))
+    for _ in range(2):
+        stream = ledger.windowed(spark.readStream.schema(schema).json(str(folder / "part")))
+        ledger.append_windows(stream, str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
+    assert [(r["queries"], r["returned_tokens"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(2, 2)]
+
+
 def test_inventory_filter_acts_on_the_page(spark):
     df = spark.createDataFrame([(1, "a.py", "python"), (2, "a.py", "python"), (3, "a.py", "python"), (4, "b.ts", "typescript"), (5, "b.ts", "typescript"), (6, " ", "python")], "id int, path string, language string")
     total, rows = inspect.page(inspect.inventory(df), 0, 100, "python")
