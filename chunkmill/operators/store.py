@@ -7,6 +7,8 @@ vanish for good, which overwriting partitions in place doesn't allow.
 
 from __future__ import annotations
 
+from typing import Protocol
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,9 +35,23 @@ def incremental(old: DataFrame, new: DataFrame, changed: DataFrame) -> DataFrame
     return upsert(delete_by_paths(old, changed), new)
 
 
+class Snapshots(Protocol):
+    """What the facade needs of a chunk or registry table; Table is one, a test or another store may give its own."""
+
+    def repos(self) -> list[str]: ...
+    def read(self, repo_id: str) -> DataFrame: ...
+    def read_all(self) -> DataFrame: ...
+    def replace(self, repo_id: str, rows: DataFrame) -> int: ...
+    def reachable(self) -> bool: ...
+
+
 class Table:
     def __init__(self, spark: SparkSession, root: str, name: str, schema: StructType):
-        self.spark, self.root, self.schema, self.files = spark, f"{root.rstrip('/')}/{name}", schema, Files(spark)
+        self.spark, self.home, self.schema, self.files = spark, root, schema, Files(spark)
+        self.root = f"{root.rstrip('/')}/{name}"
+
+    def reachable(self) -> bool:
+        return self.files.exists(self.home)
 
     def _folder(self, repo_id: str, version: int | None = None) -> str:
         return f"{self.root}/repo_id={repo_id}" + ("" if version is None else f"/version={version}")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkmill.functions import scalar as S
+from chunkmill.functions.session import python_path
 from chunkmill.operators import evaluate as E
 from chunkmill.operators import inspect, savings, search, store, symbol
 from chunkmill.operators.chunker import chunk_files
@@ -38,28 +39,42 @@ class Outcome:
         return json.dumps({"ok": self.ok, "code": self.code, **self.body}, default=str)
 
 
-def repo_id(path: str) -> dict:
-    root = os.path.abspath(path)
+class NotARepository(ValueError):
+    """The path lies in no git working tree."""
+
+
+def id_of_root(root: str) -> dict:
     norm = root.replace("\\", "/").rstrip("/").lower()
     slug = re.sub(r"[^a-z0-9]+", "-", os.path.basename(norm)).strip("-") or "repo"
     return {"repo_id": f"{slug}-{hashlib.sha1(norm.encode()).hexdigest()[:8]}", "repo_root": root, "normalized_path": norm, "slug": slug}
 
 
+def repo_id(path: str) -> dict:
+    """The repository that a path lies in: any folder of a working tree gives the same id."""
+    found = git.top_level(path) if os.path.isdir(path) else None
+    if found is None:
+        raise NotARepository(f"not in a git repository: {path}")
+    return id_of_root(os.path.realpath(found))
+
+
 def _between(name: str, value: int, low: int, high: int | None) -> None:
     if value < low or (high is not None and value > high):
         raise ValueError(f"{name} must be between {low} and {high}")
 
 
 class Service:
-    def __init__(self, spark: SparkSession, root: str, embedder: Embedder):
+    def __init__(self, spark: SparkSession, root: str, embedder: Embedder, chunks: store.Snapshots | None = None, registry: store.Snapshots | None = None):
+        python_path(spark)
         self.spark, self.root, self.embedder = spark, root, embedder
-        self.chunks, self.registry = store.chunk_table(spark, root), store.registry_table(spark, root)
+        self.chunks, self.registry = chunks or store.chunk_table(spark, root), registry or store.registry_table(spark, root)
 
     # Indexing
 
     def index(self, path: str, repo: str | None = None, changed: list[str] | None = None) -> dict:
-        """Index a tree, or its changed files; the registry row comes last and makes it count."""
-        repo = repo or repo_id(path)["repo_id"]
+        """Index a tree, or its changed files; the registry row comes last and makes it count. Without an id, the path's whole repository."""
+        if repo is None:
+            found = repo_id(path)
+            repo, path = found["repo_id"], found["repo_root"]
         files = repo_files(self.spark, path, changed).withColumn("language", S.language_for(F.col("path")))
         skipped = files.where("skipped is not null").count()
         chunks = embed_chunks(chunk_files(files.where("skipped is null")).withColumn("repo_id", F.lit(repo)), self.embedder)
@@ -77,22 +92,23 @@ class Service:
 
     def reindex(self, path: str, incremental: bool = False) -> dict:
         """Full, or only what changed since the indexed commit; nothing where that is the current one."""
-        repo = repo_id(path)["repo_id"]
-        status = self.repo_status(path)
+        found = repo_id(path)
+        repo, root = found["repo_id"], found["repo_root"]
+        status = self.repo_status(root)
         if incremental and status["registered"]:
             if not status["stale"]:
                 return {"repo_id": repo, "up_to_date": True}
             if status["changed_files"]:
-                return self.index(path, repo, status["changed_files"])
-        return self.index(path, repo)
+                return self.index(root, repo, status["changed_files"])
+        return self.index(root, repo)
 
     # Introspection
 
     def status(self) -> dict:
-        return {"status": "ok", "api_version": "1", "embed_model": getattr(self.embedder, "model", "hash"), "embed_dim": self.embedder.dim, "store_connected": self.chunks.files.exists(self.root)}
+        return {"status": "ok", "api_version": "1", "embed_model": getattr(self.embedder, "model", "hash"), "embed_dim": self.embedder.dim, "store_connected": self.chunks.reachable()}
 
     def health(self) -> Outcome:
-        return Outcome(C.OK if self.chunks.files.exists(self.root) else C.UNAVAILABLE, self.status())
+        return Outcome(C.OK if self.chunks.reachable() else C.UNAVAILABLE, self.status())
 
     def list_repos(self) -> DataFrame:
         return self.registry.read_all().select("repo_id", "indexed_sha", "indexed_at", "chunk_count").orderBy("repo_id")
@@ -117,6 +133,7 @@ class Service:
         return self.files(repo, **page) if files else self.stats(repo)
 
     def repo_status(self, path: str) -> dict:
+        """Registered, and stale: indexed at another commit than the tree's."""
         repo, head = repo_id(path)["repo_id"], git.head(path)
         row = self.get_repo(repo)
         sha = row["indexed_sha"] if row else None
@@ -137,7 +154,7 @@ class Service:
             points = self.chunks.read(repo)
             words = F.array(*[F.lit(t) for t in S.query_tokens(q)]).cast("array<string>")
             candidates = search.nearest(points, embed_query(self.embedder, q), max(limit, limit * C.OVERFETCH)).withColumn("query_tokens", words)
-            return search.rank_candidates(candidates, limit).select("path", "language", "start_line", "end_line", "code", "symbol", "score", "rank").orderBy("rank")
+            return _hits(search.rank_candidates(candidates, limit)).orderBy("rank")
         except Exception:
             if best_effort:
                 return self.spark.createDataFrame([], "path string, language string, start_line int, end_line int, code string, symbol string, score double, rank int")
@@ -147,11 +164,18 @@ class Service:
         """Search, savings against reading the whole files, and a ledger entry."""
         if not q or not q.strip():
             return Outcome(C.BAD_INPUT, {"message": "the query is blank"})
-        repo = repo_id(path)["repo_id"]
+        try:
+            at = repo_id(path)
+        except NotARepository as e:
+            return Outcome(C.NOT_A_REPO, {"message": str(e)})
+        repo, path = at["repo_id"], at["repo_root"]
         found = self.search(repo, q, limit)
         if found is None:
             return Outcome(C.NOT_INDEXED, {"repo_id": repo})
         hits = [r.asDict() for r in found.collect()]
+        return self._answer(repo, q, hits, path)
+
+    def _answer(self, repo: str, q: str, hits: list[dict], path: str) -> Outcome:
         block = self._savings_of(hits, path)
         ledger.append(self.spark, self._ledger(repo), {"repo_id": repo, "query": q, "count": len(hits), **{k: block[k] for k in ("returned_tokens", "baseline_tokens_upper", "saved_tokens_upper", "files_counted", "files_missing")}})
         return Outcome(C.OK, {"repo_id": repo, "query": q, "count": len(hits), "results": hits, "savings": block})
@@ -176,7 +200,13 @@ class Service:
 
     def smart_search(self, q: str, path: str, limit: int = C.DEFAULT_LIMIT, mode: str = "semantic", identifier: str | None = None, may_index: bool = True) -> Outcome:
         """Search with fallbacks: without a store, an index or hits the caller is told to search the workspace; that is no failure."""
-        repo = repo_id(path)["repo_id"]
+        try:
+            found = repo_id(path)
+        except NotARepository as e:
+            return Outcome(C.NOT_A_REPO, {"message": str(e)})
+        repo, path = found["repo_id"], found["repo_root"]
+        if not (identifier or q or "").strip():
+            return Outcome(C.BAD_INPUT, {"message": "the query is blank"})
         out = {"repo_id": repo, "query": q, "mode": mode, "count": 0, "results": [], "savings": None, "used_index": False, "fallback_reason": None, "fallback_message": None, "next_action": None, "indexed_this_run": False, "index_result": None, "index_stale": False, "changed_files_not_indexed": None}
         if mode == "symbol":
             hits = [r.asDict() for r in self.symbol_search(path, identifier or q).orderBy("path", "start_line").collect()]
@@ -208,11 +238,31 @@ class Service:
         return savings.rollup(ledger.read(self.spark, self._ledger(repo)), days, moment).first().asDict()
 
     def run_evaluation(self, cases: DataFrame, path: str, baseline: dict | None = None, tolerance: float = C.EVAL_TOLERANCE, update: str | None = None) -> dict:
-        """Run every case (a hand-written list) against an indexed tree and evaluate; update names a baseline file to write."""
-        found = []
+        """Run every case (a hand-written list) against an indexed tree and evaluate; update names a baseline file to write.
+
+        Semantic cases with the same limit are one search; a tree that isn't indexed is indexed first.
+        """
+        at = repo_id(path)
+        repo, root = at["repo_id"], at["repo_root"]
+        found, asked = [], {}
         for case in cases.collect():
-            answer = self.smart_search(case["query"], path, min(C.MAX_LIMIT, max(case["k"], C.DEFAULT_LIMIT)), case["mode"], case["query"])
-            found += [(case["case_id"], k + 1, h["path"]) for k, h in enumerate(answer.body.get("results") or [])]
+            if case["mode"] == "symbol":
+                answer = self.smart_search(case["query"], root, mode="symbol", identifier=case["query"])
+                found += [(case["case_id"], k + 1, h["path"]) for k, h in enumerate(answer.body.get("results") or [])]
+            elif (case["query"] or "").strip():
+                asked.setdefault(min(C.MAX_LIMIT, max(case["k"], C.DEFAULT_LIMIT)), []).append((case["case_id"], case["query"]))
+        if asked and self.get_repo(repo) is None:
+            self.index(root, repo)
+        for limit, own in asked.items():
+            rows = [(k, [float(x) for x in embed_query(self.embedder, q)], S.query_tokens(q)) for k, (_, q) in enumerate(own)]
+            queries = self.spark.createDataFrame(rows, "query_id int, query_vector array<double>, query_tokens array<string>")
+            hits: dict[int, list[dict]] = {k: [] for k in range(len(own))}
+            ranked = search.semantic_search(self.chunks.read(repo), queries, limit)
+            for r in _hits(ranked, "query_id").orderBy("query_id", "rank").collect():
+                hits[r["query_id"]].append(r.asDict())
+            for k, (case_id, q) in enumerate(own):
+                self._answer(repo, q, hits[k], root)
+                found += [(case_id, h["rank"], h["path"]) for h in hits[k]]
         results = self.spark.createDataFrame(found, "case_id string, rank int, path string").withColumn("path", S.normal_path(F.col("path")))
         frames = {} if baseline is None else eval_inputs.baseline_frames(self.spark, baseline)
         report = self.evaluate(cases, results, tolerance=tolerance, **frames)
@@ -231,6 +281,12 @@ class Service:
         return {"code": int(bool(worse or failed)), "cases": metrics, "aggregate": total, "by_tag": E.by_tag(metrics), "regressions": worse, "unexpected_must_pass_failures": failed}
 
 
+def _hits(ranked: DataFrame, *more: str) -> DataFrame:
+    """Hits with the defaults of missing values: empty path and code, line 0."""
+    filled = [F.coalesce("path", F.lit("")).alias("path"), "language", F.coalesce("start_line", F.lit(0)).alias("start_line"), F.coalesce("end_line", F.lit(0)).alias("end_line"), F.coalesce("code", F.lit("")).alias("code")]
+    return ranked.select(*more, *filled, "symbol", "score", "rank")
+
+
 def _tree(spark: SparkSession, path: str, listed: list[str] | None) -> DataFrame:
     """(path, content) of any kind of text file, read in tasks."""
     names = list(walk(path)) if listed is None else listed
@@ -249,5 +305,3 @@ def _tree(spark: SparkSession, path: str, listed: list[str] | None) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], names=["path", "content"])
 
     return spark.createDataFrame([(n,) for n in names], "path string").mapInArrow(read, "path string, content binary")
-
-

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import re
 import urllib.request
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Protocol
 
 import pyarrow as pa
@@ -21,32 +23,46 @@ class Embedder(Protocol):
     def embed(self, texts: list[str]) -> list[list[float]]: ...
 
 
-def _checked(vectors: list[list[float]], texts: list[str], dim: int) -> list[list[float]]:
-    if len(vectors) != len(texts):
-        raise ValueError(f"{len(texts)} texts, {len(vectors)} vectors")
-    for v in vectors:
-        if len(v) != dim:
-            raise ValueError(f"expected {dim} dimensions, got {len(v)}")
+class BadVectors(ValueError):
+    """The embedder's answer doesn't fit what was asked: wrong number or length of vectors."""
+
+
+def fitting(vectors: list[list[float]], count: int, dim: int) -> list[list[float]]:
+    """The vectors, if there are count of them and all have dim numbers."""
+    sizes = {len(v) for v in vectors}
+    if len(vectors) != count or sizes - {dim}:
+        raise BadVectors(f"asked for {count} vectors of {dim} dimensions, got {len(vectors)} of {sorted(sizes)}")
     return vectors
 
 
+# The route of the embedding service.
+ROUTE = "/v1/embeddings"
+
+
+@dataclass
 class HttpEmbedder:
-    def __init__(self, url: str, model: str = EMBED_MODEL, dim: int = EMBED_DIM, batch: int = EMBED_BATCH, timeout: float = 120.0, post: Callable[[str, dict, float], dict] | None = None):
-        self.url, self.model, self.dim, self.batch, self.timeout, self.post = url.rstrip("/"), model, dim, batch, timeout, post or _post
+    """An embedding service over HTTP that takes and gives JSON; requests hold at most batch texts."""
+
+    url: str
+    model: str = EMBED_MODEL
+    dim: int = EMBED_DIM
+    batch: int = EMBED_BATCH
+    timeout: float = 120.0
+    post: Callable[[str, dict, float], dict] | None = None
 
     def embed(self, texts: list[str]) -> list[list[float]]:
-        out: list[list[float]] = []
-        for k in range(0, len(texts), self.batch):
-            part = texts[k : k + self.batch]
-            data = self.post(f"{self.url}/v1/embeddings", {"model": self.model, "input": part}, self.timeout)["data"]
-            out += _checked([d["embedding"] for d in sorted(data, key=lambda d: d.get("index", 0))], part, self.dim)
-        return out
+        return [v for some in itertools.batched(texts, self.batch) for v in self._ask(list(some))]
+
+    def _ask(self, texts: list[str]) -> list[list[float]]:
+        answer = (self.post or post_json)(self.url.rstrip("/") + ROUTE, {"model": self.model, "input": texts}, self.timeout)
+        placed = {row.get("index", k): row["embedding"] for k, row in enumerate(answer["data"])}
+        return fitting([placed[k] for k in sorted(placed)], len(texts), self.dim)
 
 
-def _post(url: str, body: dict, timeout: float) -> dict:
-    request = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json"})
-    with urllib.request.urlopen(request, timeout=timeout) as answer:
-        return json.load(answer)
+def post_json(url: str, body: dict, timeout: float) -> dict:
+    head = {"Content-Type": "application/json"}
+    with urllib.request.urlopen(urllib.request.Request(url, data=json.dumps(body).encode(), headers=head, method="POST"), timeout=timeout) as answer:
+        return json.loads(answer.read())
 
 
 class HashEmbedder:
@@ -69,7 +85,7 @@ class HashEmbedder:
 
 def embed_query(embedder: Embedder, text: str) -> list[float]:
     """Queries carry the prefix, code doesn't."""
-    return _checked(embedder.embed([QUERY_PREFIX + text]), [text], embedder.dim)[0]
+    return fitting(embedder.embed([QUERY_PREFIX + text]), 1, embedder.dim)[0]
 
 
 def embed_chunks(chunks: DataFrame, embedder: Embedder, text: str = "text") -> DataFrame:
@@ -78,7 +94,7 @@ def embed_chunks(chunks: DataFrame, embedder: Embedder, text: str = "text") -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             strings = [CODE_PREFIX + (t or "") for t in batch.column(text).to_pylist()]
-            vectors = [v for k in range(0, len(strings), EMBED_BATCH) for v in _checked(embedder.embed(strings[k : k + EMBED_BATCH]), strings[k : k + EMBED_BATCH], embedder.dim)]
+            vectors = [v for some in itertools.batched(strings, EMBED_BATCH) for v in fitting(embedder.embed(list(some)), len(some), embedder.dim)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(vectors, pa.list_(pa.float32()))], names=[*batch.schema.names, "vector"])
 
     fields = ", ".join(f"`{n}` {t}" for n, t in chunks.dtypes)
