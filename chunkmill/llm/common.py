@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from chunkmill.functions.session import python_path
+
 #: Rows in an Arrow batch: long documents stay a bounded share of a worker's memory.
 BATCH_ROWS = 1000
 
@@ -18,12 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def python_path(spark: SparkSession) -> None:
-    """Let Python workers import this package where it lies beside the driver and isn't installed."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    spark.sparkContext.environment.setdefault("PYTHONPATH", root)
-
-
 def arrow_limits(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bound the Arrow batches sent to Python workers by rows and bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -31,10 +29,18 @@ def arrow_limits(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; where none is configured (tests), a new local one."""
+    """The folder that driver and executors share, spark.checkpoint.dir.
+
+    Where none is configured, a local session gets a new temporary folder, which goes with the driver; on a cluster, where
+    executors couldn't see it, that is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='chunkmill-')}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="chunkmill-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        base = f"file://{folder}"
         spark.sparkContext.setCheckpointDir(base)
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -77,13 +83,30 @@ def read_file(uri: str, offset: int = 0, length: int | None = None) -> bytes:
         return source.read() if length is None else source.read(length)
 
 
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 _caches: dict[str, Callable[[], None]] = {}
 
 
 def use_cache(owner: str, clear: Callable[[], None]) -> None:
-    """Let one operator at a time keep things in a Python worker: what others have kept goes when this one starts."""
-    for name, drop in _caches.items():
-        if name != owner:
-            drop()
+    """Let one operator at a time keep things in a Python worker: what others have kept goes when this one starts, back to the system too."""
+    others = [drop for name, drop in _caches.items() if name != owner]
+    for drop in others:
+        drop()
+    if others:
+        give_back()
     _caches.clear()
     _caches[owner] = clear

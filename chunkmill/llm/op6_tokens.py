@@ -34,7 +34,7 @@ BITS, BLOCK = 8, 512
 #: Tokens after which a task starts the next file.
 FILE_TOKENS = 4_000_000
 #: Distinct pieces that a worker remembers.
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 250_000
 END_ID = 2
 
 
@@ -148,7 +148,7 @@ _MARK[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 _LEAD = np.zeros(256, bool)
 _LEAD[[0xC3, 0xC4, 0xC5, 0xD0, 0xD1]] = True
 #: Bytes of texts that are cut and looked up at a time.
-PASS_BYTES = 8 << 20
+PASS_BYTES = 2 << 20
 
 
 def cuts(data: np.ndarray, stop: np.ndarray) -> np.ndarray:
