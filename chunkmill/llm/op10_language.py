@@ -140,8 +140,8 @@ def fit(docs: DataFrame) -> Model | None:
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs with lang_pred, score and rejected; the rows pass through, column by column, in one scan."""
-    spark = docs.sparkSession
+    """docs with lang_pred, score and rejected, which replace columns of these names; the rows pass through, column by column, in one scan."""
+    spark, docs = docs.sparkSession, docs.drop("lang_pred", "score", "rejected")
     arrow_limits(spark, 500)
     shared = spark.sparkContext.broadcast(model)
     added = [("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())]

@@ -1,8 +1,8 @@
 """Benchmark decontamination with an FM-index per training shard.
 
-Benchmark items become windows of WINDOW consecutive words (shorter items: one window). They are prepared in blocks of
-bounded size in the shared folder; every task holds one block at a time, so neither the driver nor a worker depends on
-the benchmark's size. A shard is a few MB of whole documents. Its words are ids of the block's vocabulary; maximal runs
+Benchmark items become windows of WINDOW consecutive words (shorter items: one window). Tasks prepare them in blocks of
+bounded size in the shared folder, and a task that searches holds one block at a time, so neither the driver nor a worker
+depends on the benchmark's size; the driver sees the blocks' paths alone. A shard is a few MB of whole documents. Its words are ids of the block's vocabulary; maximal runs
 of known words that could hold a window form the indexed sequence, and all else can't take part in an occurrence.
 
 Over that sequence: suffix array by prefix doubling, Burrows-Wheeler transform, a wavelet matrix for ranks, backward
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,29 +60,35 @@ class Block:
 
 
 def prepare(benchmark: DataFrame, size: int = WINDOW, block_words: int = BLOCK_WORDS) -> list[str]:
-    """Stream the benchmark through the driver, at most a block at a time, into block files; their paths."""
+    """Write the benchmark's windows into block files, in tasks; the files' paths. Each attempt of a task has names of its own."""
     folder = scratch(benchmark.sparkSession, "benchmark")
-    paths: list[str] = []
-    held: list[tuple[str, list[tuple[bytes, ...]]]] = []
-    n = 0
 
-    def flush() -> None:
-        nonlocal held, n
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[str, list[tuple[bytes, ...]]]] = []
+        n = 0
+
+        def flush() -> pa.RecordBatch:
+            path = f"{folder}/block-{uuid.uuid4().hex}.pickle"
+            write_file(path, pickle.dumps(Block(held, size)))
+            return pa.RecordBatch.from_pydict({"path": [path]})
+
+        for batch in batches:
+            for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                own = windows(words(text), size)
+                for k in range(0, len(own), block_words):
+                    part = own[k : k + block_words]
+                    held.append(("null" if item is None else item, part))
+                    n += len(part)
+                    if n >= block_words:
+                        yield flush()
+                        held, n = [], 0
         if held:
-            paths.append(f"{folder}/block-{len(paths):06d}.pickle")
-            write_file(paths[-1], pickle.dumps(Block(held, size)))
-        held, n = [], 0
-
-    for row in benchmark.select(F.col("item_id").cast("string"), "text").toLocalIterator():
-        own = windows(words(row["text"]), size)
-        for k in range(0, len(own), block_words):
-            part = own[k : k + block_words]
-            held.append(("null" if row["item_id"] is None else row["item_id"], part))
-            n += len(part)
-            if n >= block_words:
-                flush()
-    flush()
-    return paths
+            yield flush()
+
+    # Few large blocks rather than one for each input file: a shard is searched once for each block.
+    letters = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    items = benchmark.select(F.col("item_id").cast("string"), "text").coalesce(max(1, letters // (8 * block_words)))
+    return sorted(r["path"] for r in items.mapInArrow(run, "path string").collect())
 
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
@@ -255,12 +262,14 @@ def search_shard(documents: list[str | None], blocks: list[str]) -> list[tuple[i
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """docs with n_words, spans ("start:end" of hit words, comma-joined), n_hit, n_items, items_sha256 and contaminated."""
+    """docs with n_words, spans ("start:end" of hit words, comma-joined), n_hit, n_items, items_sha256 and contaminated, which replace columns of these names."""
     spark = docs.sparkSession
-    blocks = prepare(benchmark, size)
     arrow_limits(spark)
+    blocks = prepare(benchmark, size)
     added = pa.schema([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("spans", pa.string())])
 
+    docs = docs.drop(*added.names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             got = iter(search_shard([t for b in held for t in b.column("text").to_pylist()], blocks))

@@ -137,13 +137,34 @@ def decide(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = S
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The documents, each row as often as the mix takes it."""
-    taken = decide(docs, **options).where("copies > 0").select(F.col("key").alias("__mix_key"), F.col("copies").alias("__mix_copies"))
-    out = docs.withColumn("__mix_key", key_of()).join(taken, "__mix_key")
-    return out.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies")))).select(*[out[c] for c in docs.columns])
+    """The documents, each row as often as the mix takes it. Columns of any name pass through."""
+    taken = decide(docs, **options).where("copies > 0").select("key", "copies")
+    rows = docs.select(key_of().alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(taken, "key")
+    each = rows.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    return each.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decide(table(spark, sf_dir, "documents"))
     each = out.withColumn("__row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_rows"))))
     return each.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "source")
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources, their sizes and targets: the part of the mix that SQL can express."""
+    docs = table(spark, sf_dir, "documents").select("source", size_of(F.col("text")).alias("size"))
+    return targets(docs.groupBy("source").agg(F.sum("size").alias("source_size"))).withColumn("target", F.round("target", 4))
+
+
+TARGETS_SQL = f"""
+WITH d AS (SELECT source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n FROM d GROUP BY source),
+w AS (SELECT source, n, [{", ".join(f"{w}.0" for w in WEIGHTS)}][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1] AS weight FROM s),
+l AS (SELECT a.n * {MOST} / a.weight AS level FROM w a),
+t AS (SELECT min(level) AS level FROM (
+  SELECT l.level, sum(least(w.n * {MOST}, l.level * w.weight)) AS given FROM l, w GROUP BY l.level) WHERE given >= {SHARE} * (SELECT sum(n) FROM s)),
+u AS (SELECT (SELECT level FROM t) AS above, coalesce((SELECT max(level) FROM l WHERE level < (SELECT level FROM t)), 0) AS below),
+f AS (SELECT sum(CASE WHEN n * {MOST} / weight <= below THEN n * {MOST} ELSE 0 END) AS fixed, sum(CASE WHEN n * {MOST} / weight <= below THEN 0 ELSE weight END) AS free FROM w, u)
+SELECT source, n AS source_size, round(CASE WHEN n * {MOST} / weight <= below THEN n * {MOST} ELSE least(n * {MOST}, weight * ({SHARE} * (SELECT sum(n) FROM s) - fixed) / free) END, 4)::DOUBLE AS target
+FROM w, u, f
+"""

@@ -21,8 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_minhash": op8_minhash.op8_minhash,
         "op9_suffix_dedup": op9_suffix_dedup.op9_suffix_dedup,
         "op10_language": op10_language.op10_language,
+        "mixing_targets": op7_mixing.mixing_targets,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": op3_decontaminate.SQL, "op4_warc": op4_warc.SQL, "op8_minhash": op8_minhash.SQL, "op9_suffix_dedup": op9_suffix_dedup.SQL}
+    return {"op3_decontaminate": op3_decontaminate.SQL, "op4_warc": op4_warc.SQL, "op8_minhash": op8_minhash.SQL, "op9_suffix_dedup": op9_suffix_dedup.SQL, "mixing_targets": op7_mixing.TARGETS_SQL}

@@ -66,7 +66,7 @@ def hits(text, items, size=10):
 @pytest.mark.parametrize("block_words", [fm.BLOCK_WORDS, 7])
 def test_decontamination(spark, monkeypatch, block_words):
     prepare = fm.prepare
-    monkeypatch.setattr(fm, "prepare", lambda b, size: prepare(b, size, block_words))
+    monkeypatch.setattr(fm, "prepare", lambda b, size: prepare(b.repartition(3), size, block_words))
     items = [(k, prose(k, 14 + k)) for k in range(6)] + [(10, "Short É item"), (11, None), (12, " .. "), (3, prose(50, 12)), (2, prose(2, 16))]
     texts = [prose(100, 50) + ", " + prose(1, 15).upper() + "! " + prose(101, 5), prose(3, 17), None, "", "..", "short é ITEM short é item", prose(102, 3000), prose(2, 9), prose(4, 18) + " " + prose(4, 18), prose(50, 12)] + [prose(5, 19)] * 3
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -82,6 +82,21 @@ def test_decontamination(spark, monkeypatch, block_words):
     assert {r["doc_id"] for r in clean.collect()} == {k for k in got if not got[k]["contaminated"]}
 
 
+def test_clashing_columns_pass_or_are_replaced(spark):
+    """Columns of any name pass through the stages; what an operator adds replaces a column of that name."""
+    frame = docs(spark, ["a b c d e f g h i j k"] * 3).withColumn("spans", F.lit("mine")).withColumn("__mix_key", F.lit("k")).withColumn("score", F.lit("s")).withColumn("key", F.lit(7)).withColumn("row", F.lit("r")).withColumn("copies", F.lit(0))
+    bench = spark.createDataFrame([(1, "b c d e f g h i j k l")], "item_id long, text string")
+    assert fm.contamination(frame, bench).first()["spans"] == "1:11"
+    clean = fm.drop_contaminated(frame, bench.where("item_id > 1"))
+    assert clean.columns == frame.columns and clean.first()["spans"] == "mine"
+    mixed = mixing.mix(frame)
+    assert mixed.columns == frame.columns and {(r["__mix_key"], r["key"], r["row"], r["copies"]) for r in mixed.collect()} == {("k", 7, "r", 0)}
+    assert near.keep_one(frame).columns == frame.columns
+    from chunkmill.llm import op10_language as language
+
+    assert language.predict(frame, None).first()["score"] == 0.0 and language.keep_identified(frame).columns == frame.columns
+
+
 def test_decontamination_of_nothing(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert fm.contamination(docs(spark, ["a b"]), none).first()["contaminated"] is False
