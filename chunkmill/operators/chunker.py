@@ -104,6 +104,8 @@ _MODIFIERS = r"(?:(?:public|private|protected|internal|static|abstract|sealed|pa
 _ATTRIBUTES = r"(?:\[[^\]\n]*\]\s*)*"
 _CS_CONTAINER = re.compile(rf"{_ATTRIBUTES}{_MODIFIERS}\b(?:class|struct|interface|record(?:\s+(?:class|struct))?|namespace)\s+([A-Za-z_][\w.]*)")
 _CS_METHOD = re.compile(rf"{_ATTRIBUTES}{_MODIFIERS}(?:~\s*)?(?:[A-Za-z_][\w.<>,\[\]?]*(?:\s*<[^(){{}};=]*>)?[\s]+)?(?<![\w.])([A-Za-z_]\w*)\s*(?:<[^(){{}};]*>)?\s*\(")
+#: A function among top-level statements has a type, which a call hasn't.
+_LOCAL = re.compile(r"\s*(?!(?:await|return|new|throw|else|yield|in|is|as|not|and|or|case|goto)\b)[A-Za-z_][\w.<>,\[\]?\s]*[\s>\]?][A-Za-z_]\w*\s*(?:<[^(){};]*>)?\s*\(\Z")
 _JS_FUNCTION = re.compile(r"(?:\basync\s+)?\bfunction\b\s*\*?\s*([A-Za-z_$][\w$]*)\s*(?:<[^(){}]*>)?\s*\(")
 _JS_METHOD = re.compile(r"(?:(?:public|private|protected|static|async|override|readonly|get|set)\s+)*\*?\s*(#?[A-Za-z_$][\w$]*)\s*(?:<[^(){}]*>)?\s*\(")
 _JS_CLASS = re.compile(r"\bclass\s+([A-Za-z_$][\w$]*)")
@@ -154,6 +156,17 @@ def _owners(code: str) -> list[int]:
     return out
 
 
+def _objects(code: str) -> set[int]:
+    """Open braces of object literals, by what stands before them."""
+    out, before = set(), ""
+    for k, c in enumerate(code):
+        if c == "{" and (before in ("=", "(", ",", ":", "[", "?") or code[max(0, k - 40) : k].rstrip().endswith("return")):
+            out.add(k)
+        if not c.isspace():
+            before = c
+    return out
+
+
 def brace_spans(text: str, language: str) -> list[Span]:
     code = blanked(text)
     owner = _owners(code)
@@ -174,9 +187,12 @@ def brace_spans(text: str, language: str) -> list[Span]:
             found.append((start, body[1], name))
     candidates: list[tuple[int, int, str]] = []
     if not csharp:
+        bodies |= _objects(code)
         candidates += [(m.start(), m.end() - 1, m[1]) for m in _JS_FUNCTION.finditer(code)]
     for m in (_CS_METHOD if csharp else _JS_METHOD).finditer(code):
-        if owner[m.end() - 1] not in bodies or m[1] in _NOT_NAMES:
+        if m[1] in _NOT_NAMES:
+            continue
+        if owner[m.end() - 1] not in bodies and not (csharp and owner[m.end() - 1] < 0 and _LOCAL.match(m[0])):
             continue
         k = m.start() - 1
         while k >= 0 and code[k].isspace():
