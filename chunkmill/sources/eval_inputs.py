@@ -1,7 +1,8 @@
-"""Evaluation inputs and the baseline file: cases from JSON or (where PyYAML is installed) YAML, baselines as JSON."""
+"""Evaluation inputs and the baseline file: cases from JSON or YAML, baselines as JSON."""
 
 from __future__ import annotations
 
+import importlib.util
 import json
 import os
 
@@ -9,20 +10,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkmill.plans.schema import CASE, EVAL_K
+from chunkmill.sources import plain_yaml
 
 
 def load(path: str):
     with open(path, encoding="utf-8") as source:
         text = source.read()
     if path.endswith((".yaml", ".yml")):
-        try:
-            import yaml
-        except ImportError as e:
-            raise RuntimeError("PyYAML isn't installed; give the cases as JSON") from e
-        return yaml.safe_load(text)
+        return _yaml(text)
     return json.loads(text)
 
 
+def _yaml(text: str):
+    """By PyYAML where it is installed, else by the reader for lists of records."""
+    if importlib.util.find_spec("yaml"):
+        import yaml
+
+        return yaml.safe_load(text)
+    return plain_yaml.load(text)
+
+
 def cases(spark: SparkSession, items: list[dict]) -> DataFrame:
     """Case records with defaults; absent expectations stay null."""
     rows = []

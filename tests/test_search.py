@@ -1,3 +1,5 @@
+import importlib.util
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,6 +108,46 @@ def test_candidates_carry_the_points(spark):
     assert a.exceptAll(b).count() == b.exceptAll(a).count() == 0 and a.count() == 4 * queries.count()
 
 
+def test_cases_from_yaml(spark, tmp_path):
+    from chunkmill.sources import eval_inputs, plain_yaml
+
+    text = """# cases
+- id: one   # a comment
+  query: "where is \\"x: y\\" # not one"
+  k: 7
+  expect_in_top_k:
+    - "a/b.py"
+    - 'it''s.py'
+  expect_rank_above:
+    above: a.py
+    below: b.py
+  must_pass: true
+  tags: [x, "y, z"]
+
+- id: two
+  query: plain words, a url http://h/p#q
+  must_pass: false   # softer
+  expect_all:
+  - c.py
+"""
+    (tmp_path / "cases.yaml").write_text(text)
+    want = [
+        {"id": "one", "query": 'where is "x: y" # not one', "k": 7, "expect_in_top_k": ["a/b.py", "it's.py"], "expect_rank_above": {"above": "a.py", "below": "b.py"}, "must_pass": True, "tags": ["x", "y, z"]},
+        {"id": "two", "query": "plain words, a url http://h/p#q", "must_pass": False, "expect_all": ["c.py"]},
+    ]
+    assert plain_yaml.load(text) == want
+    if importlib.util.find_spec("yaml"):
+        import yaml
+
+        assert yaml.safe_load(text) == want
+    rows = {r["case_id"]: r for r in eval_inputs.load_cases(spark, str(tmp_path / "cases.yaml")).collect()}
+    assert rows["one"]["tags"] == ["x", "y, z"] and rows["two"]["k"] == 5 and rows["one"]["expect_rank_above"]["below"] == "b.py"
+    assert plain_yaml.load("a: 1.5\nb:\n  - - 1\n    - 2\n  - {c: d}\ne:\n") == {"a": 1.5, "b": [[1, 2], {"c": "d"}], "e": None}
+    for bad in ("a: &x 1", "a: [1", "a:\n\t- 1", "a: 'x", "k: 1\n  l: 2"):
+        with pytest.raises(plain_yaml.YamlError):
+            plain_yaml.load(bad)
+
+
 def test_windows_are_appended(spark, tmp_path):
     """Windows leave the state for files once the watermark has passed them."""
     from chunkmill.streaming import ledger
