@@ -6,7 +6,6 @@ Prints one JSON object and ends with the outcome's code.
 from __future__ import annotations
 
 import argparse
-import json
 import os
 import sys
 
