@@ -422,3 +422,15 @@ def test_cover_meets_every_shift():
 
 def test_repeats_of_nothing(spark):
     assert suffix.remove_repeats(docs(spark, [])).count() == 0
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from chunkmill.llm.common import shared_dir
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda name, other: other), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(session)
+    session.conf.get = lambda name, other: "hdfs://shared/folder/"
+    assert shared_dir(session) == "hdfs://shared/folder"
