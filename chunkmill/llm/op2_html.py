@@ -7,7 +7,7 @@ labelled pages: a fixed set that is built from parts, a third of which have name
 words and tags finds the contiguous run with the largest sum; blocks inside it that score below zero, such as an advert
 between two paragraphs, are left out of the text, and cost a run inside an article no more than a tag does. Blocks end at block-level tags; <br> counts as white space.
 
-Names on an element that holds an article, or a main heading with paragraphs, say nothing about what is inside.
+Names on an element that holds the first article, or a main heading with paragraphs, say nothing about what is inside.
 
 Defined results: null html is an empty text, as is a page without a run above zero; cut-off pages, unclosed elements,
 comments, scripts and quoted ">" are read to the end; form controls, noscript, iframes and the like have no words, formulas
@@ -39,6 +39,8 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 CELL = {"td", "th", "br"}
 #: Bound of a word's score; score of a tag (from -1 to -0.02, precision and recall on held-out labelled pages differ by less than 0.002).
 MOST, TAG = 4.0, -0.1
+#: What the elements around can add at most to what speaks against an element; a sum that no element inside makes good.
+CAP, LOST = 2.0, -2.8
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|select|iframe|object|canvas|button)\b(?>[^>"']|"[^"]*"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"""
     r"""|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?>[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""",
@@ -161,10 +163,11 @@ class Page:
 
     @staticmethod
     def _wrappers(tokens: list[tuple]) -> set[int]:
-        """Start tags of elements that hold an article, or a main heading and two paragraphs."""
+        """Start tags of elements that hold the first article, or a main heading and two paragraphs."""
         out: set[int] = set()
         stack: list[tuple[str, int, tuple[int, int, int]]] = []
         names: Counter = Counter()
+        firsts: set[str] = set()
         seen = [0, 0, 0]  # articles, main headings, paragraphs
 
         def close() -> None:
@@ -186,7 +189,8 @@ class Page:
                 continue
             if stack and stack[-1][0] == "p" and name == "p":
                 close()
-            seen[0] += name in ("article", "main")
+            seen[0] += name in ("article", "main") and name not in firsts
+            firsts.add(name)
             seen[1] += name == "h1"
             seen[2] += name == "p"
             stack.append((name, k, tuple(seen)))
@@ -326,7 +330,7 @@ class Weights:
             w -= 0.5 * slope / np.sqrt(speed)
         self.word = {f: float(w[k]) for f, k in number.items()}
         self.plain = float(w[-1])
-        self.tag = TAG
+        self.tag, self.cap = TAG, CAP
 
     def block(self, around: tuple[float, float], own: list[str]) -> tuple[float, float]:
         """Score of each word of a block; and of where it stands, whatever its length and ending."""
@@ -337,7 +341,8 @@ class Weights:
     def around(self, before: tuple[float, float] | None, fresh) -> tuple[float, float]:
         """The sum over the elements around, and the largest of such sums on the way in."""
         total, most = before or (self.plain, 0.0)
-        total += sum(self.word.get(f, 0.0) for f in fresh)
+        more = sum(self.word.get(f, 0.0) for f in fresh)
+        total = total + min(more, 0.0) if total < LOST else min(total, self.cap) + more
         return total, max(most, total)
 
 

@@ -111,6 +111,7 @@ def test_main_text(html, text):
     ("<article><h1>Energy</h1><p>We know <math><mi>E</mi><mo>=</mo><mi>m</mi></math> well.</p><p>The thing.</p></article>", "Energy\n\nWe know E=m well.\n\nThe thing."),
     ("<div class='page has-sidebar with-comments'><div class=main><h1>A title here</h1><p>First paragraph, quite long one.</p><p>Second paragraph of it.</p></div><div class=sidebar><p>Some side text of the page.</p></div></div>", "A title here\n\nFirst paragraph, quite long one.\n\nSecond paragraph of it."),
     ("<article><header><h1>The title</h1><p class=byline>By Ann, 3 May</p></header><p>Text is here and long enough.</p><ul><li>one</li><li>two</li></ul><p>Short.</p></article>", "The title\n\nText is here and long enough.\n\none\n\ntwo\n\nShort."),
+    ("<main><article class=post><header><h2 class=entry-title>Cold dough</h2></header><div class=entry-content><p>Bread rises slowly when it is cold, and nobody minds.</p><div class='code-block ad-slot'>Advertisement Buy a mixer today!</div><p>It ends here.</p></div></article><div id=comments class=comments-area><ol><li><article class=comment-body><p>I tried this and it worked very well for me, thanks a lot!</p></article></li></ol></div></main><aside><ul><li><a>Warm dough and its troubles</a></li></ul></aside>", "Cold dough\n\nBread rises slowly when it is cold, and nobody minds.\n\nIt ends here."),
     ("<article><p>See <a href=x>the long list of things</a> for more.</p><p>End</p></article>", "See the long list of things for more.\n\nEnd"),
 ])
 def test_pages_with_other_names_and_elements(html, text):
