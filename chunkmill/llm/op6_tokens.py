@@ -148,7 +148,7 @@ _MARK[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 _LEAD = np.zeros(256, bool)
 _LEAD[[0xC3, 0xC4, 0xC5, 0xD0, 0xD1]] = True
 #: Bytes of texts that are cut and looked up at a time.
-PASS_BYTES = 2 << 20
+PASS_BYTES = 8 << 20
 
 
 def cuts(data: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -203,7 +203,28 @@ class PieceEncoder:
     def _forget(self) -> None:
         self.place: dict[bytes, int] = {}
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.first, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.first, self.count, self.uses = (np.zeros(1 << 14, np.int64) for _ in range(3))
+
+    def _shrink(self) -> None:
+        """Keep the pieces that several passes have used, at most half of what may be held."""
+        uses = self.uses[: len(self.place)]
+        kept = np.flatnonzero(uses > 1)
+        if len(kept) > CACHE_PIECES // 2:
+            kept = np.sort(kept[np.argsort(-uses[kept], kind="stable")[: CACHE_PIECES // 2]])
+        names, first, count, used, ids = list(self.place), self.first[kept], self.count[kept], uses[kept] // 2, self.ids
+        self._forget()
+        self._make_room(len(kept), int(count.sum()))
+        ends = np.cumsum(count)
+        self.used = int(count.sum())
+        self.ids[: self.used] = ids[np.repeat(first - (ends - count), count) + np.arange(self.used)]
+        self.first[: len(kept)], self.count[: len(kept)], self.uses[: len(kept)] = ends - count, count, used
+        self.place = {names[k]: i for i, k in enumerate(kept.tolist())}
+
+    def _make_room(self, pieces: int, ids: int) -> None:
+        while pieces > len(self.first):
+            self.first, self.count, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count, self.uses))
+        while self.used + ids > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
 
     def _encode(self, strings: list[bytes]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast([s.decode("utf-8", "surrogatepass") for s in strings], add_special_tokens=False)]
@@ -213,19 +234,19 @@ class PieceEncoder:
             part = pieces[k : k + 4096]
             found: list[list[int]] = [[]] * len(part)
             rest = []
-            for i, piece in enumerate(part):
-                if self.plain and LETTERS.fullmatch(piece):  # one pre-token: the model alone
-                    found[i] = [t.id for t in self.tokenize(piece.decode("latin-1").translate(self.letters))]
+            plain, tokenize, letters, space = self.plain, self.tokenize, self.letters, self.letters[32]
+            for i, piece in enumerate(part):  # a piece of letters is one pre-token: the model alone
+                if plain and piece[:1] == b" " and piece[1:].isalpha():
+                    found[i] = [t.id for t in tokenize(space + piece[1:].decode())]
+                elif plain and LETTERS.fullmatch(piece):
+                    found[i] = [t.id for t in tokenize(piece.decode("latin-1").translate(letters))]
                 else:
                     rest.append(i)
             for i, ids in zip(rest, self._encode([part[i] for i in rest]), strict=True):
                 found[i] = ids
             n = np.array([len(f) for f in found])
             known, total = len(self.place), int(n.sum())
-            while known + len(part) > len(self.first):
-                self.first, self.count = np.concatenate([self.first, self.first * 0]), np.concatenate([self.count, self.count * 0])
-            while self.used + total > len(self.ids):
-                self.ids = np.concatenate([self.ids, self.ids * 0])
+            self._make_room(known + len(part), total)
             self.first[known : known + len(part)] = self.used + np.cumsum(n) - n
             self.count[known : known + len(part)] = n
             self.ids[self.used : self.used + total] = [i for f in found for i in f]
@@ -247,13 +268,15 @@ class PieceEncoder:
             inside = np.isin(np.searchsorted(stop, start, side="right"), whole)
             start = start[~inside | np.isin(start, stop - size)]
         if len(self.place) > CACHE_PIECES:
-            self._forget()
+            self._shrink()
         bounds = np.concatenate([start, [len(data)]]).astype(np.int64 if len(data) >> 31 else np.int32)
         kind = pa.LargeBinaryArray if len(data) >> 31 else pa.BinaryArray
         found = kind.from_buffers(pa.large_binary() if len(data) >> 31 else pa.binary(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
         pieces = found.dictionary.to_pylist()
         self._learn([p for p in pieces if p not in self.place])
-        which = np.array([self.place[p] for p in pieces], np.int64)[found.indices.to_numpy()] if len(start) else np.zeros(0, np.int64)
+        known = np.array([self.place[p] for p in pieces], np.int64)
+        self.uses[known] += 1
+        which = known[found.indices.to_numpy()] if len(start) else known
         count, first = self.count[which], self.first[which]
         ends = np.cumsum(count)
         tokens = self.ids[np.repeat(first - (ends - count), count) + np.arange(int(ends[-1]) if len(ends) else 0)]
