@@ -7,7 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,14 +47,32 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+_temporary: list[list[str]] = []
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def scratch(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new path below the shared folder; within temporaries() it goes at the end unless it is kept."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _temporary and not keep:
+        _temporary[-1].append(path)
+    return path
+
+
+@contextmanager
+def temporaries(spark: SparkSession) -> Iterator[None]:
+    """Delete what was written within, but for what is kept, once all that needs it has been written itself."""
+    _temporary.append([])
+    try:
+        yield
+    finally:
+        for path in _temporary.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: lineage is cut and survives lost executors."""
-    path = scratch(df.sparkSession, name)
+    path = scratch(df.sparkSession, name, keep)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
