@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chunkmill.llm import op1_lz_fingerprint, op2_html, op3_decontaminate, op4_warc, op5_secrets, op6_tokens, op7_mixing, op8_minhash, op9_suffix_dedup, op10_language
+from chunkmill.llm import op1_lz_fingerprint, op2_html, op3_decontaminate, op4_warc, op5_secrets, op6_tokens, op7_mixing, op8_minhash, op9_suffix_dedup, op10_language, op13_spelling
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,9 +21,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_minhash": op8_minhash.op8_minhash,
         "op9_suffix_dedup": op9_suffix_dedup.op9_suffix_dedup,
         "op10_language": op10_language.op10_language,
+        "op13_spelling": op13_spelling.op13_spelling,
         "mixing_targets": op7_mixing.mixing_targets,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": op3_decontaminate.SQL, "op4_warc": op4_warc.SQL, "op8_minhash": op8_minhash.SQL, "op9_suffix_dedup": op9_suffix_dedup.SQL, "mixing_targets": op7_mixing.TARGETS_SQL}
+    return {
+        "op3_decontaminate": op3_decontaminate.SQL,
+        "op4_warc": op4_warc.SQL,
+        "op8_minhash": op8_minhash.SQL,
+        "op9_suffix_dedup": op9_suffix_dedup.SQL,
+        "op13_spelling": op13_spelling.SQL,
+        "mixing_targets": op7_mixing.TARGETS_SQL,
+    }
