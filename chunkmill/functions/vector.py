@@ -6,6 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow import fs
+from pyarrow.dataset import dataset
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,25 +31,56 @@ def require_dim(vector: Column, dim: int) -> Column:
     return F.when(F.size(vector) == dim, vector).otherwise(F.raise_error(F.concat(F.lit(f"expected {dim} dimensions, got "), F.size(vector).cast("string"))))
 
 
-def top_k_arrow(points: DataFrame, queries: list[tuple[int, list[float]]], k: int, id_column: str = "id", vector_column: str = "vector") -> DataFrame:
-    """(query_id, id, score): the best k of every Arrow batch by matrix product; the few rows that remain are ranked by the caller.
+#: Bytes of points that a task holds while the queries pass by, and queries scored at once.
+POINT_BYTES, QUERY_ROWS = 64 << 20, 256
 
-    queries is a stated set of a size that the caller bounds; points are scanned once and not shuffled.
+
+def _rows(column: pa.Array) -> np.ndarray:
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the k largest of each row; of equal ones the first columns."""
+    if scores.shape[1] <= k:
+        return tuple(x.reshape(-1) for x in np.indices(scores.shape))
+    least = np.partition(scores, -k, axis=1)[:, -k, None]
+    above, level = scores > least, scores == least
+    return np.nonzero(above | (level & (np.cumsum(level, axis=1) <= k - above.sum(1, keepdims=True))))
+
+
+def top_k_arrow(points: DataFrame, queries: DataFrame, k: int, folder: str) -> DataFrame:
+    """(query_id, id, score): the best k of every lot of points by matrix product; the rows that remain are ranked by the caller.
+
+    Queries (query_id, query_vector), of any number, are written to folder, which tasks must see. Points (id, vector) are scanned once and not
+    shuffled: a task gathers POINT_BYTES of them and then reads the queries past them, so it holds a lot of points and QUERY_ROWS queries.
     """
-    ids = np.array([q for q, _ in queries], np.int64)
-    wanted = np.array([v for _, v in queries], np.float64).reshape(len(queries), -1)
-    wanted /= np.linalg.norm(wanted, axis=1, keepdims=True)
+    queries.select("query_id", "query_vector").where("query_vector is not null").write.parquet(folder)
+    kinds = dict(queries.dtypes) | dict(points.dtypes)
+
+    def asked() -> Iterator[pa.RecordBatch]:
+        files, path = fs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
+        yield from dataset(path, filesystem=files, format="parquet", exclude_invalid_files=False).to_batches(batch_size=QUERY_ROWS, batch_readahead=1, fragment_readahead=1, use_threads=False)
+
+    def lot(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = pa.concat_arrays([b.column(0) for b in held])
+        order = pc.sort_indices(ids)
+        ids, vectors = ids.take(order), np.concatenate([_rows(b.column(1)) for b in held])[order.to_numpy()]
+        for batch in asked():
+            if batch.num_rows:
+                scores = np.round(_rows(batch.column("query_vector")) @ vectors.T, 6)
+                i, j = _best(scores, k)
+                yield pa.RecordBatch.from_arrays([batch.column("query_id").take(pa.array(i)), ids.take(pa.array(j)), pa.array(scores[i, j])], names=["query_id", "id", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            column = batch.column(1)
-            vectors = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-            keys = batch.column(0).to_numpy()
-            scores = np.round((vectors @ wanted.T) / np.linalg.norm(vectors, axis=1, keepdims=True), 6)
-            for j, q in enumerate(ids):
-                best = np.lexsort((keys, -scores[:, j]))[:k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), q)), pa.array(keys[best]), pa.array(scores[best, j])], names=["query_id", "id", "score"])
-
-    return points.select(F.col(id_column).cast("bigint").alias("id"), vector_column).mapInArrow(run, "query_id bigint, id bigint, score double")
+            if batch.num_rows:
+                held.append(batch)
+                if sum(b.nbytes for b in held) >= POINT_BYTES:
+                    yield from lot(held)
+                    held = []
+        if held:
+            yield from lot(held)
+
+    return points.select("id", "vector").where("vector is not null").mapInArrow(run, f"query_id {kinds['query_id']}, id {kinds['id']}, score double")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chunkmill.functions import scalar as S
+from chunkmill.functions.session import workspace
 from chunkmill.functions.vector import cosine, norm, top_k_arrow
 from chunkmill.plans.schema import OVERFETCH, TRIVIAL_LINES
 
@@ -22,17 +23,9 @@ def stated(queries: DataFrame, most: int = MOST_QUERIES) -> DataFrame:
     return queries.withColumn("_count", count).where(fits).drop("_count")
 
 
-def knn_blocks(points: DataFrame, queries: DataFrame, k: int, block: int = MOST_QUERIES // 2) -> DataFrame:
-    """knn() for any number of queries: blocks by a hash of query_id, a scan of the points for each."""
-    out = None
-    for part in _blocks(points, queries, k, block):
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def _blocks(points: DataFrame, queries: DataFrame, k: int, block: int = MOST_QUERIES // 2) -> list[DataFrame]:
-    n = -(-queries.count() // block) or 1
-    return [knn(points, queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b), k) for b in range(n)]
+def knn_blocks(points: DataFrame, queries: DataFrame, k: int, block: int = MOST_QUERIES) -> DataFrame:
+    """knn() for any number of queries: broadcast up to a block of them, and read past the points from shared files beyond that. One scan of the points."""
+    return knn(points, queries, k) if queries.count() <= block else knn_arrow(points, queries, k)
 
 
 def knn(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -49,33 +42,16 @@ def knn(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 
 def candidates(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k nearest points of each query with all their columns: ranked by id and vector alone, a block of queries at a time, and then looked up.
+    """The k nearest points of each query with all their columns: ranked by id and vector alone, and then looked up."""
+    top = knn_blocks(points.select("id", "vector"), queries.select("query_id", "query_vector"), k)
+    return points.drop("vector").join(top, "id").join(queries.drop("query_vector"), "query_id")
 
-    The rows of a block's ranks are k times MOST_QUERIES / 2 at most, so they are broadcast to the points.
-    """
-    payload, asked = points.drop("vector"), queries.drop("query_vector")
-    out = None
-    for top in _blocks(points.select("id", "vector"), queries.select("query_id", "query_vector"), k):
-        found = payload.join(F.broadcast(top), "id")
-        out = found if out is None else out.unionByName(found)
-    return out.join(asked, "query_id")
 
-
-def knn_arrow(points: DataFrame, queries: list[tuple[int, list[float]]], k: int) -> DataFrame:
-    """The same ranking (query_id, id, score, raw_rank) by matrix products over Arrow batches."""
+def knn_arrow(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The same ranking (query_id, id, score, raw_rank) by matrix products, for a query table of any size: one scan of the points, past which tasks read the queries."""
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    return top_k_arrow(points, queries, k).withColumn("raw_rank", F.row_number().over(order)).where(F.col("raw_rank") <= k)
-
-
-def knn_arrow_blocks(points: DataFrame, queries: DataFrame, k: int, block: int = MOST_QUERIES // 2) -> DataFrame:
-    """knn_arrow() for a query table: the driver holds a block of query vectors at a time."""
-    n = -(-queries.count() // block) or 1
-    out = None
-    for b in range(n):
-        own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b).select("query_id", "query_vector").collect()
-        part = knn_arrow(points, [(r["query_id"], list(r["query_vector"])) for r in own], k)
-        out = part if out is None else out.unionByName(part)
-    return out
+    found = top_k_arrow(points.select("id", "vector"), queries, k, workspace(points.sparkSession, "queries"))
+    return found.withColumn("raw_rank", F.row_number().over(order)).where(F.col("raw_rank") <= k)
 
 
 def nearest(points: DataFrame, vector: list[float], k: int) -> DataFrame:
@@ -123,19 +99,3 @@ def semantic_search(points: DataFrame, queries: DataFrame, n: int) -> DataFrame:
 
 def rank_candidates(candidates: DataFrame, n: int) -> DataFrame:
     return limit(collapse(drop_trivial(boost(candidates, F.col("query_tokens")).drop("query_tokens"))), n)
-
-
-def knn_lsh(points: DataFrame, queries: DataFrame, k: int, bucket: float = 1.0, tables: int = 8, seed: int = 1) -> DataFrame:
-    """Approximate top-k on unit vectors by random projections; only points that share a bucket with a query are scored.
-
-    The squared distance of unit vectors is 2 - 2 cos. The true top-k may be missed; exact search is knn().
-    """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    as_vector = lambda df, c: df.withColumn("features", array_to_vector(F.col(c).cast("array<double>")))
-    left = as_vector(points.select("id", "vector"), "vector")
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(left)
-    pairs = model.approxSimilarityJoin(left.select("id", "features"), as_vector(queries.select("query_id", "query_vector"), "query_vector").select("query_id", "features"), 2.0, "distance")
-    scored = pairs.select(F.col("datasetB.query_id").alias("query_id"), F.col("datasetA.id").alias("id"), F.round(1 - F.col("distance") * F.col("distance") / 2, 6).alias("score"))
-    return scored.withColumn("raw_rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))).where(F.col("raw_rank") <= k)

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkmill.functions import scalar as S
+from chunkmill.functions.session import workspace
 from chunkmill.operators import evaluate as E
 from chunkmill.operators import chunker, inspect, savings, search, staleness, store, symbol
+from chunkmill.operators.vector_index import VectorIndex
 from chunkmill.plans import views as V
 
 LIMIT, WIDE = 10, 15
@@ -49,7 +51,7 @@ def knn_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_SQL["knn_topk"])
 def knn_topk_arrow(spark: SparkSession, d: str) -> DataFrame:
-    return search.knn_arrow_blocks(V.chunks(spark, d), V.queries(spark, d), WIDE).select("query_id", "id", "score", _rank("raw_rank"))
+    return search.knn_arrow(V.chunks(spark, d), V.queries(spark, d), WIDE).select("query_id", "id", "score", _rank("raw_rank"))
 
 
 @query(f"""{WITH}, {V.QUERIES_SQL.strip()}
@@ -61,9 +63,20 @@ def knn_filtered_by_repo(spark: SparkSession, d: str) -> DataFrame:
     return search.knn_blocks(points, V.queries(spark, d).drop("query_tokens"), WIDE).select("query_id", "id", "score", _rank("raw_rank"))
 
 
+def _index(spark: SparkSession, d: str, dims: int) -> VectorIndex:
+    return VectorIndex.build(V.chunks(spark, d), workspace(spark, "index"), dims)
+
+
 @query()
-def knn_lsh(spark: SparkSession, d: str) -> DataFrame:
-    return search.knn_lsh(V.chunks(spark, d), V.queries(spark, d), WIDE).select("query_id", "id", "score", _rank("raw_rank"))
+def knn_ivf(spark: SparkSession, d: str) -> DataFrame:
+    """Approximate: by the cells and codes of an index, built here from all chunks."""
+    return _index(spark, d, 2).approximate(V.queries(spark, d), WIDE).select("query_id", "id", "score", _rank("raw_rank"))
+
+
+@query(_SQL["knn_topk"])
+def knn_codes(spark: SparkSession, d: str) -> DataFrame:
+    """Exact: codes of the index prove which vectors needn't be read."""
+    return _index(spark, d, 1).exact(V.queries(spark, d), WIDE).select("query_id", "id", "score", _rank("raw_rank"))
 
 
 BOOST_SQL = f"""{KNN_SQL},

@@ -33,6 +33,14 @@ class Files:
         if not fs.rename(part, where):
             raise OSError(f"can't write {path}")
 
+    def read(self, path: str) -> str:
+        fs, where = self._at(path)
+        source = fs.open(where)
+        try:
+            return self._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+        finally:
+            source.close()
+
     def delete(self, path: str) -> None:
         fs, where = self._at(path)
         fs.delete(where, True)
