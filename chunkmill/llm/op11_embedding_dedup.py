@@ -2,7 +2,7 @@
 
 1. Vectors are scaled to length 1 in double precision. Equal vectors of one label form a class, so exact copies cost nothing;
    all else works on classes.
-2. Coarse centroids of length 1 and codebooks of residuals (PIECES subspaces of CODES codes) are fitted on a sample of at most
+2. Coarse centroids of length 1 and codebooks of residuals (PIECES subspaces of 256 codes) are fitted on a sample of at most
    SAMPLE vectors. Every class is stored in the list of its nearest centroid, with its code and the distance by which the
    code misses it.
 3. Probes are sufficient, not a fixed number: of two linked unit vectors, which are at most r apart (cos >= 0.98: r = 0.2), in
@@ -31,19 +31,19 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chunkmill.functions.quantizer import Quantizer, unit
 from chunkmill.llm.common import arrow_limits, materialize, partitions, table, temporaries
 from chunkmill.llm.components import components
 
 COSINE = 0.98
-#: Rows that coarse centroids and codebooks are fitted on, bytes of the centroids, subspaces and codes of a residual, rounds.
-SAMPLE, BOOK_BYTES, PIECES, CODES, ROUNDS = 8192, 16 << 20, 8, 256, 8
+#: Rows that coarse centroids and codebooks are fitted on, and subspaces of a residual.
+SAMPLE, PIECES = 8192, 8
 #: Rows of a list that meet in one task, and pairs that are scored at once.
 BLOCK, PAIRS = 1024, 1 << 15
 #: What rounding may add to a distance.
@@ -55,84 +55,26 @@ def reach(cosine: float = COSINE) -> float:
     return math.sqrt(2 - 2 * cosine)
 
 
-def unit(x: np.ndarray) -> np.ndarray:
-    x = x / np.abs(x).max(-1, keepdims=True)
-    return x / np.sqrt((x * x).sum(-1, keepdims=True))
-
-
 def exact_cosine(a: np.ndarray, b: np.ndarray) -> float:
     """With sums that are rounded once."""
     a, b = a / np.abs(a).max(), b / np.abs(b).max()
     return math.fsum(a * b) / (math.sqrt(math.fsum(a * a)) * math.sqrt(math.fsum(b * b)))
 
 
-def kmeans(x: np.ndarray, k: int, rounds: int, seed: int, sphere: bool = False) -> np.ndarray:
-    rng = np.random.default_rng(seed)
-    means = x[rng.permutation(len(x))[:k]].copy()
-    for _ in range(rounds):
-        own = (x @ means.T - (0 if sphere else (means * means).sum(1) / 2)).argmax(1)
-        order = np.argsort(own, kind="stable")
-        held, at = np.unique(own[order], return_index=True)
-        new = np.add.reduceat(x[order], at, axis=0) / np.diff([*at, len(x)])[:, None]
-        size = np.sqrt((new * new).sum(1, keepdims=True))
-        fine = size[:, 0] > 1e-6 if sphere else np.ones(len(held), bool)
-        means[held[fine]] = (new / np.where(size > 0, size, 1))[fine] if sphere else new[fine]
-    return means
-
-
-@dataclass
-class Quantizer:
-    """Coarse centroids of length 1, and codebooks of each subspace of the residuals."""
-
-    centroids: np.ndarray
-    books: list[np.ndarray]
-    cuts: list[int]
-
-    @classmethod
-    def fit(cls, sample: list[list[float]], per_label: float) -> Quantizer:
-        sizes = np.bincount([len(v) for v in sample])
-        width = int(sizes.argmax())
-        x = unit(np.array([v for v in sample if len(v) == width], np.float64))
-        most = max(1, min(len(x) // 16, BOOK_BYTES // (8 * width)))
-        centroids = kmeans(x, min(most, max(1, round(math.sqrt(per_label)))), ROUNDS, 1, sphere=True)
-        rest = x - centroids[(x @ centroids.T).argmax(1)]
-        cuts = [len(x) for x in np.array_split(range(width), min(PIECES, width))]
-        books = [kmeans(p, min(CODES, len(p)), ROUNDS, 2) for p in np.split(rest, np.cumsum(cuts)[:-1], axis=1)]
-        return cls(centroids, books, np.cumsum(cuts)[:-1].tolist())
-
-    def shaped(self, vectors: list[np.ndarray]) -> np.ndarray:
-        """Unit vectors as rows of the width of the centroids."""
-        width = self.centroids.shape[1]
-        out = np.zeros((len(vectors), width))
-        for k, v in enumerate(vectors):
-            out[k, : min(width, len(v))] = v[:width]
-        return out
-
-    def cells(self, x: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray]:
-        """The nearest centroid of each row, and which cells' planes are within margin; a row's own cell isn't among them."""
-        score = x @ self.centroids.T
-        own = score.argmax(1)
-        gap = np.sqrt(np.maximum(0, 2 - 2 * self.centroids @ self.centroids.T))[own]
-        near = score[np.arange(len(x)), own][:, None] - score <= margin * gap + SLACK
-        near[np.arange(len(x)), own] = False
-        return own, near
-
-    def encode(self, x: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of the residuals, and how far each row is from what its code stands for."""
-        rest = x - self.centroids[own]
-        codes, miss = np.zeros((len(x), len(self.books)), np.uint8), np.zeros(len(x))
-        for m, (p, book) in enumerate(zip(np.split(rest, self.cuts, axis=1), self.books, strict=True)):
-            codes[:, m] = (p @ book.T - (book * book).sum(1) / 2).argmax(1)
-            miss += ((p - book[codes[:, m]]) ** 2).sum(1)
-        return codes, np.sqrt(miss)
-
-    def distances(self, x: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
-        """Squared distances of rows to the stored codes of a cell, summed from a table of each subspace."""
-        out = np.zeros((len(x), len(codes)), np.float32)
-        for m, (p, book) in enumerate(zip(np.split(x - self.centroids[cell], self.cuts, axis=1), self.books, strict=True)):
-            looked = (p * p).sum(1)[:, None] - 2 * p @ book.T + (book * book).sum(1)
-            out += looked.astype(np.float32)[:, codes[:, m]]
-        return out
+def fitted(sample: list[list[float]], per_label: float) -> Quantizer:
+    """From the vectors of the sample that have the most frequent length."""
+    width = int(np.bincount([len(v) for v in sample]).argmax())
+    return Quantizer.fit(unit(np.array([v for v in sample if len(v) == width], np.float64)), round(math.sqrt(per_label)), PIECES)
+
+
+def visits(quantizer: Quantizer, x: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centroid of each row, and which cells' planes are within margin; a row's own cell isn't among them."""
+    score = x @ quantizer.centroids.T
+    own = score.argmax(1)
+    gap = np.sqrt(np.maximum(0, 2 - 2 * quantizer.centroids @ quantizer.centroids.T))[own]
+    near = score[np.arange(len(x)), own][:, None] - score <= margin * gap + SLACK
+    near[np.arange(len(x)), own] = False
+    return own, near
 
 
 def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
@@ -182,7 +124,7 @@ def fit(classes: DataFrame) -> Quantizer | None:
         return None
     order = F.xxhash64("digest", F.lit(11))
     sample = classes.select(order.alias("o"), "digest", "embedding").orderBy("o", "digest").limit(SAMPLE).collect()
-    return Quantizer.fit([r["embedding"] for r in sample], rows / labels)
+    return fitted([r["embedding"] for r in sample], rows / labels)
 
 
 def _placed(classes: DataFrame, quantizer: Quantizer, margin: float) -> DataFrame:
@@ -194,16 +136,16 @@ def _placed(classes: DataFrame, quantizer: Quantizer, margin: float) -> DataFram
                 continue
             vectors = _vectors(batch.column("embedding"))
             x = quantizer.shaped([unit(v) for v in vectors])
-            own, near = quantizer.cells(x, margin)
+            own, near = visits(quantizer, x, margin)
             codes, miss = quantizer.encode(x, own)
             near[np.arange(len(x)), own] = True
             row, cell = np.nonzero(near)
             stored = own[row] == cell
             near[np.arange(len(x)), own] = False
-            visits = [n.astype("<i4").tobytes() if s else None for n, s in ((np.flatnonzero(near[r]), s) for r, s in zip(row, stored, strict=True))]
+            visited = [n.astype("<i4").tobytes() if s else None for n, s in ((np.flatnonzero(near[r]), s) for r, s in zip(row, stored, strict=True))]
             code = [codes[r].tobytes() if s else None for r, s in zip(row, stored, strict=True)]
             size = np.array([len(v) for v in vectors])[row]
-            placed = [pa.array(size, pa.int32()), pa.array(own[row], pa.int32()), pa.array(cell, pa.int32()), pa.array(stored), pa.array(code, pa.binary()), pa.array(miss[row]), pa.array(visits, pa.binary())]
+            placed = [pa.array(size, pa.int32()), pa.array(own[row], pa.int32()), pa.array(cell, pa.int32()), pa.array(stored), pa.array(code, pa.binary()), pa.array(miss[row]), pa.array(visited, pa.binary())]
             for k in range(0, len(row), BLOCK):  # vectors are copied a block at a time
                 copied = batch.select(["id", "label", "w", "embedding"]).take(pa.array(row[k : k + BLOCK]))
                 yield pa.RecordBatch.from_arrays([*copied.columns, *(c.slice(k, BLOCK) for c in placed)], names=["id", "label", "w", "embedding", "size", "home", "cell", "stored", "code", "miss", "visits"])
@@ -261,12 +203,12 @@ def search(placed: DataFrame, quantizer: Quantizer, cosine: float = COSINE) -> D
         def part(own: list[dict]) -> dict:
             raw = [r["embedding"] for r in own]
             full = unit(np.array(raw))
-            visits = np.zeros((len(own), len(quantizer.centroids)), bool)
+            visited = np.zeros((len(own), len(quantizer.centroids)), bool)
             for k, r in enumerate(own):
                 if r["visits"]:
-                    visits[k, np.frombuffer(r["visits"], "<i4")] = True
+                    visited[k, np.frombuffer(r["visits"], "<i4")] = True
             codes = [np.frombuffer(r["code"], np.uint8) for r in own] if own[0]["stored"] else []
-            return {"raw": raw, "full": full, "x": quantizer.shaped(list(full)), "visits": visits, "codes": np.array(codes), "home": np.array([r["home"] for r in own]), "miss": np.array([r["miss"] for r in own]), "id": np.array([r["id"] for r in own]), "w": np.array([r["w"] for r in own])}
+            return {"raw": raw, "full": full, "x": quantizer.shaped(list(full)), "visits": visited, "codes": np.array(codes), "home": np.array([r["home"] for r in own]), "miss": np.array([r["miss"] for r in own]), "id": np.array([r["id"] for r in own]), "w": np.array([r["w"] for r in own])}
 
         same = q == d
         answering = [r for r in rows if r["stored"] and r["own"] == d]

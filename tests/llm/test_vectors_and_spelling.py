@@ -103,8 +103,8 @@ def test_probes_and_codes_spare_pairs():
     x = rng.normal(size=(4000, 64))
     x[:400] = x[rng.integers(400, 440, 400)] + rng.normal(size=(400, 64)) * 0.1
     x = dedup.unit(x)
-    q = dedup.Quantizer.fit(x.tolist(), len(x))
-    own, near = q.cells(x, dedup.reach() / 2)
+    q = dedup.fitted(x.tolist(), len(x))
+    own, near = dedup.visits(q, x, dedup.reach() / 2)
     stored, miss = q.encode(x, own)
     links = {(i, j) for i, j in zip(*np.nonzero(np.triu(x @ x.T >= 0.98, 1)), strict=True)}
     probed, scored, seen = 0, 0, set()
