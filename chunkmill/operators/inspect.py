@@ -21,6 +21,13 @@ def stats_total(chunks: DataFrame) -> DataFrame:
     return chunks.select(_path(chunks).alias("path")).agg(F.count("*").alias("chunk_count"), F.countDistinct("path").alias("file_count"))
 
 
+def statistics(chunks: DataFrame) -> DataFrame:
+    """Files and chunks of each language and, with a null language and total true, of all: one pass by grouping sets."""
+    rows = chunks.select(F.coalesce("language", F.lit("unknown")).alias("language"), _path(chunks).alias("path"))
+    sets = rows.groupingSets([[F.col("language")], []], F.col("language"))
+    return sets.agg(F.countDistinct("path").alias("files"), F.count(F.lit(1)).alias("chunks"), (F.grouping("language") == 1).alias("total"))
+
+
 def repositories(chunks: DataFrame) -> DataFrame:
     """Registry rows derived from the chunks: counts and the language array of each repository."""
     per = chunks.select("repo_id", F.coalesce("language", F.lit("unknown")).alias("language"), _path(chunks).alias("path")).groupBy("repo_id", "language").agg(F.countDistinct("path").alias("files"), F.count("*").alias("chunks"))

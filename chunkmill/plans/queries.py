@@ -12,6 +12,7 @@ from chunkmill.functions.session import workspace
 from chunkmill.operators import evaluate as E
 from chunkmill.operators import chunker, inspect, savings, search, staleness, store, symbol
 from chunkmill.operators.vector_index import VectorIndex
+from chunkmill.plans import schema as C
 from chunkmill.plans import views as V
 
 LIMIT, WIDE = 10, 15
@@ -154,6 +155,11 @@ def collection_stats_total(spark: SparkSession, d: str) -> DataFrame:
     return inspect.stats_total(V.chunks(spark, d))
 
 
+@query(f"{WITH} SELECT language, count(DISTINCT path) AS files, count(*) AS chunks, grouping(language) = 1 AS total FROM (SELECT coalesce(language, 'unknown') AS language, path FROM chunks) GROUP BY GROUPING SETS ((language), ())")
+def collection_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return inspect.statistics(V.chunks(spark, d))
+
+
 REPOS_SQL = f"""{WITH}, per AS (SELECT repo_id, language, count(DISTINCT path) AS files, count(*) AS chunks FROM chunks GROUP BY 1, 2),
 repos AS (SELECT repo_id, CAST(sum(chunks) AS BIGINT) AS chunk_count, string_agg(concat(language, ':', files, ':', chunks), ',' ORDER BY language) AS languages FROM per GROUP BY 1),
 counts AS (SELECT repo_id, count(DISTINCT path) AS file_count FROM chunks GROUP BY 1)"""
@@ -176,7 +182,12 @@ def list_repos(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{REPOS_SQL} SELECT repo_id, chunk_count, file_count, languages FROM repos JOIN counts USING (repo_id) WHERE repo_id = 'src3'")
 def get_repo(spark: SparkSession, d: str) -> DataFrame:
-    return _flat(inspect.repositories(V.chunks(spark, d).where(F.col("repo_id") == "src3")))
+    """One row of a registry that the library has written."""
+    registry = store.Registry(spark, workspace(spark, "store"))
+    rows = inspect.repositories(V.chunks(spark, d))
+    known = [F.col(f.name) if f.name in rows.columns else F.lit(None).alias(f.name) for f in C.REGISTRY]
+    registry.replace("all", rows.select(*known))
+    return _flat(registry.read("src3").select("repo_id", "chunk_count", "file_count", "languages"))
 
 
 FILES_SQL = f"{WITH}, files AS (SELECT path, arg_min(language, id) AS language, count(*) AS chunk_count FROM chunks WHERE path <> '' GROUP BY 1)"
@@ -335,9 +346,13 @@ def _new_chunks(c: DataFrame) -> tuple[DataFrame, DataFrame]:
   SELECT id, path, code FROM chunks WHERE NOT regexp_matches(path, '/f[1-5][.]txt$')
   UNION ALL SELECT id, path, concat('edited ', code) FROM chunks WHERE regexp_matches(path, '/f[1-4][.]txt$') AND id % 2 = 0)""")
 def incremental_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """A base of all chunks and a delta of the changed files, merged as they are read."""
     c = V.chunks(spark, d).select("id", "repo_id", "path", "code")
     new, changed = _new_chunks(c)
-    return store.incremental(c, new, changed).select("id", "path", F.md5("code").alias("code_md5"))
+    table = store.Table(spark, workspace(spark, "store"), "chunks", c.schema)
+    table.replace("all", c)
+    table.merge("all", new, changed)
+    return table.read("all").select("id", "path", F.md5("code").alias("code_md5"))
 
 
 @query("""WITH o AS (SELECT concat('d', doc_id) AS path, sha1(text) AS h FROM documents WHERE doc_id % 10 <> 1), n AS (SELECT concat('d', doc_id) AS path, sha1(CASE WHEN doc_id % 10 = 3 THEN concat(text, '!') ELSE text END) AS h FROM documents WHERE doc_id % 10 <> 2)

@@ -81,10 +81,12 @@ class Service:
         points = chunks.select(S.chunk_id(F.col("repo_id"), F.col("path"), F.col("start_byte"), F.col("end_byte")).alias("id"), "repo_id", "path", "language", "start_line", "end_line", F.col("text").alias("code"), "symbol", "vector")
         if changed is not None:
             gone = self.spark.createDataFrame([(repo, p) for p in changed], "repo_id string, path string")
-            points = store.incremental(self.chunks.read(repo), points, gone)
-        self.chunks.replace(repo, points)
-        now = self.chunks.read(repo)
-        total, languages = inspect.stats_total(now).first(), inspect.stats_by_language(now).agg(inspect.language_list()).first()[0]
+            store.merge_into(self.chunks, repo, points, gone)
+        else:
+            self.chunks.replace(repo, points)
+        found = inspect.statistics(self.chunks.read(repo)).orderBy("language").collect()  # a row of each language
+        languages = [(r["language"], r["files"], r["chunks"]) for r in found if not r["total"]]
+        total = next(({"chunk_count": r["chunks"], "file_count": r["files"]} for r in found if r["total"]), {"chunk_count": 0, "file_count": 0})
         sha = git.head(path)
         row = (repo, sha, datetime.now(UTC).isoformat(), total["chunk_count"], total["file_count"], skipped, languages)
         self.registry.replace(repo, self.spark.createDataFrame([row], C.REGISTRY))

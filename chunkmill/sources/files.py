@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -41,6 +44,32 @@ class Files:
         finally:
             source.close()
 
+    def changed(self, path: str) -> list[tuple[str, float]]:
+        """Names below a folder and when they last changed, in seconds of the epoch."""
+        fs, where = self._at(path)
+        return sorted((s.getPath().getName(), s.getModificationTime() / 1000) for s in fs.listStatus(where)) if fs.exists(where) else []
+
+    def publish(self, path: str, text: str) -> bool:
+        """Give text a name unless it is taken; of several writers one succeeds. Whoever sees the name sees the whole text."""
+        fs, where = self._at(path)
+        hidden = f"{path.rpartition('/')[0]}/_{uuid.uuid4().hex}"
+        self.write(hidden, text)
+        try:
+            if fs.getScheme() == "file":
+                local = lambda p: self._at(p)[1].toUri().getPath()
+                try:
+                    os.link(local(hidden), local(path))
+                except FileExistsError:
+                    return False
+                return True
+            return not fs.exists(where) and bool(fs.rename(self._at(hidden)[1], where))
+        except Exception as e:
+            if "FileAlreadyExists" in str(e):
+                return False
+            raise
+        finally:
+            self.delete(hidden)
+
     def delete(self, path: str) -> None:
         fs, where = self._at(path)
         fs.delete(where, True)
