@@ -6,13 +6,16 @@ of labelled rows; the prediction is the language of the centroid with the larges
 cosine lies far below what fitted texts of its length reach: halfway between that and what the centroids of the other
 languages reach on them, as they do on the texts of a language that isn't learned.
 
-Fitting takes about FIT_ROWS labelled rows in all, whatever the table's size: the FIT_ROWS / LEAST_ROWS most frequent
-languages (250; ties by name) are learned, each from an equal share of at most MOST_ROWS rows, chosen by a hash of doc_id.
-Rows whose crc32(doc_id) mod 4 is 2 are held out. Languages are counted over all labelled rows, in one narrow scan; a second
-scan takes the sample, without a shuffle. Prediction covers every row, in one scan.
+Fitting takes FIT_ROWS labelled rows in all, an equal share of each language, but LEAST_ROWS of each at least and MOST_ROWS at
+most: every language is learned, and what reaches the driver grows with the number of languages alone. Rows whose
+crc32(doc_id) mod 4 is 2 are held out. A scan estimates each language's distinct rows, a second one draws a few times the
+wanted number by a hash of doc_id and text, and of the drawn rows, as sparse counts and each once, those with the least hashes
+are taken: rows that repeat, or share a null doc_id, neither crowd out others nor swell the sample. n-grams are hashed to 8192
+places, fewer where centroids would pass MODEL_BYTES (as with over 680 languages). Prediction covers every row, in one scan.
 
 Defined results: a null text, or one without a letter, is "und" with score 0 and rejected; where nothing can be fitted
-every text is; repeated rows get equal results; other columns are ignored.
+every text is; of centroids that are equally near the first counts, in the order of the languages' names; texts of any length
+are counted whole; repeated rows get equal results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,13 +26,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chunkmill.llm.common import arrow_limits, table, use_cache
 
-DIMS = 8192
-#: Labelled rows to fit on, over all languages, and for one language at least and at most.
-FIT_ROWS, LEAST_ROWS, MOST_ROWS = 2000, 8, 400
+#: Places of hashed n-grams as powers of two, at most and at least, and bytes of centroids beyond which there are fewer.
+BITS, LEAST_BITS, MODEL_BYTES = 13, 8, 64 << 20
+#: Labelled rows to fit on, over all languages, and for one language at least and at most; rows drawn for each wanted one.
+FIT_ROWS, LEAST_ROWS, MOST_ROWS, DRAWN = 2000, 8, 400, 4
 CENTROIDS, ROUNDS = 3, 8
 #: Share of fitted texts of a length below whose cosine the rejection starts, and the least and the largest part of that cosine it allows.
 TAIL, SLACK, MOST_SLACK = 0.01, 0.35, 0.75
@@ -41,13 +46,21 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
-def counts(text: str) -> np.ndarray:
+def bits_for(languages: int) -> int:
+    """As many places as keep the centroids of so many languages within MODEL_BYTES."""
+    bits = BITS
+    while bits > LEAST_BITS and (4 << bits) * CENTROIDS * languages > MODEL_BYTES:
+        bits -= 1
+    return bits
+
+
+def counts(text: str, bits: int = BITS) -> np.ndarray:
     """Hashed 2- and 3-gram counts of the whole text."""
     b = np.frombuffer(b" " + b" ".join(text.lower().encode("utf-8", "replace").translate(_LETTERS).split()) + b" ", np.uint8).astype(np.uint32)
     two = b[:-1] << np.uint32(8) | b[1:]
     three = two[:-1] << np.uint32(8) | b[2:]
     grams = np.concatenate([two ^ np.uint32(0x5BD10000), three])
-    return np.bincount((grams * np.uint32(2654435761)) >> np.uint32(19), minlength=DIMS)
+    return np.bincount((grams * np.uint32(2654435761)) >> np.uint32(32 - bits), minlength=1 << bits)
 
 
 def length_bin(n: np.ndarray) -> np.ndarray:
@@ -62,6 +75,10 @@ class Model:
     centroids: np.ndarray
     floor: np.ndarray  # least cosine by length bin
 
+    @property
+    def bits(self) -> int:
+        return len(self.idf).bit_length() - 1
+
     def vectors(self, tf: np.ndarray) -> np.ndarray:
         out = np.where(tf > 0, 1 + np.log(np.maximum(tf, 1)), 0).astype(np.float32) * self.idf
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
@@ -96,7 +113,7 @@ def train(rows: list[tuple[str, np.ndarray]]) -> Model | None:
     label = np.array([languages.index(lang) for lang, _ in rows])
     tf = np.array([c for _, c in rows], np.float32)
     idf = (np.log((1 + len(rows)) / (1 + (tf > 0).sum(0))) + 1).astype(np.float32)
-    model = Model(languages, np.zeros(0, int), idf, np.zeros((0, DIMS), np.float32), np.zeros(1))
+    model = Model(languages, np.zeros(0, int), idf, np.zeros((0, tf.shape[1]), np.float32), np.zeros(1))
     x = model.vectors(tf)
     parts = [cluster(x[label == k]) for k in range(len(languages))]
     model.centroids, model.of = np.concatenate(parts).astype(np.float32), np.repeat(np.arange(len(languages)), [len(p) for p in parts])
@@ -117,23 +134,27 @@ def fit(docs: DataFrame) -> Model | None:
     """The model of the labelled rows of docs (doc_id, text, lang)."""
     spark = docs.sparkSession
     labelled = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("lang").cast("string").alias("lang"), "text").where("lang is not null and text is not null and not coalesce(pmod(crc32(cast(id as binary)), 4) = 2, false)")
-    learned = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(FIT_ROWS // LEAST_ROWS).collect()
+    labelled = labelled.select("lang", "text", F.xxhash64("id", "text").alias("h"))
+    learned = labelled.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()  # a row of each language
     if not learned:
         return None
-    wanted = min(MOST_ROWS, FIT_ROWS // len(learned))
+    wanted, bits = max(LEAST_ROWS, min(MOST_ROWS, FIT_ROWS // len(learned))), bits_for(len(learned))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(lang, counts(t)) for lang, t in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True) if has_letter(t)]
-            where = [np.flatnonzero(c) for _, c in rows]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([w.astype("<i4").tobytes() for w in where], pa.binary()), pa.array([r[1][w].astype("<i8").tobytes() for r, w in zip(rows, where, strict=True)], pa.binary())], names=["lang", "at", "n"])
-
-    place = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    shares = spark.createDataFrame([(r["lang"], wanted / r["n"]) for r in learned], "lang string, share double")
-    sample = labelled.join(F.broadcast(shares), "lang").where(place < F.col("share")).select("lang", "text")
+            rows = [(lang, h, counts(t, bits)) for lang, h, t in zip(*(batch.column(c).to_pylist() for c in ("lang", "h", "text")), strict=True) if has_letter(t)]
+            where = [np.flatnonzero(c) for *_, c in rows]
+            columns = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([w.astype("<i4").tobytes() for w in where], pa.binary()), pa.array([r[2][w].astype("<i8").tobytes() for r, w in zip(rows, where, strict=True)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "h", "at", "n"])
+
+    place = F.pmod(F.xxhash64("h"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    shares = spark.createDataFrame([(r["lang"], DRAWN * (wanted + 16) / r["n"]) for r in learned], "lang string, share double")
+    drawn = labelled.join(F.broadcast(shares), "lang").where(place < F.col("share")).select("lang", "h", "text").mapInArrow(vectors, "lang string, h long, at binary, n binary")
+    once = drawn.groupBy("lang", "h").agg(F.first("at").alias("at"), F.first("n").alias("n"))
+    sample = once.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= wanted)
     rows = []
-    for r in sorted(sample.mapInArrow(vectors, "lang string, at binary, n binary").collect(), key=lambda r: (r["lang"], bytes(r["at"]), bytes(r["n"]))):
-        c = np.zeros(DIMS, np.float32)
+    for r in sorted(sample.collect(), key=lambda r: (r["lang"], r["h"])):
+        c = np.zeros(1 << bits, np.float32)
         c[np.frombuffer(r["at"], "<i4")] = np.frombuffer(r["n"], "<i8")
         rows.append((r["lang"], c))
     return train(rows)
@@ -155,7 +176,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             readable = [i for i, t in enumerate(strings) if has_letter(t)] if m else []
             for k in range(0, len(readable), 64):
                 part = readable[k : k + 64]
-                for i, got, s, r in zip(part, *m.predict(np.array([counts(strings[i]) for i in part])), strict=True):
+                for i, got, s, r in zip(part, *m.predict(np.array([counts(strings[i], m.bits) for i in part])), strict=True):
                     lang[i], score[i], rejected[i] = m.languages[got], float(s), bool(r)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v, t) for v, (_, t) in zip((lang, score, rejected), added, strict=True))], names=[*batch.schema.names, *(n for n, _ in added)])
 
