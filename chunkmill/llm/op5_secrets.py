@@ -2,7 +2,8 @@
 
 Random strings break into many short vocabulary pieces, so a string whose characters-per-token ratio under a byte-pair
 vocabulary is low, and that is neither a known digest, a UUID nor an identifier made of words, is a finding of kind
-"random". A digest is known if it's in a given list, or if it has a digest's length in hexadecimal (or starts as a
+"random". Words joined to a random string would hide it, so where a whole string is no finding, what is left between its words
+is judged by its own ratio. A digest is known if it's in a given list, or if it has a digest's length in hexadecimal (or starts as a
 subresource hash) and the words before it say that it is one. Three patterns of known shape (assign, access, hex) are always reported; the method's spans come besides
 and never overlap them.
 
@@ -30,7 +31,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 #: Candidates of the token-efficiency test.
 #: Candidates of 16 to 19 characters need a lower ratio: at 2.1, about one clean word in forty of that length is a finding.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST = 16
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
 SHORT, SHORT_RATIO = 20, 1.7
 #: A part of an identifier is a word by its least length and characters per token; WORDS is the least share of a string in words.
 RATIO, PART, PART_RATIO, WORDS = 2.1, 3, 2.5, 0.4
@@ -41,6 +43,8 @@ DIGEST_WORD = re.compile(r"""(?:md5|sha-?\d*|sum|digest|hash|etag|fingerprint)["
 SUBRESOURCE = re.compile(r"sha(?:256|384|512)-[A-Za-z0-9+/]+=*")
 UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+#: Between separators; those of NAME characters and more that are identifiers part what is left of a string.
+SEGMENT, NAME = re.compile(r"[A-Za-z0-9]+"), 4
 _encodings: dict[str, object] = {}
 
 
@@ -90,6 +94,27 @@ def is_known(string: str, vocabulary) -> bool:
     return words >= WORDS * max(1, sum(map(len, parts)))
 
 
+def is_secret(string: str, before: str, vocabulary, digests: frozenset[str]) -> bool:
+    """Few characters per token, and neither an identifier nor a digest."""
+    ratio = SHORT_RATIO if len(string) < SHORT else RATIO
+    return len(string) < ratio * len(vocabulary.encode_ordinary(string)) and not is_known(string, vocabulary) and not is_digest(string, before, digests)
+
+
+def between_words(string: str, vocabulary) -> Iterator[tuple[int, int]]:
+    """Runs of LEAST characters and more that are left once segments made of words are cut off; none where there is no such segment."""
+    parts = [(m.start(), m.end(), m.end() - m.start() >= NAME and is_known(m.group(), vocabulary)) for m in SEGMENT.finditer(string)]
+    if not any(known for *_, known in parts):
+        return
+    first = None
+    for k, (start, end, known) in enumerate(parts):
+        if known:
+            first = None
+            continue
+        first = start if first is None else first
+        if (k + 1 == len(parts) or parts[k + 1][2]) and end - first >= LEAST:
+            yield first, end
+
+
 def random_spans(text: str, taken: list[tuple[int, int, int]], vocabulary, digests: frozenset[str] = frozenset()) -> list[tuple[int, int]]:
     """Findings that overlap none of the taken spans, which are in order of their starts."""
     out = []
@@ -100,10 +125,13 @@ def random_spans(text: str, taken: list[tuple[int, int, int]], vocabulary, diges
             at += 1
         if reach > m.start():
             continue
-        string = m.group()
-        ratio = SHORT_RATIO if len(string) < SHORT else RATIO
-        if len(string) < ratio * len(vocabulary.encode_ordinary(string)) and not is_known(string, vocabulary) and not is_digest(string, text[max(0, m.start() - 24) : m.start()], digests):
+        before = lambda k: text[max(0, k - 24) : k]
+        if is_secret(m.group(), before(m.start()), vocabulary, digests):
             out.append(m.span())
+        elif not UUID.fullmatch(m.group()):
+            for start, end in between_words(m.group(), vocabulary):
+                if is_secret(m.group()[start:end], before(m.start() + start), vocabulary, digests):
+                    out.append((m.start() + start, m.start() + end))
     return out
 
 
