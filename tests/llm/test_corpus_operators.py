@@ -344,6 +344,29 @@ def test_a_passage_in_many_texts(spark, monkeypatch):
     assert seen[0][1] < seen[1][1]
 
 
+def test_blocks_are_bounded_by_bytes(spark, monkeypatch):
+    """Texts of 1 MB that share most bands in no component: a block holds a few of them, not BLOCK_ROWS, and the links are found."""
+    monkeypatch.setattr(near, "BLOCK_BYTES", 3 << 20)
+    monkeypatch.setattr(near, "SALT_ROWS", 3)
+    passage = prose(1, 118_000, 10**6)
+    texts = [passage + " " + prose(50 + k, 60_000, 10**6) for k in range(9)]
+    texts += [edited(texts[k], k, 0.01) for k in (2, 5)]
+    assert min(map(len, texts)) > 1 << 20
+    seen, plain = [], near._open_rows
+
+    def counted(members, *rest):
+        rows = plain(members, *rest)
+        sizes = members.select("rep", "size").distinct()
+        side = lambda which: rows.where(which).join(sizes, "rep").groupBy("key", "q", "d").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
+        seen.extend((r["bytes"], r["n"]) for which in ("asks", "answers") for r in side(which).collect())
+        return rows
+
+    monkeypatch.setattr(near, "_open_rows", counted)
+    got = {r["doc_id"]: r["component_id"] for r in near.near_duplicates(docs(spark, texts)).collect()}
+    assert [got[k] for k in range(len(texts))] == groups(texts)[1]
+    assert seen and max(n for _, n in seen) <= 7 and sum(b for b, _ in seen) / len(seen) < 5 << 20
+
+
 def test_one_doc_id_with_two_texts(spark):
     """Rows that differ stay, rows that repeat go."""
     frame = docs(spark, ["a b c d e f", "g h i j k l", "a b c d e f"]).withColumn("doc_id", F.lit(1).cast("long"))

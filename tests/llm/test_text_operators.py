@@ -3,6 +3,7 @@
 import hashlib
 import random
 import string
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -264,6 +265,22 @@ def sentence(lang, seed, n=60):
     return " ".join("".join(r.choice(STEMS[lang]) for _ in range(r.randrange(1, 4))) for _ in range(n))
 
 
+def test_words_do_not_hide_secrets():
+    """Random strings behind words: of 20 characters and more, at most one in twenty is missed, and what is found is the random part."""
+    import public_tokenizers
+
+    vocabulary, r = secret.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken")), random.Random(1)
+    letters = string.ascii_letters + string.digits
+    for prefix in ("production_database_password_", "customer_service_", "aws-secret-access-key-", "my_app_token_", "github-personal-access-", "stripe_live_", "user/session/", "config_server_key_", "internal-api-", "prod_db_"):
+        found = 0
+        for _ in range(100):
+            text = f"see {prefix}{''.join(r.choice(letters) for _ in range(20))} now"
+            found += any(end == len(text) - 4 and end - start >= 16 for start, end in secret.random_spans(text, secret.base_spans(text), vocabulary))
+        assert found >= 95, prefix
+    for clean in ("/usr/local/lib/python3.13/site-packages/x86_64-linux-gnu", "org_apache_spark_sql_catalyst_plans_logical_LogicalPlan", "https-www-example-com-article-2024-01-15-title", "00000000-0000-0000-0000-000000000000_data"):
+        assert secret.random_spans(clean, [], vocabulary) == []
+
+
 def labelled(spark, n=120):
     rows = [(k, sentence(list(STEMS)[k % 3], k, 5 + k), list(STEMS)[k % 3] if k % 10 else None, "s", "x", "p") for k in range(n)]
     return spark.createDataFrame(rows, DOCS), {k: list(STEMS)[k % 3] for k in range(n)}
@@ -328,12 +345,34 @@ def test_held_out_accuracy(spark):
     assert len(rows) > 150 and sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.98 * len(rows)
 
 
-def test_many_languages_share_a_bounded_sample(spark, monkeypatch):
-    """The most frequent labels are learned, by the same rule at any number of them."""
-    monkeypatch.setattr(language, "FIT_ROWS", 24)
-    rows = [(k, sentence("aa", k), f"l{k % 50:02d}" if k < 200 else "top", "s", "x", "p") for k in range(400)]
-    model = language.fit(spark.createDataFrame(rows, DOCS))
-    assert "top" in model.languages and len(model.languages) <= 3
+def fitted_rows(spark, monkeypatch, rows):
+    """The model, and the rows that it was fitted on."""
+    seen, train = [], language.train
+    monkeypatch.setattr(language, "train", lambda sample: seen.extend(sample) or train(sample))
+    return language.fit(spark.createDataFrame(rows, DOCS)), seen
+
+
+def test_every_language_is_learned_from_a_bounded_sample(spark, monkeypatch):
+    """A thousand labels, one of them with most rows: each gets LEAST_ROWS at most, by fewer places."""
+    letters = lambda k: "".join(chr(97 + k // 26**j % 26) * 2 for j in range(3))
+    rows = [(k, f"{letters(k % 1000)} " * 9 if k < 3000 else sentence("bb", k), f"l{k % 1000:03d}" if k < 3000 else "top", "s", "x", "p") for k in range(4000)]
+    model, sample = fitted_rows(spark, monkeypatch, rows)
+    assert len(model.languages) == 1001 and len(model.idf) == 1 << language.bits_for(1001) < 1 << language.BITS
+    held = Counter(lang for lang, _ in sample)
+    assert held["top"] == language.LEAST_ROWS and max(held.values()) == language.LEAST_ROWS and len(held) == 1001 and 1 <= held["l007"] <= 3
+    text = f"{letters(7)} " * 40
+    assert model.languages[model.predict(np.array([language.counts(text, model.bits)]))[0][0]] == "l007"
+    assert language.bits_for(10**6) == language.LEAST_BITS
+
+
+def test_equal_and_null_ids_do_not_swell_the_sample(spark, monkeypatch):
+    """One text many times, and many texts under a null doc_id: exactly MOST_ROWS distinct rows of either language, whatever repeats."""
+    monkeypatch.setattr(language, "MOST_ROWS", 20)
+    rows = [(1, "one text again and again", "aa", "s", "x", "p")] * 3000 + [(None, sentence("bb", k), "bb", "s", "x", "p") for k in range(3000)]
+    rows += [(k, sentence("aa", k), "aa", "s", "x", "p") for k in range(10, 400)]
+    model, sample = fitted_rows(spark, monkeypatch, rows)
+    assert Counter(lang for lang, _ in sample) == {"aa": 20, "bb": 20} and model.languages == ["aa", "bb"]
+    assert len({c.tobytes() for lang, c in sample if lang == "aa"}) == 20
 
 
 def test_language_that_was_not_fitted():
