@@ -17,7 +17,9 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
+from chunkmill.functions.scalar import newlines
 from chunkmill.plans.schema import CHUNK
 
 Span = tuple[int, int, str | None]  # first byte or character, end, symbol
@@ -245,15 +247,24 @@ def _bytes_at(text: str, places: set[int]) -> dict[int, int]:
     return out
 
 
-def chunk_files(files: DataFrame) -> DataFrame:
-    """(path, content, language) to chunks, file by file, without a shuffle."""
+def chunk_files(files: DataFrame, *keep: str) -> DataFrame:
+    """(path, content, language) to chunks, file by file, without a shuffle; string columns to keep come along."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = CHUNK.fieldNames()
         kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()]
         for batch in batches:
-            rows = [c for r in batch.to_pylist() for c in chunk_source(r["path"], r["content"], r["language"])]
-            yield pa.RecordBatch.from_arrays([pa.array([getattr(c, n) for c in rows], t) for n, t in zip(names, kinds, strict=True)], names=names)
+            rows = [(c, r) for r in batch.to_pylist() for c in chunk_source(r["path"], r["content"], r["language"])]
+            columns = [pa.array([getattr(c, n) for c, _ in rows], t) for n, t in zip(names, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array([r[n] for _, r in rows], pa.string()) for n in keep], names=[*names, *keep])
 
-    ready = files.where(F.col("language").isNotNull() & F.col("content").isNotNull()).select("path", F.col("content").cast("binary"), "language")
-    return ready.mapInArrow(run, CHUNK)
+    ready = files.where(F.col("language").isNotNull() & F.col("content").isNotNull()).select("path", F.col("content").cast("binary"), "language", *keep)
+    return ready.mapInArrow(run, StructType([*CHUNK.fields, *(StructField(n, StringType()) for n in keep)]))
+
+
+def whole_files(files: DataFrame) -> DataFrame:
+    """(path, content) to a chunk for each file that isn't blank, as for a file without declarations: lines and bytes of the whole, no symbol."""
+    text = F.decode("content", "UTF-8")
+    size = F.length("content").cast("int")
+    rows = files.where(text.rlike(r"(?U)\S"))
+    return rows.select("path", F.lit(1).alias("start_line"), (newlines(text) + 1).alias("end_line"), F.lit(0).alias("start_byte"), size.alias("end_byte"), text.alias("text"), F.lit(None).cast("string").alias("symbol"))

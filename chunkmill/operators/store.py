@@ -88,19 +88,31 @@ class Table:
         """The latest version, 0 where there is none."""
         return max(self.versions(part), default=0)
 
-    def entries(self, part: str, version: int | None = None) -> list[dict]:
-        """Of a version: {seq, data, gone}, oldest first. seq is the version that wrote the rows, data and gone are folders."""
+    def manifest(self, part: str, version: int | None = None) -> dict:
+        """Of a version: entries {seq, data, gone}, oldest first, where seq is the version that wrote the rows and data and gone are folders; and the last batch of each stream that it holds."""
         version = self.version(part) if version is None else version
-        return json.loads(self.files.read(self._at(part, "manifests", f"{version:012d}.json"))) if version else []
+        return json.loads(self.files.read(self._at(part, "manifests", f"{version:012d}.json"))) if version else {"entries": [], "batches": {}}
+
+    def entries(self, part: str, version: int | None = None) -> list[dict]:
+        return self.manifest(part, version)["entries"]
+
+    def holds(self, part: str, batch: tuple[str, int]) -> bool:
+        """Whether a batch (stream, number) of a stream has been merged."""
+        return self.manifest(part)["batches"].get(batch[0], -1) >= batch[1]
+
+    def _commit(self, part: str, change: Callable[[list[dict], int], list[dict] | None], batch: tuple[str, int] | None = None) -> int:
+        """Give the next version's name to what change(entries, version) makes of the latest entries; it is asked again after a lost race.
 
-    def _commit(self, part: str, change: Callable[[list[dict], int], list[dict] | None]) -> int:
-        """Give the next version's name to what change(entries, version) makes of the latest entries; it is asked again after a lost race. None: nothing is to be done."""
+        None: nothing is to be done. Nor is where the version holds the batch already, which is noted in the same manifest as its entry.
+        """
         for _ in range(self.TRIES):
             latest = self.version(part)
-            entries = change(self.entries(part, latest), latest + 1)
-            if entries is None:
+            told = self.manifest(part, latest)
+            entries = change(told["entries"], latest + 1)
+            if entries is None or (batch and told["batches"].get(batch[0], -1) >= batch[1]):
                 return latest
-            if self.files.publish(self._at(part, "manifests", f"{latest + 1:012d}.json"), json.dumps(entries)):
+            batches = told["batches"] | ({batch[0]: batch[1]} if batch else {})
+            if self.files.publish(self._at(part, "manifests", f"{latest + 1:012d}.json"), json.dumps({"entries": entries, "batches": batches})):
                 return latest + 1
             time.sleep(random.uniform(0, 0.05))
         raise Conflict(f"{self.root}: no version of {part} could be committed")
@@ -126,7 +138,8 @@ class Table:
 
     def _merged(self, part: str, entries: list[dict]) -> DataFrame:
         """Rows of all folders without those that a later one replaces, by path or by key. What is joined is of the size of the deltas."""
-        load = lambda e: self.spark.read.schema(self.schema).parquet(self._at(part, e["data"])).withColumn("_seq", F.lit(e["seq"]))
+        found = lambda e: self.spark.read.schema(self.schema).parquet(self._at(part, e["data"])) if e["data"] else self._none()
+        load = lambda e: found(e).withColumn("_seq", F.lit(e["seq"]))
         frames = [load(e) for e in entries]
         if not frames:
             return self._none()
@@ -172,6 +185,28 @@ class Table:
             return self.compact(part)
         return version
 
+    def merge_parts(self, rows: DataFrame, gone: DataFrame, batch: tuple[str, int] | None = None) -> list[str]:
+        """merge() for many parts at once, which the column repo_id names: one job writes all rows and one all paths, then each part's version is committed. The parts that changed.
+
+        A batch of a stream that comes again changes nothing: a part that holds it is passed over.
+        """
+        parts = [r[0] for r in gone.select("repo_id").distinct().collect()]  # repositories, not paths
+        parts = sorted(p for p in parts if not (batch and self.holds(p, batch)))
+        if not parts:
+            return []
+        folder, own = f"batch-{uuid.uuid4().hex}", F.col("repo_id").isin(parts)
+        write = lambda df, name: df.write.partitionBy("_part").options(**self.options).parquet(f"{self.root}/_batches/{folder}/{name}")
+        write(self._shaped(latest(rows.where(own), self.key)).withColumn("_part", F.col("repo_id")), "data")
+        write(gone.where(own).select(F.col("repo_id").alias("_part"), self.by).distinct(), "gone")
+        filled = {n.removeprefix("_part=") for n in self.files.names(f"{self.root}/_batches/{folder}/data")}
+        for part in parts:
+            at = lambda name, part=part: f"../_batches/{folder}/{name}/_part={part}"
+            data = at("data") if part in filled else None
+            self._commit(part, lambda entries, n, at=at, data=data: [*entries, {"seq": n, "data": data, "gone": at("gone")}], batch)
+            if len(self.entries(part)) > self.MOST_DELTAS:
+                self.compact(part)
+        return parts
+
     def compact(self, part: str) -> int:
         """Fold what the latest version lists into one folder. Deltas that arrive meanwhile stay behind it; after a new base there is nothing to do."""
         old = self.entries(part)
@@ -189,6 +224,12 @@ class Table:
                 self.files.delete(self._at(part, "manifests", name))
                 went += 1
         listed = {e[k] for v in self.versions(part) for e in self.entries(part, v) for k in ("data", "gone")}
+        for folder, changed in self.files.changed(f"{self.root}/_batches"):
+            for kind in ("data", "gone"):
+                name = f"../_batches/{folder}/{kind}/_part={part}"
+                if name not in listed and now - changed > older_than and self.files.exists(self._at(part, name)):
+                    self.files.delete(self._at(part, name))
+                    went += 1
         for name, changed in self.files.changed(self._at(part)):
             if name.startswith(("data-", "gone-")) and name not in listed and now - changed > older_than:
                 self.files.delete(self._at(part, name))
@@ -221,9 +262,13 @@ class Registry:
     def read_all(self) -> DataFrame:
         return self.table.read(self.PART)
 
-    def replace(self, repo_id: str, rows: DataFrame) -> int:
+    def put(self, rows: DataFrame) -> int:
+        """Rows of any repositories, in place of those they had."""
         return self.table.merge(self.PART, rows)
 
+    def replace(self, repo_id: str, rows: DataFrame) -> int:
+        return self.put(rows)
+
 
 def chunk_table(spark: SparkSession, root: str) -> Table:
     return Table(spark, root, "chunks", POINT)

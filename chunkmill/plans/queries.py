@@ -14,6 +14,7 @@ from chunkmill.operators import chunker, inspect, savings, search, staleness, st
 from chunkmill.operators.vector_index import VectorIndex
 from chunkmill.plans import schema as C
 from chunkmill.plans import views as V
+from chunkmill.streaming import ledger
 
 LIMIT, WIDE = 10, 15
 AS_OF, DAYS = "2024-01-31 00:00:00", 14
@@ -221,8 +222,8 @@ def language_for(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT doc_id, 1 AS start_line, CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS INTEGER) AS end_line, CAST(0 AS BIGINT) AS start_byte, CAST(octet_length(encode(text)) AS BIGINT) AS end_byte
 FROM documents WHERE regexp_matches(text, '\\S')""")
 def whole_file_chunks(spark: SparkSession, d: str) -> DataFrame:
-    rows = V.read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "UTF-8").alias("content"), F.lit("javascript").alias("language"))
-    whole = chunker.chunk_files(rows).where("symbol is null")
+    rows = V.read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "UTF-8").alias("content"))
+    whole = chunker.whole_files(rows)
     return whole.select(F.col("path").cast("bigint").alias("doc_id"), "start_line", "end_line", F.col("start_byte").cast("bigint").alias("start_byte"), F.col("end_byte").cast("bigint").alias("end_byte"))
 
 
@@ -285,12 +286,16 @@ def savings_per_query(spark: SparkSession, d: str) -> DataFrame:
     return savings.per_query(hits, files)
 
 
-def _events(spark: SparkSession, d: str) -> DataFrame:
-    """Events as lines of a ledger, parsed: every 50th line is corrupt and every 77th has a time that can't be read."""
-    e = V.read(spark, d, "events")
+def _events(spark: SparkSession, d: str, times: int = 0) -> DataFrame:
+    """Events as lines of a ledger, parsed: every 50th line is corrupt and every 77th has a time that can't be read. times: as a stream that delivers each so often."""
+    table = V.read(spark, d, "events")
+    e = table
+    for k in range(times):
+        some = spark.readStream.schema(table.schema).option("pathGlobFilter", "events.parquet").parquet(d)
+        e = e.unionByName(some) if k else some
     corrupt, unread = F.col("event_id") % 50 == 0, F.col("event_id") % 77 == 5
     event = F.struct(
-        F.when(unread, "yesterday").otherwise(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")).alias("ts"), (100 + F.col("user_id") % 900).alias("baseline_tokens_upper"),
+        F.col("event_id").cast("string").alias("event_id"), F.when(unread, "yesterday").otherwise(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")).alias("ts"), (100 + F.col("user_id") % 900).alias("baseline_tokens_upper"),
         (F.col("event_id") % 100).alias("returned_tokens"), (100 + F.col("user_id") % 900 - F.col("event_id") % 100).alias("saved_tokens_upper"),
     )
     broken = F.when(F.col("event_id") % 100 == 0, '{"ts": ').otherwise('{"returned_tokens": 1}')
@@ -324,15 +329,32 @@ def ledger_window(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{EVENTS_SQL} SELECT time_bucket(INTERVAL 7 DAY, t, TIMESTAMP '1970-01-01') AS window_start, count(*) AS queries, CAST(sum(r) AS BIGINT) AS returned_tokens, CAST(sum(b) AS BIGINT) AS baseline_tokens_upper, CAST(sum(s) AS BIGINT) AS saved_tokens_upper FROM e WHERE t IS NOT NULL GROUP BY 1")
 def ledger_stream_window(spark: SparkSession, d: str) -> DataFrame:
-    import uuid
+    """All windows, open ones too, as they are after the last batch."""
+    windows = ledger.windowed(ledger.timed(_events(spark, d, 1)))
+    return _moments(ledger.all_windows(windows, workspace(spark, "ledger"))).drop("window_end")
 
-    from chunkmill.streaming import ledger
 
-    schema = V.read(spark, d, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    rows = stream.where("event_id % 50 <> 0 and event_id % 77 <> 5").select((F.col("event_id") % 100).alias("returned_tokens"), (100 + F.col("user_id") % 900).alias("baseline_tokens_upper"), F.col("ts").cast("timestamp").alias("time"))
-    done = ledger.run_available(ledger.windowed(rows.withColumn("saved_tokens_upper", F.col("baseline_tokens_upper") - F.col("returned_tokens"))), f"ledger_{uuid.uuid4().hex}")
-    return done.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+def _moments(windows: DataFrame) -> DataFrame:
+    return windows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
+
+
+TRAILING_SQL = f"""{EVENTS_SQL}, b AS (SELECT unnest(generate_series(date_trunc('day', (SELECT min(t) FROM e)) - INTERVAL {DAYS - 1} DAY, (SELECT max(t) FROM e), INTERVAL 1 DAY)) AS window_start)
+SELECT window_start, window_start + INTERVAL {DAYS} DAY AS window_end, count(*) AS queries, CAST(sum(r) AS BIGINT) AS returned_tokens, CAST(sum(b) AS BIGINT) AS baseline_tokens_upper, CAST(sum(s) AS BIGINT) AS saved_tokens_upper
+FROM b JOIN e ON t >= window_start AND t < window_start + INTERVAL {DAYS} DAY WHERE window_start + INTERVAL {DAYS} DAY <= (SELECT max(t) - INTERVAL 1 DAY FROM e) GROUP BY 1"""
+
+
+@query(TRAILING_SQL)
+def ledger_stream_trailing(spark: SparkSession, d: str) -> DataFrame:
+    """Sums of the last days for each day that is over."""
+    windows = ledger.trailing(ledger.timed(_events(spark, d, 1)), DAYS)
+    return _moments(ledger.closed_windows(windows, workspace(spark, "ledger")))
+
+
+@query(TRAILING_SQL)
+def ledger_stream_once(spark: SparkSession, d: str) -> DataFrame:
+    """The same of a stream that delivers each event twice."""
+    windows = ledger.trailing(ledger.once(ledger.timed(_events(spark, d, 2))), DAYS)
+    return _moments(ledger.closed_windows(windows, workspace(spark, "ledger")))
 
 
 def _new_chunks(c: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -18,9 +18,10 @@ from chunkmill.operators import evaluate as E
 from chunkmill.operators import inspect, savings, search, store, symbol
 from chunkmill.operators.chunker import chunk_files
 from chunkmill.plans import schema as C
-from chunkmill.sources import eval_inputs, git, ledger
+from chunkmill.sources import changes, eval_inputs, git, ledger
 from chunkmill.sources.embed import Embedder, embed_chunks, embed_query
 from chunkmill.sources.repo_files import repo_files, walk
+from chunkmill.streaming import reindex
 
 
 @dataclass
@@ -75,10 +76,9 @@ class Service:
         if repo is None:
             found = repo_id(path)
             repo, path = found["repo_id"], found["repo_root"]
-        files = repo_files(self.spark, path, changed).withColumn("language", S.language_for(F.col("path")))
+        files = repo_files(self.spark, path, changed)
         skipped = files.where("skipped is not null").count()
-        chunks = embed_chunks(chunk_files(files.where("skipped is null")).withColumn("repo_id", F.lit(repo)), self.embedder)
-        points = chunks.select(S.chunk_id(F.col("repo_id"), F.col("path"), F.col("start_byte"), F.col("end_byte")).alias("id"), "repo_id", "path", "language", "start_line", "end_line", F.col("text").alias("code"), "symbol", "vector")
+        points = self._points(files.where("skipped is null").select(F.lit(repo).alias("repo_id"), "path", "content"))
         if changed is not None:
             gone = self.spark.createDataFrame([(repo, p) for p in changed], "repo_id string, path string")
             store.merge_into(self.chunks, repo, points, gone)
@@ -92,6 +92,38 @@ class Service:
         self.registry.replace(repo, self.spark.createDataFrame([row], C.REGISTRY))
         return {"repo_id": repo, "files": total["file_count"], "chunks": total["chunk_count"], "skipped": skipped, "sha": sha, "incremental": changed is not None, "skipped_scope": "all" if changed is None else "changed"}
 
+    def _points(self, files: DataFrame) -> DataFrame:
+        """Chunks with vectors of files (repo_id, path, content) of any number of repositories."""
+        rows = files.withColumn("language", S.language_for(F.col("path")))
+        chunks = embed_chunks(chunk_files(rows, "repo_id"), self.embedder)
+        return chunks.select(S.chunk_id(F.col("repo_id"), F.col("path"), F.col("start_byte"), F.col("end_byte")).alias("id"), "repo_id", "path", "language", "start_line", "end_line", F.col("text").alias("code"), "symbol", "vector")
+
+    # Following changes
+
+    def _changes(self) -> str:
+        return f"{self.root.rstrip('/')}/changes"
+
+    def changed(self, path: str, paths: list[str]) -> int:
+        """Note changed files of a working tree in the log that follow() reads; for a commit hook. The change set's number."""
+        at = repo_id(path)
+        return changes.append(self.spark, self._changes(), at["repo_id"], at["repo_root"], git.head(path), paths)
+
+    def merge_changes(self, rows: DataFrame, batch: int) -> list[str]:
+        """Index a batch of changes (repo_id, repo_path, path, sha, number) of any repositories: files are read, cut and embedded in one plan, and merged once however often the batch comes. The repositories that changed."""
+        done = self.chunks.merge_parts(self._points(reindex.contents(rows)), rows.select("repo_id", "path"), ("changes", batch))
+        if done:
+            now = self.chunks.read(done[0])
+            for repo in done[1:]:
+                now = now.unionByName(self.chunks.read(repo))
+            found = inspect.repositories(now).join(reindex.latest_commit(rows), "repo_id").join(self.registry.read_all().select("repo_id", "skipped_count"), "repo_id", "left")
+            moment = F.lit(datetime.now(UTC).isoformat())
+            self.registry.put(found.select("repo_id", F.col("sha").alias("indexed_sha"), moment.alias("indexed_at"), "chunk_count", "file_count", F.coalesce("skipped_count", F.lit(0)).alias("skipped_count"), "languages"))
+        return done
+
+    def follow(self) -> None:
+        """Index what the log of changes holds beyond what was read before."""
+        reindex.on_changes(changes.stream(self.spark, self._changes()), self.merge_changes, f"{self.root.rstrip('/')}/changes-read").awaitTermination()
+
     def reindex(self, path: str, incremental: bool = False) -> dict:
         """Full, or only what changed since the indexed commit; nothing where that is the current one."""
         found = repo_id(path)

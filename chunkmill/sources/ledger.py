@@ -15,7 +15,7 @@ from chunkmill.sources.files import Files
 def append(spark: SparkSession, folder: str, event: dict) -> bool:
     """Best effort: a failure never fails the search."""
     try:
-        line = json.dumps({"ts": datetime.now(UTC).isoformat(), **event})
+        line = json.dumps({"event_id": uuid.uuid4().hex, "ts": datetime.now(UTC).isoformat(), **event})
         Files(spark).write(f"{folder}/{uuid.uuid4().hex}.jsonl", line + "\n")
         return True
     except Exception:
