@@ -11,6 +11,7 @@ from chunkmill.functions import scalar as S
 from chunkmill.functions.session import workspace
 from chunkmill.operators import evaluate as E
 from chunkmill.operators import chunker, inspect, savings, search, staleness, store, symbol
+from chunkmill.operators.text_index import TextIndex
 from chunkmill.operators.vector_index import VectorIndex
 from chunkmill.plans import schema as C
 from chunkmill.plans import views as V
@@ -139,6 +140,13 @@ def symbol_search(spark: SparkSession, d: str) -> DataFrame:
     return symbol.symbol_search(V.read(spark, d, "documents").select("doc_id", "text"), WORD)
 
 
+@query(_SQL["symbol_search"])
+def symbol_search_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """By trigrams: blocks that can't hold the word aren't read."""
+    rows = V.read(spark, d, "documents").select("doc_id", "lang", "text")
+    return TextIndex.build(rows, workspace(spark, "text-index"), "lang").search(WORD).select("doc_id", "line_no", "line")
+
+
 @query(rf"""{WITH}, found AS (SELECT DISTINCT path FROM chunks WHERE regexp_matches(code, '(^|[^A-Za-z0-9_]){WORD}([^A-Za-z0-9_]|$)'))
 SELECT count(*) AS expected, count(f.path) AS present, round(count(f.path)::DOUBLE / count(*), 6) AS symbol_completeness FROM (SELECT DISTINCT path FROM chunks) c LEFT JOIN found f USING (path)""")
 def symbol_completeness(spark: SparkSession, d: str) -> DataFrame:

@@ -46,6 +46,8 @@ LANGUAGE_STAT = _struct("language string, files bigint, chunks bigint")
 REGISTRY = _struct("repo_id string, indexed_sha string, indexed_at string, chunk_count bigint, file_count bigint, skipped_count bigint", languages=T.ArrayType(LANGUAGE_STAT))
 HIT = _struct("path string, language string, start_line int, end_line int, code string, symbol string, score double")
 FILE = _struct("path string, size bigint, content binary, skipped string")
+LISTED = _struct("path string, size bigint, language string, skipped string")
+VECTOR = _struct("digest string", vector=T.ArrayType(T.FloatType()))
 CHANGE = _struct("repo_id string, repo_path string, path string, sha string, number bigint")
 LEDGER = _struct("event_id string, ts string, repo_id string, query string, count int, returned_tokens bigint, baseline_tokens_upper bigint, saved_tokens_upper bigint, files_counted int, files_missing int")
 CASE = _struct(

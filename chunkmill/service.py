@@ -19,8 +19,9 @@ from chunkmill.operators import inspect, savings, search, store, symbol
 from chunkmill.operators.chunker import chunk_files
 from chunkmill.plans import schema as C
 from chunkmill.sources import changes, eval_inputs, git, ledger
-from chunkmill.sources.embed import Embedder, embed_chunks, embed_query
+from chunkmill.sources.embed import Embedder, embed_query
 from chunkmill.sources.repo_files import repo_files, walk
+from chunkmill.sources.vectors import Vectors
 from chunkmill.streaming import reindex
 
 
@@ -68,6 +69,7 @@ class Service:
         python_path(spark)
         self.spark, self.root, self.embedder = spark, root, embedder
         self.chunks, self.registry = chunks or store.chunk_table(spark, root), registry or store.registry_table(spark, root)
+        self.vectors = Vectors(spark, root, embedder)
 
     # Indexing
 
@@ -95,7 +97,7 @@ class Service:
     def _points(self, files: DataFrame) -> DataFrame:
         """Chunks with vectors of files (repo_id, path, content) of any number of repositories."""
         rows = files.withColumn("language", S.language_for(F.col("path")))
-        chunks = embed_chunks(chunk_files(rows, "repo_id"), self.embedder)
+        chunks = self.vectors.embed(chunk_files(rows, "repo_id"))
         return chunks.select(S.chunk_id(F.col("repo_id"), F.col("path"), F.col("start_byte"), F.col("end_byte")).alias("id"), "repo_id", "path", "language", "start_line", "end_line", F.col("text").alias("code"), "symbol", "vector")
 
     # Following changes
