@@ -7,7 +7,10 @@ labelled pages: a fixed set that is built from parts, a third of which have name
 words and tags finds the contiguous run with the largest sum; blocks inside it that score below zero, such as an advert
 between two paragraphs, are left out of the text, and cost a run inside an article no more than a tag does. Blocks end at block-level tags; <br> counts as white space.
 
-Names on an element that holds the first article, or a main heading with paragraphs, say nothing about what is inside.
+Names on an element that holds the first article, or a main heading with paragraphs, say nothing about what is inside, nor do
+parts of names that are words of the page's title or main heading: an article on cookies may have a "cookie-recipe". Inside an
+element of main text, links alone don't speak against a block where nothing else does: an article may list links.
+The weights are fitted once, on the driver, and sent to the tasks.
 
 Defined results: null html is an empty text, as is a page without a run above zero; cut-off pages, unclosed elements,
 comments, scripts and quoted ">" are read to the end; form controls, noscript, iframes and the like have no words, formulas
@@ -41,6 +44,11 @@ CELL = {"td", "th", "br"}
 MOST, TAG = 4.0, -0.1
 #: What the elements around can add at most to what speaks against an element; a sum that no element inside makes good.
 CAP, LOST = 2.0, -2.8
+#: Sum of the elements around, now and at most on the way in, above which links don't speak against a block unless one of the elements
+#: speaks as much against it, and what the block then has at least.
+SURE, LISTED = 1.5, 0.3
+#: Least letters of a word of the topic; shorter ones are names by chance.
+TOPIC = 6
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|select|iframe|object|canvas|button)\b(?>[^>"']|"[^"]*"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"""
     r"""|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?>[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""",
@@ -58,10 +66,13 @@ def skeleton(part: str) -> str:
     return DOUBLE.sub(r"\1", VOWELS.sub("", part.removesuffix("s")))
 
 
-def name_features(attributes: str) -> set[str]:
+def name_features(attributes: str, topic: set[str] = frozenset()) -> set[str]:
+    """Of the parts of the names that aren't words of the topic."""
     out: set[str] = set()
     for m in NAMES.finditer(attributes):
         for part in PART.findall((m[1] or m[2] or m[3] or "").lower()):
+            if len(part) >= TOPIC and part.removesuffix("s") in topic:
+                continue
             out.add("." + part)
             if len(part) > 2:
                 out.add("~" + skeleton(part))
@@ -98,7 +109,7 @@ class Page:
         self.blocks: list[Block] = []
         self.tags = 0  # after the last block
         tokens = [(m.start(), m.end(), (m[3] or m[6] or "").lower(), (m[2] if m[3] else m[5]) or "", m[4] or m[7] or "") for m in TOKEN.finditer(page)]
-        holds = self._wrappers(tokens)
+        holds, topic = self._wrappers(tokens), self._topic(page, tokens)
         stack: list[tuple[str, set[str], object]] = []
         names: Counter = Counter()
         active: Counter = Counter()
@@ -147,7 +158,7 @@ class Page:
             elif name not in EMPTY:
                 while stack and stack[-1][0] in CLOSES.get(name, {"p"} if name != "p" else ()):
                     close(len(stack) - 1)
-                own = {name} | (set() if k in holds else name_features(attributes))
+                own = {name} | (set() if k in holds else name_features(attributes, topic))
                 fresh = [f for f in own if not active[f]]
                 active.update(own)
                 names[name] += 1
@@ -161,6 +172,21 @@ class Page:
             tags = 0
         self.tags = tags
 
+    @staticmethod
+    def _topic(page: str, tokens: list[tuple]) -> set[str]:
+        """Words of the title and of main headings, without a plural's s."""
+        out: set[str] = set()
+        open_name, at = None, 0
+        for start, end, name, closing, _ in tokens:
+            if open_name:
+                out.update(w.removesuffix("s") for w in PART.findall(entities.unescape(page[at:start]).lower()))
+            at = end
+            if name in ("title", "h1"):
+                open_name = None if closing else name
+            elif name in BLOCK:
+                open_name = None
+        return out
+
     @staticmethod
     def _wrappers(tokens: list[tuple]) -> set[int]:
         """Start tags of elements that hold the first article, or a main heading and two paragraphs."""
@@ -332,18 +358,20 @@ class Weights:
         self.plain = float(w[-1])
         self.tag, self.cap = TAG, CAP
 
-    def block(self, around: tuple[float, float], own: list[str]) -> tuple[float, float]:
+    def block(self, around: tuple[float, float, float], own: list[str]) -> tuple[float, float]:
         """Score of each word of a block; and of where it stands, whatever its length and ending."""
         place = around[0] + sum(self.word.get(f, 0.0) for f in own if f[:5] == "links")
         value = place + sum(self.word.get(f, 0.0) for f in own if f[:5] != "links")
+        if around[1] > SURE and around[0] > SURE and around[2] > -SURE:
+            place, value = max(place, LISTED), max(value, LISTED)
         return max(-MOST, min(MOST, value)), place
 
-    def around(self, before: tuple[float, float] | None, fresh) -> tuple[float, float]:
-        """The sum over the elements around, and the largest of such sums on the way in."""
-        total, most = before or (self.plain, 0.0)
+    def around(self, before: tuple[float, float, float] | None, fresh) -> tuple[float, float, float]:
+        """The sum over the elements around, the largest of such sums on the way in, and what the element adds that speaks most against it."""
+        total, most, worst = before or (self.plain, 0.0, 0.0)
         more = sum(self.word.get(f, 0.0) for f in fresh)
         total = total + min(more, 0.0) if total < LOST else min(total, self.cap) + more
-        return total, max(most, total)
+        return total, max(most, total), min(worst, more)
 
 
 def best_run(scores: list[float]) -> tuple[int, int]:
@@ -380,11 +408,9 @@ def weights() -> Weights:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars. No shuffle."""
     arrow_limits(pages.sparkSession, 500)
+    fitted = weights()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from chunkmill.llm.op2_html import weights
-
-        fitted = weights()
         for batch in batches:
             found = [main_text("" if h is None else h, fitted) for h in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())], names=["page_id", "url", "text", "n_chars"])

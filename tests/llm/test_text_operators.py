@@ -113,6 +113,11 @@ def test_main_text(html, text):
     ("<div class='page has-sidebar with-comments'><div class=main><h1>A title here</h1><p>First paragraph, quite long one.</p><p>Second paragraph of it.</p></div><div class=sidebar><p>Some side text of the page.</p></div></div>", "A title here\n\nFirst paragraph, quite long one.\n\nSecond paragraph of it."),
     ("<article><header><h1>The title</h1><p class=byline>By Ann, 3 May</p></header><p>Text is here and long enough.</p><ul><li>one</li><li>two</li></ul><p>Short.</p></article>", "The title\n\nText is here and long enough.\n\none\n\ntwo\n\nShort."),
     ("<main><article class=post><header><h2 class=entry-title>Cold dough</h2></header><div class=entry-content><p>Bread rises slowly when it is cold, and nobody minds.</p><div class='code-block ad-slot'>Advertisement Buy a mixer today!</div><p>It ends here.</p></div></article><div id=comments class=comments-area><ol><li><article class=comment-body><p>I tried this and it worked very well for me, thanks a lot!</p></article></li></ol></div></main><aside><ul><li><a>Warm dough and its troubles</a></li></ul></aside>", "Cold dough\n\nBread rises slowly when it is cold, and nobody minds.\n\nIt ends here."),
+    ("<nav class=menu><ul><li><a>Home</a></li></ul></nav><article><h1>Tools we use</h1><p>There are many tools for this job, and we have tried most of them.</p><ul><li><a href=/x>Hammer guide</a></li><li><a href=/y>Saw guide</a></li></ul><p>Both of them have pages of their own, with pictures.</p></article>", "Tools we use\n\nThere are many tools for this job, and we have tried most of them.\n\nHammer guide\n\nSaw guide\n\nBoth of them have pages of their own, with pictures."),
+    ("<article><h1>Links of the week</h1><ul><li><a>How to build a shed</a></li><li><a>Ten ways to paint a wall</a></li></ul></article><footer>Copyright</footer>", "Links of the week\n\nHow to build a shed\n\nTen ways to paint a wall"),
+    ("<article><h1>The shed</h1><p>It stands behind the house and is quite old.</p><ul class=related><li><a>More on sheds</a></li><li><a>More on houses</a></li></ul></article>", "The shed\n\nIt stands behind the house and is quite old."),
+    ("<main><h1>Cookie baking</h1><div class='cookie-recipe'><p>Mix the butter and the sugar until light, then add the eggs one by one.</p></div></main>", "Cookie baking\n\nMix the butter and the sugar until light, then add the eggs one by one."),
+    ("<main><h1>Bread baking</h1><p>Mix the flour and the water until smooth, then wait.</p><div class='cookie-bar'><p>We use cookies on this page, and so do others.</p></div></main>", "Bread baking\n\nMix the flour and the water until smooth, then wait."),
     ("<article><p>See <a href=x>the long list of things</a> for more.</p><p>End</p></article>", "See the long list of things for more.\n\nEnd"),
 ])
 def test_pages_with_other_names_and_elements(html, text):
@@ -146,6 +151,12 @@ def test_whole_table_against_a_plain_reading(spark):
         assert got[r["page_id"]] == "\n\n".join(filter(None, blocks))
 
 
+def test_no_pages(spark):
+    empty = spark.createDataFrame([], "page_id long, url string, html string, text string")
+    assert page.extract(empty).count() == 0 and page.extract(empty).columns == ["page_id", "url", "text", "n_chars"]
+    assert [tuple(r) for r in page.extract(spark.createDataFrame([(None, None, None, "x")], empty.schema)).collect()] == [(None, None, "", 0)]
+
+
 def test_deep_and_broken_pages_take_linear_time():
     import time
 
