@@ -26,7 +26,9 @@ LANGUAGES = {
     ".ts": "typescript", ".mts": "typescript", ".cts": "typescript", ".tsx": "tsx",
 }
 #: Outcome codes.
-OK, BAD_INPUT, NOT_A_REPO, UNAVAILABLE, NOT_INDEXED = 0, 2, 3, 4, 5
+OK, BAD_INPUT, NOT_A_REPO, UNAVAILABLE, NOT_INDEXED, EMBEDDER_DOWN, FAILED = 0, 2, 3, 4, 5, 6, 7
+#: Results of an exact search that an outcome carries itself; more are written.
+MOST_RESULTS = 10_000
 METRICS = {"recall_at_k": True, "mrr": True, "noise_at_k": False, "definition_rank_pass_rate": True, "symbol_completeness": True}
 
 
@@ -48,6 +50,7 @@ HIT = _struct("path string, language string, start_line int, end_line int, code
 FILE = _struct("path string, size bigint, content binary, skipped string")
 LISTED = _struct("path string, size bigint, language string, skipped string")
 VECTOR = _struct("digest string", vector=T.ArrayType(T.FloatType()))
+LEDGER_LINE = _struct("id string, value string")
 CHANGE = _struct("repo_id string, repo_path string, path string, sha string, number bigint")
 LEDGER = _struct("event_id string, ts string, repo_id string, query string, count int, returned_tokens bigint, baseline_tokens_upper bigint, saved_tokens_upper bigint, files_counted int, files_missing int")
 CASE = _struct(

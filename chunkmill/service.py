@@ -6,6 +6,7 @@ import hashlib
 import json
 import os
 import re
+import uuid
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
@@ -153,7 +154,9 @@ class Service:
         row = self.registry.read(repo).where(F.col("repo_id") == repo).limit(1).first()
         return None if row is None else row.asDict(recursive=True)
 
-    stats = get_repo
+    def stats(self, repo: str) -> dict | None:
+        """Counts of a repository as they were registered; None for an unknown one."""
+        return self.get_repo(repo)
 
     def files(self, repo: str, offset: int = 0, limit: int = C.DEFAULT_PAGE, language: str | None = None) -> dict | None:
         _between("offset", offset, 0, None)
@@ -245,8 +248,17 @@ class Service:
             return Outcome(C.BAD_INPUT, {"message": "the query is blank"})
         out = {"repo_id": repo, "query": q, "mode": mode, "count": 0, "results": [], "savings": None, "used_index": False, "fallback_reason": None, "fallback_message": None, "next_action": None, "indexed_this_run": False, "index_result": None, "index_stale": False, "changed_files_not_indexed": None}
         if mode == "symbol":
-            hits = [r.asDict() for r in self.symbol_search(path, identifier or q).orderBy("path", "start_line").collect()]
-            return Outcome(C.OK, out | {"count": len(hits), "results": hits, "used_index": True, "savings": self._savings_of([], path)})
+            found = self.symbol_search(path, identifier or q)
+            hits = [r.asDict() for r in found.limit(C.MOST_RESULTS + 1).collect()]
+            more = {}
+            if len(hits) > C.MOST_RESULTS:  # all are in a table, the first ones here
+                where = f"{self.root.rstrip('/')}/results/{uuid.uuid4().hex}"
+                found.write.parquet(where)
+                written = self.spark.read.parquet(where)
+                more = {"count": written.count(), "results_path": where}
+                hits = [r.asDict() for r in written.orderBy("path", "start_line").limit(C.MOST_RESULTS).collect()]
+            hits.sort(key=lambda h: (h["path"], h["start_line"]))
+            return Outcome(C.OK, out | {"count": len(hits), "results": hits, "used_index": True, "savings": self._savings_of([], path)} | more)
         fall = lambda reason, text: Outcome(C.OK, out | {"fallback_reason": reason, "fallback_message": text, "next_action": "workspace_search"})
         if not self.health().ok:
             return fall("store_unavailable", "the store can't be reached")
@@ -273,6 +285,10 @@ class Service:
         moment = F.current_timestamp() if as_of is None else F.lit(as_of).cast("timestamp")
         return savings.rollup(ledger.read(self.spark, self._ledger(repo)), days, moment).first().asDict()
 
+    def compact_ledger(self, repo: str) -> int:
+        """Fold the files of single searches into one table; how many there were."""
+        return ledger.compact(self.spark, self._ledger(repo))
+
     def run_evaluation(self, cases: DataFrame, path: str, baseline: dict | None = None, tolerance: float = C.EVAL_TOLERANCE, update: str | None = None) -> dict:
         """Run every case (a hand-written list) against an indexed tree and evaluate; update names a baseline file to write.
 
