@@ -185,7 +185,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents that aren't rejected, with their own columns."""
+    """The documents that aren't rejected, with their own columns, null or of any name; documents without a text or a letter are rejected."""
     packed = docs.select("text", F.struct(F.lit(0).alias("none"), *[c for c in docs.columns if c != "text"]).alias("row"))
     out = predict(packed, fit(docs)).where(~F.col("rejected"))
     return out.select(*["text" if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])

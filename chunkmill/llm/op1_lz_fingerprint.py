@@ -11,7 +11,8 @@ quarter replaced by the successor's beginning. Texts move once, in a range shuff
 paired with the first of the next by a join of those rows alone.
 
 Defined results: a null text is empty; all empty texts share one fingerprint and are alike (1.0); null doc_ids come
-first; equal doc_ids are ordered by text; a single document is its own successor; an empty table gives no rows.
+first; equal doc_ids are ordered by text; a single document is its own successor; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ occurrences of all blocks are merged into removal spans of words. Documents neve
 
 Defined results: a null text or item has no words; items without words have no windows; repeated item rows count once by
 item_id, a null item_id as "null"; repeated documents get equal results; other columns are ignored; an empty benchmark
-hits nothing.
+hits nothing; texts of any length are held whole by a task. drop_contaminated() keeps rows with null columns and columns of
+any name, and drops all rows of a document that is hit.
 """
 
 from __future__ import annotations
@@ -237,17 +238,19 @@ def load(path: str) -> Block:
 
 def search_shard(documents: list[str | None], blocks: list[str]) -> list[tuple[int, list[tuple[int, int]], list[str]]]:
     """Per document of a shard: number of words, merged spans of hit words, items with occurring windows."""
-    n = np.array([len(words(t)) for t in documents], np.int64)
+    known: dict[bytes, int] = {}  # the shard's words, numbered from 1; each text is cut into words once, whatever the number of blocks
+    own = [np.array([known.setdefault(w, len(known) + 1) for w in words(t)], np.int64) for t in documents]
+    n = np.array([len(x) for x in own], np.int64)
     first = np.cumsum(n + 1) - (n + 1)
     cover = np.zeros(int((n + 1).sum()) + 1, np.int64)
+    places = np.zeros(len(cover) - 1, np.int64)
+    for k, x in enumerate(own):
+        places[first[k] : first[k] + n[k]] = x
     found: list[set[str]] = [set() for _ in documents]
     for path in blocks:
         block = load(path)
         get = block.vocabulary.get
-        ids = np.zeros(len(cover) - 1, np.int64)
-        for k, t in enumerate(documents):
-            ids[first[k] : first[k] + n[k]] = [get(w, 0) for w in words(t)]
-        which, at = occurrences(ids, block)
+        which, at = occurrences(np.array([0, *(get(w, 0) for w in known)], np.int64)[places], block)
         np.add.at(cover, at, 1)
         np.add.at(cover, at + block.lengths[which], -1)
         doc = np.searchsorted(first, at, side="right") - 1

@@ -9,7 +9,8 @@ A file: magic, number of levels and tokens, a table of section offsets, then per
 rank directory (ones before every 512 bits).
 
 Defined results: a null text is the empty text and yields the end id alone; rows are written by ascending doc_id, null
-first, ties by text; repeated rows are separate documents; other columns are ignored. An empty table yields no file.
+first, ties by text; repeated rows are separate documents; other columns are ignored. A text of any length is
+encoded whole. An empty table yields no file.
 """
 
 from __future__ import annotations
