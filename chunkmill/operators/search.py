@@ -43,7 +43,7 @@ def knn(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 def candidates(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The k nearest points of each query with all their columns: ranked by id and vector alone, and then looked up."""
-    top = knn_blocks(points.select("id", "vector"), queries.select("query_id", "query_vector"), k)
+    top = knn_arrow(points, queries, k)
     return points.drop("vector").join(top, "id").join(queries.drop("query_vector"), "query_id")
 
 
