@@ -20,7 +20,9 @@ from __future__ import annotations
 import hashlib
 import pickle
 import uuid
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -238,8 +240,8 @@ def load(path: str) -> Block:
 
 def search_shard(documents: list[str | None], blocks: list[str]) -> list[tuple[int, list[tuple[int, int]], list[str]]]:
     """Per document of a shard: number of words, merged spans of hit words, items with occurring windows."""
-    known: dict[bytes, int] = {}  # the shard's words, numbered from 1; each text is cut into words once, whatever the number of blocks
-    own = [np.array([known.setdefault(w, len(known) + 1) for w in words(t)], np.int64) for t in documents]
+    known: defaultdict[bytes, int] = defaultdict(count(1).__next__)  # the shard's words, numbered; each text is cut into words once, whatever the number of blocks
+    own = [np.fromiter(map(known.__getitem__, words(t)), np.int64) for t in documents]
     n = np.array([len(x) for x in own], np.int64)
     first = np.cumsum(n + 1) - (n + 1)
     cover = np.zeros(int((n + 1).sum()) + 1, np.int64)
