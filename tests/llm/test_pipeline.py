@@ -27,7 +27,7 @@ def test_query_equals_its_sql(spark, name):
 
 
 def test_every_operator_has_a_query():
-    assert [n.split("_")[0] for n in llm.queries() if n.startswith("op")] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in llm.queries() if n.startswith("op")] == [f"op{k}" for k in range(1, 14)]
     assert set(llm.queries()) | {"pipeline"} <= set(entry.queries())
 
 
