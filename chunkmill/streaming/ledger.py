@@ -27,12 +27,14 @@ def once(events: DataFrame) -> DataFrame:
 
 
 def _sums(rows: DataFrame, window: Column) -> DataFrame:
+    if rows.isStreaming and "spark.watermarkDelayMs" not in rows.schema["time"].metadata:
+        rows = rows.withWatermark("time", LATE)
     sums = [F.sum(c).alias(c) for c in ("returned_tokens", "baseline_tokens_upper", "saved_tokens_upper")]
     return rows.groupBy(window.alias("w")).agg(F.count("*").alias("queries"), *sums).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "queries", "returned_tokens", "baseline_tokens_upper", "saved_tokens_upper")
 
 
 def windowed(events: DataFrame, every: str = "7 days") -> DataFrame:
-    """Sums of timed() events in windows that follow each other."""
+    """Sums of timed() events in windows that follow each other; a stream without a watermark gets one."""
     return _sums(events, F.window("time", every))
 
 
