@@ -14,8 +14,12 @@
    component. Groups of copies never expand into all pairs. Blocks are bounded by rows and by bytes of text (a single text
    may be longer).
 5. A bucket with very many rows outside its largest component (texts that share a long passage and little else) is split
-   by a further band, up to DEPTH bands: a pair is then looked for where its first two or three shared bands agree. A
+   by a further band, up to DEPTH bands: a pair is first looked for where its first two or three shared bands agree. A
    pair at similarity 0.75 shares fewer than two bands with probability 8e-5, fewer than three with 6e-4.
+6. What splitting passed over is found without signatures: all rows of buckets that were split meet by prefixes of their full
+   sets. With shingles ordered from rare to frequent, two sets that link have one in common among the first
+   n - ceil(0.75 n) + 1 of each; so the passage that filled the bucket is left out unless a text is little else. Pairs across
+   components that can still reach the threshold by size and position are confirmed on full sets: no link is lost here.
 
 The rows of an open bucket are salted by its number of rows; other joins on a leader, a bucket or a set may meet hot keys, but their rows are a
 few numbers, and adaptive execution splits them.
@@ -52,6 +56,8 @@ BLOCK_ROWS, BLOCK_BYTES, CHUNK, CACHE_WORDS = 512, 8 << 20, 128, 250_000
 MANY_BLOCKS, DEPTH = 8, 3
 #: Rows of a bucket that meet what is known of it in one part.
 SALT_ROWS = 2048
+#: Counters that order shingles by frequency; they decide what is looked at, never what is found.
+SLOTS = 1 << 16
 _rng = np.random.default_rng(7)
 _A = (_rng.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1))[:, None]
 _B = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)[:, None]
@@ -267,29 +273,32 @@ def band_key(*first) -> Callable[[Column], Column]:
     return lambda k: F.xxhash64(*first, k, F.substring(F.col("sig"), k * width + 1, F.lit(width)))
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
+def _blocks(rows: DataFrame, own: tuple[str, ...] = ("key", "band", "depth", "rep", "component")) -> DataFrame:
     """Rows of open buckets, dealt into blocks: those outside the bucket's leading component ask, all answer."""
     rows = rows.withColumn("asking", F.col("component") != F.col("lead"))
     number = F.lit(0).cast("long")
     mine_d, mine_q = F.pmod(F.xxhash64("rep"), F.col("nd")), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("nq"))
     all_of = lambda n: F.sequence(number, F.col(n) - 1)
-    names = ["key", "band", "depth", "q", "d", "rep", "component"]
+    names = [*own, "q", "d"]
     answering = rows.select("*", F.explode(all_of("nq")).alias("q"), mine_d.alias("d")).select(*names, F.lit(False).alias("asks"), F.lit(True).alias("answers"))
     asking = rows.where("asking").select("*", mine_q.alias("q"), F.explode(all_of("nd")).alias("d")).select(*names, F.lit(True).alias("asks"), F.lit(False).alias("answers"))
     return answering.unionByName(asking).groupBy(*names).agg(F.max("asks").alias("asks"), F.max("answers").alias("answers"))
 
 
-def _open_rows(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """Rows of the buckets that hold several components, in blocks; buckets with very many asking rows are first split by further bands."""
-    placed = members.join(labels, members["rep"] == labels["node"], "left").select("key", "band", "rep", "size", "rows", F.coalesce("component", "rep").alias("component"))
-    salts = F.ceil(F.col("rows") / SALT_ROWS).cast("int")  # "rows" is the same in all rows of a bucket; of a split one, the number of rows before
+def _open_buckets(placed: DataFrame) -> DataFrame:
+    """key, rows, lead, crowded, nq, nd of the buckets that hold several components: the largest one, and into how many blocks rows are dealt."""
     blocks_of = lambda n, size: F.ceil(F.greatest(n / BLOCK_ROWS, size / BLOCK_BYTES, F.lit(0.0)))
+    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.max("rows").alias("rows"))
+    per = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.max("rows").alias("rows"), F.max(F.struct("n", "component", "size")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+    asking = F.col("n") - F.col("top.n")
+    return materialize(per.select("key", "rows", F.col("top.component").alias("lead"), (asking > MANY_BLOCKS * BLOCK_ROWS).alias("crowded"), blocks_of(asking, F.col("size") - F.col("top.size")).alias("nq"), blocks_of(F.col("n"), F.col("size")).alias("nd")), "open")
+
+
+def _open_rows(placed: DataFrame, per: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows of the open buckets in blocks; buckets with very many asking rows are first split by further bands. What that passes over is left to _links_of_split()."""
+    salts = F.ceil(F.col("rows") / SALT_ROWS).cast("int")  # "rows" is the same in all rows of a bucket; of a split one, the number of rows before
     out = None
     for depth in range(1, DEPTH + 1):
-        sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.max("rows").alias("rows"))
-        per = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.max("rows").alias("rows"), F.max(F.struct("n", "component", "size")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-        asking = F.col("n") - F.col("top.n")
-        per = materialize(per.select("key", "rows", F.col("top.component").alias("lead"), (asking > MANY_BLOCKS * BLOCK_ROWS).alias("crowded"), blocks_of(asking, F.col("size") - F.col("top.size")).alias("nq"), blocks_of(F.col("n"), F.col("size")).alias("nd")), "open")
         salted = per.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("rows")
         rows = placed.withColumn("salt", F.pmod(F.xxhash64("rep", F.lit(2)), salts).cast("int")).join(salted, ["key", "salt"]).drop("salt").withColumn("depth", F.lit(depth))
         many = F.lit(depth < DEPTH) & F.col("crowded") & (F.col("band") < BANDS - 1)
@@ -300,9 +309,85 @@ def _open_rows(members: DataFrame, labels: DataFrame, classes: DataFrame) -> Dat
         wide = rows.where(many).join(classes.select("rep", "sig"), "rep")
         keys = F.transform(F.sequence(F.col("band") + 1, F.lit(BANDS - 1)), lambda k: F.struct(k.alias("band"), band_key("key")(k).alias("key")))
         placed = materialize(wide.select("rep", "size", "rows", "component", F.explode(keys).alias("x")).select("x.key", "x.band", "rep", "size", "rows", "component"), "split")
+        per = _open_buckets(placed)
     return out
 
 
+def prefix(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The rarest hashes of a set, rare ones first: any set that links with it has one of them in its own prefix."""
+    least = -(-round(100 * SIMILARITY) * len(hashes) // 100)
+    order = np.lexsort((hashes, counts[(hashes & np.uint64(SLOTS - 1)).astype(np.int64)]))
+    return hashes[order[: len(hashes) - least + 1]]
+
+
+def able(comps: np.ndarray, asks: np.ndarray, answers: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Asking rows and answering rows of other components that can link, if a hash at these places of their sets is the first that they share."""
+    data, share = np.flatnonzero(answers), round(100 * SIMILARITY)
+    for k in np.flatnonzero(asks).tolist():
+        most = np.minimum(sizes[data] - places[data], sizes[k] - places[k])
+        yield k, data[(comps[data] != comps[k]) & ((100 + share) * most >= share * (sizes[data] + sizes[k]))]
+
+
+def _links_of_split(reps: DataFrame, labels: DataFrame, classes: DataFrame, folder: str) -> DataFrame:
+    """All links (a, b) among reps across components, by prefixes of full sets; a prefix's hash is a bucket, whose rows meet in blocks."""
+    spark = reps.sparkSession
+    rows = reps.join(labels, reps["rep"] == labels["node"], "left").select("rep", F.coalesce("component", "rep").alias("component"))
+    rows = materialize(rows.join(classes.select("rep", "shard", "row"), "rep"), "crowded")
+    schema = pa.schema([("rep", pa.int64()), ("component", pa.int64()), ("text", pa.binary())])
+    read = with_texts(rows, folder, lambda own, got: ({"rep": r["rep"], "component": r["component"], "text": t} for r, t in zip(own, got, strict=True)), schema, "rep long, component long, text binary")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_cache("words", forget)
+        seen = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                np.add.at(seen, (shingles(text) & np.uint64(SLOTS - 1)).astype(np.int64), 1)
+        slots = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(seen[slots])], names=["slot", "n"])
+
+    counts = np.zeros(SLOTS, np.int64)
+    for r in read.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():  # a row of each counter
+        counts[r["slot"]] = r["n"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_cache("words", forget)
+        for batch in batches:
+            sets = [shingles(t) for t in batch.column("text").to_pylist()]
+            firsts = [prefix(own, counts) for own in sets]
+            if firsts:
+                each = np.array([len(f) for f in firsts])
+                of = np.repeat(np.arange(len(firsts)), each)
+                places = np.arange(len(of)) - np.repeat(np.cumsum(each) - each, each)
+                size = np.array([len(own) for own in sets])[of]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts).view(np.int64)), *(batch.column(c).take(pa.array(of)) for c in ("rep", "component")), pa.array(size), pa.array(places)], names=["key", "rep", "component", "n", "place"])
+
+    held = materialize(read.mapInArrow(cut, "key long, rep long, component long, n long, place long"), "prefixes")
+    per = _open_buckets(held.withColumn("size", F.lit(0).cast("long")).withColumn("rows", F.lit(1).cast("long")))
+    blocks = _blocks(held.join(per.drop("rows", "crowded"), "key"), ("key", "rep", "component", "n", "place"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        key = None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if len(held) > 1:
+                reps, *rest = (np.array(c) for c in zip(*held, strict=True))
+                for k, other in able(*rest):
+                    if len(other):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(reps[other], reps[k])), pa.array(np.maximum(reps[other], reps[k]))], names=["a", "b"])
+
+        for batch in batches:
+            for *own, rep, comp, asks, answers, n, place in zip(*(batch.column(c).to_pylist() for c in ("key", "q", "d", "rep", "component", "asks", "answers", "n", "place")), strict=True):
+                if own != key:
+                    yield from flush()
+                    held, key = [], own
+                held.append((rep, comp, asks, answers, n, place))
+        yield from flush()
+
+    dealt = blocks.repartition(partitions(spark), "key", "q", "d").sortWithinPartitions("key", "q", "d", "rep")
+    return confirm(dealt.mapInArrow(meet, "a long, b long").distinct(), classes, folder)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; one row per document."""
     spark = docs.sparkSession
@@ -322,9 +407,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         leads = members.where("rep <> lead").groupBy(F.col("rep").alias("b")).agg(F.min("lead").alias("a")).select("a", "b")
         links = materialize(confirm(_tested(leads, classes), classes, folder), "links")
         labels = materialize(components(links), "labels", keep=True)
-        more = materialize(_across(_open_rows(members, labels, classes), classes, folder), "links")
+        placed = members.join(labels, members["rep"] == labels["node"], "left").select("key", "band", "rep", "size", "rows", F.coalesce("component", "rep").alias("component"))
+        opened = _open_buckets(placed)
+        more = materialize(_across(_open_rows(placed, opened, classes), classes, folder), "links")
         if not more.isEmpty():
-            labels = materialize(components(links.unionByName(more)), "labels", keep=True)
+            links = links.unionByName(more)
+            labels = materialize(components(links), "labels", keep=True)
+        split = opened.where("crowded").select("key")
+        if DEPTH > 1 and not split.isEmpty():
+            reps = members.where(F.col("band") < BANDS - 1).join(split, "key").select("rep").distinct()
+            rest = materialize(_links_of_split(reps, labels, classes, folder), "links")
+            if not rest.isEmpty():
+                labels = materialize(components(links.unionByName(rest)), "labels", keep=True)
     reps = classes.select("set_id", "rep").join(labels, classes["rep"] == labels["node"], "left").select("set_id", F.coalesce("component", "rep").alias("component"))
     rows = every.select("doc_id", "n_shingles", "set_id")
     out = rows.where("set_id is not null").join(reps, "set_id").unionByName(rows.where("set_id is null").withColumn("component", F.lit(None).cast("long")))

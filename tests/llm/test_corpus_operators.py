@@ -344,6 +344,58 @@ def test_a_passage_in_many_texts(spark, monkeypatch):
     assert seen[0][1] < seen[1][1]
 
 
+def apart(text, band, seed, bands, edits=5):
+    """The text with a few words changed, chosen such that hardly any band but this one stays."""
+    r, own, out = random.Random(seed), bands(text), text
+    for _ in range(edits):
+        tried = []
+        for _ in range(80):
+            w = out.split()
+            w[r.randrange(len(w))] = f"z{r.randrange(10**6)}"
+            same = (bands(" ".join(w)) == own).all(1)
+            tried.append((not same[band], int(same.sum()), " ".join(w)))
+        out = min(tried)[2]
+    return out
+
+
+def test_links_in_one_crowded_bucket_alone(spark, monkeypatch):
+    """Pairs that link and share no band but one, whose bucket is split: splitting alone passes them over."""
+    monkeypatch.setattr(near, "BLOCK_ROWS", 4)
+    bands = lambda t: np.frombuffer(near.signature(near.shingles(t.encode())), "<u2").reshape(near.BANDS, -1)
+    passage = prose(1, 120, 5000)
+    texts = [passage + " " + prose(100 + k, 60, 10**6) for k in range(120)]
+    every = np.array([bands(t) for t in texts])
+    pairs = 0
+    for seed in (0, 2, 4, 10):
+        own = bands(x := passage + " " + prose(10_000 + seed, 60, 10**6))
+        rows = (every == own).all(2).sum(0)
+        band = int(rows[:-1].argmax())
+        y = apart(x, band, seed, bands)
+        assert rows[band] > near.MANY_BLOCKS * 4 and np.flatnonzero((bands(y) == own).all(1)).tolist() == [band]
+        pairs += near.is_link(near.shingles(x.encode()), near.shingles(y.encode()))
+        texts += [x, y]
+    assert pairs == 4
+    got = {r["doc_id"]: r["component_id"] for r in near.near_duplicates(docs(spark, texts)).collect()}
+    assert [got[k] for k in range(len(texts))] == groups(texts)[1]
+
+
+def test_prefixes_of_sets_that_link_meet():
+    """Whatever the counters hold, sets that link share a hash of their prefixes, and its places leave the pair."""
+    r = np.random.default_rng(3)
+    links = 0
+    for k in range(300):
+        every = np.sort(r.choice(1 << 40, 60, replace=False).astype(np.uint64))
+        one, two = (np.sort(r.choice(every, r.integers(50, 61), replace=False)) for _ in range(2))
+        counts = r.integers(0, 1 + k % 5, near.SLOTS)
+        a, b = near.prefix(one, counts), near.prefix(two, counts)
+        both = [(i, int(np.flatnonzero(b == h)[0])) for i, h in enumerate(a.tolist()) if h in b]
+        if near.is_link(one, two):
+            links += 1
+            sides = np.array([True, False]), np.array([False, True]), np.array([len(one), len(two)])
+            assert both and [o.tolist() for _, o in near.able(np.array([1, 2]), *sides, np.array(both[0]))] == [[1]]
+    assert 50 < links < 300
+
+
 def test_blocks_are_bounded_by_bytes(spark, monkeypatch):
     """Texts of 1 MB that share most bands in no component: a block holds a few of them, not BLOCK_ROWS, and the links are found."""
     monkeypatch.setattr(near, "BLOCK_BYTES", 3 << 20)
