@@ -255,7 +255,9 @@ def _source_sql() -> str:
 @query(_source_sql())
 def chunk_source(spark: SparkSession, d: str) -> DataFrame:
     sources = F.explode(F.create_map(*[F.lit(x) for language, (text, _) in SOURCES.items() for x in (language, text)]))
-    rows = V.read(spark, d, "part").select("p_partkey", sources.alias("language", "text"))
+    # the table is small and its chunks are much work: keys are dealt to tasks evenly, before texts are made of them
+    parts = V.read(spark, d, "part").select("p_partkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+    rows = parts.select("p_partkey", sources.alias("language", "text"))
     content = F.encode(F.replace("text", F.lit("@"), F.col("p_partkey").cast("string")), "UTF-8")
     found = chunker.chunk_files(rows.select(F.col("p_partkey").cast("string").alias("path"), content.alias("content"), "language"))
     key = F.col("path").cast("bigint").alias("p_partkey")
