@@ -44,7 +44,8 @@ class TextIndex:
     @classmethod
     def build(cls, files: DataFrame, folder: str, by: str, text: str = "text", block_rows: int = BLOCK_ROWS) -> TextIndex:
         """Index files, whose columns come back with the lines found, in blocks by a column."""
-        files.orderBy(by).write.option("maxRecordsPerFile", str(block_rows)).parquet(f"{folder}/blocks")
+        # rows that agree in the column are many, and a task would get them all: among them the order is by hash
+        files.orderBy(by, F.xxhash64(*files.columns)).write.option("maxRecordsPerFile", str(block_rows)).parquet(f"{folder}/blocks")
         index = cls(files.sparkSession, folder)
         marked = F.concat(F.lit(START), "word", F.lit(END))
         words = index.blocks().select(F.col("_metadata.file_name").alias("block"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(f"({WORD})")))).alias("word")).distinct()

@@ -159,6 +159,20 @@ def test_share_of_blocks_read(spark, tmp_path):
     assert text_index.BLOCK_ROWS > 25
 
 
+def test_rows_of_one_language_are_sorted_in_many_tasks(spark, tmp_path):
+    """Nine tenths of the rows agree in the column that blocks are ordered by; no task writes more than its share, and the order holds."""
+    files = spark.range(2000).select("id", F.when(F.col("id") % 10 > 0, "en").otherwise("de").alias("lang"), F.concat(F.lit("word "), "id").alias("text"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the rows are few
+    try:
+        index = TextIndex.build(files, str(tmp_path / "index"), "lang", block_rows=100)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    task = F.regexp_extract(F.col("_metadata.file_name"), "part-([0-9]+)", 1)
+    rows = index.blocks().groupBy(task.alias("task")).agg(F.count("*").alias("n"), F.min("lang").alias("low"), F.max("lang").alias("high")).orderBy("task").collect()
+    assert max(r["n"] for r in rows) < 1000 and all(a["high"] <= b["low"] for a, b in zip(rows, rows[1:]))
+    assert index.search("word").count() == 2000
+
+
 def test_index_of_nothing(spark, tmp_path):
     index = TextIndex.build(spark.createDataFrame([], "path string, text string"), str(tmp_path / "index"), "path")
     assert index.search("x").count() == 0 and index.search("$").count() == 0
