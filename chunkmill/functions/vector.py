@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
-from pyarrow.dataset import dataset
+from pyarrow.dataset import ParquetFragmentScanOptions, dataset
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +31,8 @@ def require_dim(vector: Column, dim: int) -> Column:
     return F.when(F.size(vector) == dim, vector).otherwise(F.raise_error(F.concat(F.lit(f"expected {dim} dimensions, got "), F.size(vector).cast("string"))))
 
 
-#: Bytes of points that a task holds while the queries pass by, and queries scored at once.
-POINT_BYTES, QUERY_ROWS = 64 << 20, 256
+#: Bytes of points, as doubles, that a task holds while the queries pass by, queries read at once, and scores that it holds at once.
+POINT_BYTES, QUERY_ROWS, SCORES = 64 << 20, 256, 2 << 20
 
 
 def _rows(column: pa.Array) -> np.ndarray:
@@ -53,33 +53,42 @@ def top_k_arrow(points: DataFrame, queries: DataFrame, k: int, folder: str) -> D
     """(query_id, id, score): the best k of every lot of points by matrix product; the rows that remain are ranked by the caller.
 
     Queries (query_id, query_vector), of any number, are written to folder, which tasks must see. Points (id, vector) are scanned once and not
-    shuffled: a task gathers POINT_BYTES of them and then reads the queries past them, so it holds a lot of points and QUERY_ROWS queries.
+    shuffled: a task gathers POINT_BYTES of them and then reads the queries past them, so it holds a lot of points, QUERY_ROWS queries and
+    SCORES scores (or those of one query), however many points and queries there are.
     """
-    queries.select("query_id", "query_vector").where("query_vector is not null").write.parquet(folder)
+    queries.select("query_id", "query_vector").where("query_vector is not null").write.option("parquet.block.size", str(4 << 20)).parquet(folder)
     kinds = dict(queries.dtypes) | dict(points.dtypes)
 
     def asked() -> Iterator[pa.RecordBatch]:
         files, path = fs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
-        yield from dataset(path, filesystem=files, format="parquet", exclude_invalid_files=False).to_batches(batch_size=QUERY_ROWS, batch_readahead=1, fragment_readahead=1, use_threads=False)
+        options = ParquetFragmentScanOptions(use_buffered_stream=True, pre_buffer=False)  # a file isn't held whole
+        yield from dataset(path, filesystem=files, format="parquet", exclude_invalid_files=False).to_batches(batch_size=QUERY_ROWS, batch_readahead=1, fragment_readahead=1, use_threads=False, fragment_scan_options=options)
 
-    def lot(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = pa.concat_arrays([b.column(0) for b in held])
+    def lot(held: list[tuple[pa.Array, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        ids = pa.concat_arrays([i for i, _ in held])
         order = pc.sort_indices(ids)
-        ids, vectors = ids.take(order), np.concatenate([_rows(b.column(1)) for b in held])[order.to_numpy()]
+        ids, place = ids.take(order), np.empty(len(order), np.int64)
+        place[order.to_numpy()] = np.arange(len(order))
+        vectors, at = np.empty((len(ids), held[0][1].shape[1])), 0
+        while held:
+            _, x = held.pop(0)
+            vectors[place[at : at + len(x)]] = x
+            at += len(x)
+        rows = max(1, SCORES // len(ids))
         for batch in asked():
-            if batch.num_rows:
-                scores = np.round(_rows(batch.column("query_vector")) @ vectors.T, 6)
+            for some in (batch.slice(n, rows) for n in range(0, batch.num_rows, rows)):
+                scores = _rows(some.column("query_vector")) @ vectors.T
+                np.round(scores, 6, out=scores)
                 i, j = _best(scores, k)
-                yield pa.RecordBatch.from_arrays([batch.column("query_id").take(pa.array(i)), ids.take(pa.array(j)), pa.array(scores[i, j])], names=["query_id", "id", "score"])
+                yield pa.RecordBatch.from_arrays([some.column("query_id").take(pa.array(i)), ids.take(pa.array(j)), pa.array(scores[i, j])], names=["query_id", "id", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        held: list[tuple[pa.Array, np.ndarray]] = []
         for batch in batches:
             if batch.num_rows:
-                held.append(batch)
-                if sum(b.nbytes for b in held) >= POINT_BYTES:
-                    yield from lot(held)
-                    held = []
+                held.append((batch.column(0), _rows(batch.column(1))))
+                if sum(x.nbytes for _, x in held) >= POINT_BYTES:
+                    yield from lot(held)  # which empties it
         if held:
             yield from lot(held)
 

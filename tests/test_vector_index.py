@@ -93,6 +93,22 @@ def test_queries_pass_by_many_lots_of_points(spark, monkeypatch):
     assert rows_of(search.knn_arrow(points, queries, 7)) == rows_of(search.knn(points.where("vector is not null"), queries, 7))
 
 
+def test_scores_of_a_lot_are_bounded(spark, monkeypatch):
+    """A lot of 80 points and 30 queries are 2400 scores; a task holds 400 of them, and the ranks are the same."""
+    best = vector._best
+
+    def bounded(scores, k):
+        assert scores.size <= 400
+        return best(scores, k)
+
+    monkeypatch.setattr(vector, "_best", bounded)
+    monkeypatch.setattr(vector, "SCORES", 400, raising=False)
+    rng = np.random.default_rng(6)
+    points = spark.createDataFrame([(f"p{k}", rng.normal(size=5).tolist()) for k in range(80)], POINTS).coalesce(1)
+    queries = spark.createDataFrame([(k, rng.normal(size=5).tolist()) for k in range(30)], ASKED).coalesce(1)
+    assert rows_of(search.knn_arrow(points, queries, 7)) == rows_of(search.knn(points, queries, 7))
+
+
 def test_vectors_that_cannot_be_compared(spark, tmp_path):
     rows = [("a", [1.0, 0.0]), ("b", [0.0, 0.0]), ("c", None), ("d", [None, 1.0]), ("e", [math.inf, 1.0]), ("f", [3.0, 4.0]), ("g", [1e300, 1e300]), ("h", [-5.0, 0.0])]
     index = VectorIndex.build(spark.createDataFrame(rows, POINTS), str(tmp_path / "index"))
