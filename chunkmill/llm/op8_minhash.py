@@ -13,15 +13,14 @@
    survives, is confirmed at once, so only links between components leave a task, one for each row and foreign
    component. Groups of copies never expand into all pairs. Blocks are bounded by rows and by bytes of text (a single text
    may be longer).
-5. A bucket with very many rows outside its largest component (texts that share a long passage and little else) is split
-   by a further band, up to DEPTH bands: a pair is first looked for where its first two or three shared bands agree. A
-   pair at similarity 0.75 shares fewer than two bands with probability 8e-5, fewer than three with 6e-4.
-6. What splitting passed over is found without signatures: all rows of buckets that were split meet by prefixes of their full
-   sets. With shingles ordered from rare to frequent, two sets that link have one in common among the first
-   n - ceil(0.75 n) + 1 of each; so the passage that filled the bucket is left out unless a text is little else. Pairs across
-   components that can still reach the threshold by size and position are confirmed on full sets: no link is lost here.
-
-The rows of an open bucket are salted by its number of rows; other joins on a leader, a bucket or a set may meet hot keys, but their rows are a
+5. A bucket with very many rows outside its largest component (texts that share a long passage and little else) is not
+   compared row by row. Its rows meet by prefixes of their full sets instead, without signatures: with shingles ordered from
+   rare to frequent, two sets that link have one in common among the first n - ceil(0.75 n) + 1 of each, so the passage
+   that filled the bucket is left out unless a text is little else. A prefix's hash is a bucket; what can still reach the
+   threshold by size and position is confirmed on full sets, again first with one leader of each bucket, then across
+   components in blocks. No link is lost here, and nothing is compared that shares common shingles alone.
+
+The rows of an open bucket are salted by its number of rows; other joins on a leader, a bucket, a hash or a set may meet hot keys, but their rows are a
 few numbers, and adaptive execution splits them.
 Empty sets, which all are one key, take part in no join.
 
@@ -52,8 +51,10 @@ HASHES, BANDS = 128, 32
 STEP, MISS = 32, 1e-5
 #: Rows and bytes of text of a block of a bucket, partners of a leader in one task, words that a worker remembers.
 BLOCK_ROWS, BLOCK_BYTES, CHUNK, CACHE_WORDS = 512, 8 << 20, 128, 250_000
-#: Blocks of asking rows, as counted in rows, beyond which a bucket is split by a further band, and the most bands of a bucket.
-MANY_BLOCKS, DEPTH = 8, 3
+#: Blocks of asking rows, as counted in rows, beyond which a bucket is split by prefixes, and levels of splitting: 1 leaves buckets whole.
+MANY_BLOCKS, DEPTH = 8, 2
+#: A block of prefixes holds numbers, no texts: so many times the rows of another.
+WIDER = 16
 #: Rows of a bucket that meet what is known of it in one part.
 SALT_ROWS = 2048
 #: Counters that order shingles by frequency; they decide what is looked at, never what is found.
@@ -273,7 +274,7 @@ def band_key(*first) -> Callable[[Column], Column]:
     return lambda k: F.xxhash64(*first, k, F.substring(F.col("sig"), k * width + 1, F.lit(width)))
 
 
-def _blocks(rows: DataFrame, own: tuple[str, ...] = ("key", "band", "depth", "rep", "component")) -> DataFrame:
+def _blocks(rows: DataFrame, own: tuple[str, ...]) -> DataFrame:
     """Rows of open buckets, dealt into blocks: those outside the bucket's leading component ask, all answer."""
     rows = rows.withColumn("asking", F.col("component") != F.col("lead"))
     number = F.lit(0).cast("long")
@@ -285,32 +286,29 @@ def _blocks(rows: DataFrame, own: tuple[str, ...] = ("key", "band", "depth", "re
     return answering.unionByName(asking).groupBy(*names).agg(F.max("asks").alias("asks"), F.max("answers").alias("answers"))
 
 
-def _open_buckets(placed: DataFrame) -> DataFrame:
+def _open_buckets(placed: DataFrame, wider: int = 1) -> DataFrame:
     """key, rows, lead, crowded, nq, nd of the buckets that hold several components: the largest one, and into how many blocks rows are dealt."""
-    blocks_of = lambda n, size: F.ceil(F.greatest(n / BLOCK_ROWS, size / BLOCK_BYTES, F.lit(0.0)))
+    blocks_of = lambda n, size: F.ceil(F.greatest(n / (wider * BLOCK_ROWS), size / BLOCK_BYTES, F.lit(0.0)))
     sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.max("rows").alias("rows"))
     per = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.max("rows").alias("rows"), F.max(F.struct("n", "component", "size")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
     asking = F.col("n") - F.col("top.n")
     return materialize(per.select("key", "rows", F.col("top.component").alias("lead"), (asking > MANY_BLOCKS * BLOCK_ROWS).alias("crowded"), blocks_of(asking, F.col("size") - F.col("top.size")).alias("nq"), blocks_of(F.col("n"), F.col("size")).alias("nd")), "open")
 
 
-def _open_rows(placed: DataFrame, per: DataFrame, classes: DataFrame) -> DataFrame:
-    """Rows of the open buckets in blocks; buckets with very many asking rows are first split by further bands. What that passes over is left to _links_of_split()."""
-    salts = F.ceil(F.col("rows") / SALT_ROWS).cast("int")  # "rows" is the same in all rows of a bucket; of a split one, the number of rows before
-    out = None
-    for depth in range(1, DEPTH + 1):
-        salted = per.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("rows")
-        rows = placed.withColumn("salt", F.pmod(F.xxhash64("rep", F.lit(2)), salts).cast("int")).join(salted, ["key", "salt"]).drop("salt").withColumn("depth", F.lit(depth))
-        many = F.lit(depth < DEPTH) & F.col("crowded") & (F.col("band") < BANDS - 1)
-        blocks = _blocks(rows.where(~many))
-        out = blocks if out is None else out.unionByName(blocks)
-        if depth == DEPTH or per.where("crowded").isEmpty():
-            return out
-        wide = rows.where(many).join(classes.select("rep", "sig"), "rep")
-        keys = F.transform(F.sequence(F.col("band") + 1, F.lit(BANDS - 1)), lambda k: F.struct(k.alias("band"), band_key("key")(k).alias("key")))
-        placed = materialize(wide.select("rep", "size", "rows", "component", F.explode(keys).alias("x")).select("x.key", "x.band", "rep", "size", "rows", "component"), "split")
-        per = _open_buckets(placed)
-    return out
+def _told(rows: DataFrame, per: DataFrame) -> DataFrame:
+    """Rows with what is known of their buckets; salted, as a bucket may hold most rows."""
+    salts = F.ceil(F.col("rows") / SALT_ROWS).cast("int")  # "rows" is the same in all rows of a bucket
+    salted = per.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("rows")
+    return rows.withColumn("salt", F.pmod(F.xxhash64("rep", F.lit(2)), salts).cast("int")).join(salted, ["key", "salt"]).drop("salt")
+
+
+def _open_rows(placed: DataFrame, per: DataFrame, held: DataFrame | None) -> DataFrame:
+    """Rows of the open buckets in blocks, at depth 1; those of crowded ones are at depth 2 instead, in the buckets of their prefixes: held."""
+    rows = _told(placed, per).withColumn("depth", F.lit(1))
+    own = ("key", "band", "depth", "rep", "component")
+    if held is None:
+        return _blocks(rows, own)
+    return _blocks(rows.where("not crowded"), own).unionByName(held.withColumn("depth", F.lit(2)), allowMissingColumns=True)
 
 
 def prefix(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -328,13 +326,14 @@ def able(comps: np.ndarray, asks: np.ndarray, answers: np.ndarray, sizes: np.nda
         yield k, data[(comps[data] != comps[k]) & ((100 + share) * most >= share * (sizes[data] + sizes[k]))]
 
 
-def _links_of_split(reps: DataFrame, labels: DataFrame, classes: DataFrame, folder: str) -> DataFrame:
-    """All links (a, b) among reps across components, by prefixes of full sets; a prefix's hash is a bucket, whose rows meet in blocks."""
-    spark = reps.sparkSession
-    rows = reps.join(labels, reps["rep"] == labels["node"], "left").select("rep", F.coalesce("component", "rep").alias("component"))
-    rows = materialize(rows.join(classes.select("rep", "shard", "row"), "rep"), "crowded")
-    schema = pa.schema([("rep", pa.int64()), ("component", pa.int64()), ("text", pa.binary())])
-    read = with_texts(rows, folder, lambda own, got: ({"rep": r["rep"], "component": r["component"], "text": t} for r, t in zip(own, got, strict=True)), schema, "rep long, component long, text binary")
+def _prefixes(reps: DataFrame, classes: DataFrame, folder: str) -> DataFrame:
+    """key, rep, n, place, rows, first of the prefixes' hashes that several sets share and that can be the first shared by sets that link.
+
+    The smaller of two such sets, of n hashes, has it within its first n / 7: of what follows it must share 6 / 7 of n at least.
+    """
+    rows = materialize(reps.join(classes.select("rep", "shard", "row"), "rep"), "crowded")
+    schema = pa.schema([("rep", pa.int64()), ("text", pa.binary())])
+    read = with_texts(rows, folder, lambda own, got: ({"rep": r["rep"], "text": t} for r, t in zip(own, got, strict=True)), schema, "rep long, text binary")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use_cache("words", forget)
@@ -359,19 +358,40 @@ def _links_of_split(reps: DataFrame, labels: DataFrame, classes: DataFrame, fold
                 of = np.repeat(np.arange(len(firsts)), each)
                 places = np.arange(len(of)) - np.repeat(np.cumsum(each) - each, each)
                 size = np.array([len(own) for own in sets])[of]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts).view(np.int64)), *(batch.column(c).take(pa.array(of)) for c in ("rep", "component")), pa.array(size), pa.array(places)], names=["key", "rep", "component", "n", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts).view(np.int64)), batch.column("rep").take(pa.array(of)), pa.array(size), pa.array(places)], names=["key", "rep", "n", "place"])
+
+    every = materialize(read.mapInArrow(cut, "key long, rep long, n long, place long"), "prefixes")
+    share = round(100 * SIMILARITY)
+    early = (100 + share) * (F.col("n") - F.col("place")) >= 2 * share * F.col("n")
+    mine = F.when(early, F.col("n"))
+    shared = every.groupBy("key").agg(F.count("*").alias("rows"), F.min(F.when(early, F.struct("rep", "n", "place"))).alias("first"), F.min(mine).alias("least"), F.max(mine).alias("most")).where("rows > 1 and first is not null")
+    wanted = early | ((F.col("n") >= F.col("least")) & (share * F.col("n") <= 100 * F.col("most")))
+    return materialize(every.join(shared, "key").where(wanted).drop("least", "most"), "prefixes")
+
+
+def _firsts(held: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b) across components that can link: of each hash the least set that has it early, and all others."""
+    share = round(100 * SIMILARITY)
+    most = F.least(F.col("n") - F.col("place"), F.col("first.n") - F.col("first.place"))
+    able = (100 + share) * most >= share * (F.col("n") + F.col("first.n"))
+    pairs = held.where(able & (F.col("rep") != F.col("first.rep"))).select(F.least("rep", "first.rep").alias("a"), F.greatest("rep", "first.rep").alias("b")).distinct()
+    part = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    return pairs.join(part("a"), "a", "left").join(part("b"), "b", "left").where("coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b")
 
-    held = materialize(read.mapInArrow(cut, "key long, rep long, component long, n long, place long"), "prefixes")
-    per = _open_buckets(held.withColumn("size", F.lit(0).cast("long")).withColumn("rows", F.lit(1).cast("long")))
-    blocks = _blocks(held.join(per.drop("rows", "crowded"), "key"), ("key", "rep", "component", "n", "place"))
+
+def _meeting(held: DataFrame) -> DataFrame:
+    """Pairs (a, b) across components that can link, of all rows of the prefixes' buckets; they meet in blocks."""
+    held = held.select("key", "rep", "component", "n", "place", "rows")
+    per = _open_buckets(held.withColumn("size", F.lit(0).cast("long")), WIDER)
+    blocks = _blocks(_told(held, per), ("key", "rep", "component", "n", "place"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        block: list[tuple] = []
         key = None
 
         def flush() -> Iterator[pa.RecordBatch]:
-            if len(held) > 1:
-                reps, *rest = (np.array(c) for c in zip(*held, strict=True))
+            if len(block) > 1:
+                reps, *rest = (np.array(c) for c in zip(*block, strict=True))
                 for k, other in able(*rest):
                     if len(other):
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(reps[other], reps[k])), pa.array(np.maximum(reps[other], reps[k]))], names=["a", "b"])
@@ -380,12 +400,12 @@ def _links_of_split(reps: DataFrame, labels: DataFrame, classes: DataFrame, fold
             for *own, rep, comp, asks, answers, n, place in zip(*(batch.column(c).to_pylist() for c in ("key", "q", "d", "rep", "component", "asks", "answers", "n", "place")), strict=True):
                 if own != key:
                     yield from flush()
-                    held, key = [], own
-                held.append((rep, comp, asks, answers, n, place))
+                    block, key = [], own
+                block.append((rep, comp, asks, answers, n, place))
         yield from flush()
 
-    dealt = blocks.repartition(partitions(spark), "key", "q", "d").sortWithinPartitions("key", "q", "d", "rep")
-    return confirm(dealt.mapInArrow(meet, "a long, b long").distinct(), classes, folder)
+    dealt = blocks.repartition(partitions(held.sparkSession), "key", "q", "d").sortWithinPartitions("key", "q", "d", "rep")
+    return dealt.mapInArrow(meet, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -407,18 +427,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         leads = members.where("rep <> lead").groupBy(F.col("rep").alias("b")).agg(F.min("lead").alias("a")).select("a", "b")
         links = materialize(confirm(_tested(leads, classes), classes, folder), "links")
         labels = materialize(components(links), "labels", keep=True)
-        placed = members.join(labels, members["rep"] == labels["node"], "left").select("key", "band", "rep", "size", "rows", F.coalesce("component", "rep").alias("component"))
+        labelled = lambda rows, *own: rows.join(labels, rows["rep"] == labels["node"], "left").select("key", "rep", "rows", *own, F.coalesce("component", "rep").alias("component"))
+        placed = labelled(members, "band", "size")
         opened = _open_buckets(placed)
-        more = materialize(_across(_open_rows(placed, opened, classes), classes, folder), "links")
-        if not more.isEmpty():
-            links = links.unionByName(more)
+        crowded = opened.where("crowded").select("key")
+        held = None
+        if DEPTH > 1 and not crowded.isEmpty():
+            held = _prefixes(members.join(crowded, "key").select("rep").distinct(), classes, folder)
+            links = links.unionByName(materialize(confirm(_firsts(held, labels), classes, folder), "links"))
             labels = materialize(components(links), "labels", keep=True)
-        split = opened.where("crowded").select("key")
-        if DEPTH > 1 and not split.isEmpty():
-            reps = members.where(F.col("band") < BANDS - 1).join(split, "key").select("rep").distinct()
-            rest = materialize(_links_of_split(reps, labels, classes, folder), "links")
-            if not rest.isEmpty():
-                labels = materialize(components(links.unionByName(rest)), "labels", keep=True)
+            placed, held = labelled(members, "band", "size"), labelled(held, "n", "place")
+            opened = _open_buckets(placed)  # what is crowded now was so before
+        rows = _open_rows(placed, opened, held)
+        more = _across(rows.where("depth = 1"), classes, folder)
+        if held is not None:
+            more = more.unionByName(confirm(_meeting(rows.where("depth > 1")), classes, folder))
+        more = materialize(more, "links")
+        if not more.isEmpty():
+            labels = materialize(components(links.unionByName(more)), "labels", keep=True)
     reps = classes.select("set_id", "rep").join(labels, classes["rep"] == labels["node"], "left").select("set_id", F.coalesce("component", "rep").alias("component"))
     rows = every.select("doc_id", "n_shingles", "set_id")
     out = rows.where("set_id is not null").join(reps, "set_id").unionByName(rows.where("set_id is null").withColumn("component", F.lit(None).cast("long")))

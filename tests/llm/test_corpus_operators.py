@@ -379,6 +379,32 @@ def test_links_in_one_crowded_bucket_alone(spark, monkeypatch):
     assert [got[k] for k in range(len(texts))] == groups(texts)[1]
 
 
+def test_crowded_buckets_in_the_pipeline(spark, monkeypatch):
+    """Rows of crowded buckets grow with the texts, not with their square; near copies led by another text aren't linked in all pairs; the stage keeps one of each."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(near, "BLOCK_ROWS", 4)
+    passage = prose(1, 120, 5000)
+    dealt, edges, plain, join = [], [], near._open_rows, near.components
+
+    def counted(*a):
+        rows = plain(*a)
+        dealt.append(rows.where("depth > 1").count())  # while the tables that it reads are there
+        return rows
+
+    monkeypatch.setattr(near, "_open_rows", counted)
+    monkeypatch.setattr(near, "components", lambda links: edges.append(links.count()) or join(links))
+    for n in (60, 120):
+        texts = [passage + " " + prose(100 + k, 60, 10**6) for k in range(n)]
+        texts += [edited(texts[7], k, 0.01) for k in range(n // 2)] + [edited(texts[k], k, 0.02) for k in range(20, 30)]
+        label = groups(texts)[1]
+        assert label.count(7) > n // 2.5
+        kept = corpus_pipeline.near_duplicates(spark, docs(spark, texts), "").select("doc_id").collect()
+        assert sorted(r["doc_id"] for r in kept) == sorted(set(label))
+        assert max(edges) < 3 * len(texts)
+    assert dealt[1] <= 2.5 * dealt[0] + 100, dealt
+
+
 def test_prefixes_of_sets_that_link_meet():
     """Whatever the counters hold, sets that link share a hash of their prefixes, and its places leave the pair."""
     r = np.random.default_rng(3)
